@@ -1,0 +1,58 @@
+"""Tables written once and read by many reports."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+_written: dict[tuple[str, str], str] = {}
+_local_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder every executor can reach, as the session names it.
+
+    Only a local session without such a folder gets a temporary one; on a
+    cluster without one there is none.
+    """
+    global _local_folder
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        return None
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="lanelytics-")
+    return _local_folder
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` read back from a table written once per application.
+
+    The copy survives the loss of executors, and its readers see plain stored
+    columns, so projections and filters reach the scan.  Without a shared
+    folder the plan is used as it is.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if folder is None:
+        return df
+    application = spark.conf.get("spark.app.id")
+    key = (application, name)
+    if key not in _written:
+        path = f"{folder.rstrip('/')}/lanelytics/{application}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        _written[key] = path
+    return spark.read.schema(df.schema).parquet(_written[key])
+
+
+def clustered_by_date(enriched: DataFrame) -> DataFrame:
+    """Enriched legs gathered and sorted by delivery date.
+
+    The sort makes the date statistics of each row group selective.  The
+    rebalance hint leaves it to adaptive execution to split a busy date over
+    several tasks and to merge quiet ones.
+    """
+    dated = enriched.withColumn("delivery_date", F.to_date("delivery_ts"))
+    return dated.hint("rebalance", "delivery_date").sortWithinPartitions("delivery_date")

@@ -1,20 +1,31 @@
-"""Derived columns that every profit report starts from."""
+"""Derived columns that every report starts from."""
 
 from pyspark.sql import DataFrame, functions as F
 
 from lanelytics.functions.labels import lane_label
 from lanelytics.functions.money import counted, is_crossdock, is_tonu
-from lanelytics.functions.times import delivery_time
+from lanelytics.functions.times import delivery_time, event_time
+
+EVENT_TIMES = {
+    "pick_arrived_ts": "pickTimeArrived",
+    "pick_from_ts": "pickWindowFrom",
+    "pick_to_ts": "pickWindowTo",
+    "drop_arrived_ts": "dropTimeArrived",
+    "drop_from_ts": "dropWindowFrom",
+    "drop_to_ts": "dropWindowTo",
+    "load_booked_ts": "loadBookedTime",
+}
 
 
 def enrich(legs: DataFrame, lenient: bool = False) -> DataFrame:
-    """Legs with delivery time, flags, counted money and lane.
+    """Legs with parsed times, delivery time, flags, counted money and lane.
 
     A plain projection: columns that a report does not use are pruned, so the
     same frame serves all of them, read live or stored by ``write_enriched``.
     """
     return legs.withColumns(
         {
+            **{name: event_time(F.col(text), lenient) for name, text in EVENT_TIMES.items()},
             "delivery_ts": delivery_time(lenient),
             "is_crossdock": is_crossdock(),
             "is_tonu": is_tonu(),

@@ -1,11 +1,9 @@
-"""On-time rules for one leg."""
+"""On-time rules for one enriched leg."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from lanelytics.functions.times import event_time
-
 ON_TIME = "On Time"
 LATE = "Late"
 
@@ -14,16 +12,16 @@ TARGETS = {"OTP": 98.5, "OTD": 99.9, "OTD (some reports)": 98.0, "Tracking": 100
 
 
 def arrived(side: str) -> Column:
-    """Arrival time at a leg's ``pick`` or ``drop`` end."""
-    return event_time(F.col(f"{side}TimeArrived"))
+    """Arrival time at an enriched leg's ``pick`` or ``drop`` end."""
+    return F.col(f"{side}_arrived_ts")
 
 
 def window_start(side: str) -> Column:
-    return event_time(F.col(f"{side}WindowFrom"))
+    return F.col(f"{side}_from_ts")
 
 
 def window_end(side: str) -> Column:
-    return event_time(F.col(f"{side}WindowTo"))
+    return F.col(f"{side}_to_ts")
 
 
 def _status(late: Column) -> Column:

@@ -12,8 +12,6 @@ from lanelytics.operators.predicates import ZIPS, equals, keys_present, populati
 from lanelytics.operators.rollup import distinct_count, profit_rollup
 from lanelytics.query import LegQuery
 
-PROFIT = F.col("total_profit")
-
 
 def market_lane(start: str, end: str) -> dict[str, str]:
     return {"startMarket": start, "endMarket": end}
@@ -35,11 +33,11 @@ def lane_customers(enriched: DataFrame, query: LegQuery, lane: Mapping[str, str]
         .select(
             F.col("clientName").alias("customer"),
             "completed_orders", "canceled_orders", "total_revenue", "total_cost", "total_profit",
-            percent(PROFIT, F.col("total_revenue")).alias("margin_pct"),
-            ratio(PROFIT, orders).alias("avg_profit_per_order"),
+            percent(F.col("total_profit"), F.col("total_revenue")).alias("margin_pct"),
+            ratio(F.col("total_profit"), orders).alias("avg_profit_per_order"),
             "tonu_revenue", "tonu_cost",
         )
-        .orderBy(PROFIT, "customer")
+        .orderBy(F.col("total_profit"), "customer")
     )
 
 
@@ -54,9 +52,9 @@ def lane_carriers(enriched: DataFrame, query: LegQuery, lane: Mapping[str, str])
             F.col("carrierName").alias("carrier"),
             F.col("order_count").alias("orders_with_carrier"),
             "shipment_count", "total_cost", "total_revenue", "total_profit",
-            ratio(PROFIT, F.col("shipment_count")).alias("avg_profit_per_shipment"),
+            ratio(F.col("total_profit"), F.col("shipment_count")).alias("avg_profit_per_shipment"),
         )
-        .orderBy(PROFIT, "carrier")
+        .orderBy(F.col("total_profit"), "carrier")
     )
 
 

@@ -17,8 +17,6 @@ from lanelytics.operators.predicates import (
 from lanelytics.operators.rollup import distinct_count, profit_rollup, with_rates
 from lanelytics.query import LegQuery
 
-PROFIT = F.col("total_profit")
-
 LANE_COLUMNS = (
     "lane", "startMarket", "endMarket", "completed_orders", "canceled_orders", "avg_miles",
     "total_revenue", "total_cost", "crossdock_cost", "total_profit", "margin_pct", "xd_cost_pct",
@@ -48,7 +46,7 @@ def lane_profit(enriched: DataFrame, query: LegQuery) -> DataFrame:
         F.bround("margin_pct", 1).alias("margin_pct"),
         "tonu_revenue",
         "tonu_cost",
-    ).orderBy(PROFIT.desc(), "lane")
+    ).orderBy(F.col("total_profit").desc(), "lane")
 
 
 def lane_allocation(enriched: DataFrame, known_only: bool = True) -> DataFrame:
@@ -82,13 +80,13 @@ def market_profit(enriched: DataFrame, query: LegQuery) -> DataFrame:
             "completed_orders", "canceled_orders", "total_revenue", "total_cost", "total_profit",
             "crossdock_cost", "margin_pct", "tonu_revenue", "tonu_cost",
         )
-        .orderBy(PROFIT, "market")
+        .orderBy(F.col("total_profit"), "market")
     )
 
 
 def _having(lanes: DataFrame, min_orders: int, only_negative: bool) -> DataFrame:
     kept = lanes.filter(F.col("order_count") >= min_orders)
-    return kept.filter(PROFIT < 0) if only_negative else kept
+    return kept.filter(F.col("total_profit") < 0) if only_negative else kept
 
 
 def lane_diagnostics(
@@ -100,7 +98,7 @@ def lane_diagnostics(
         with_rates(lanes)
         .withColumn("lane", lane_label(*MARKETS))
         .select(*LANE_COLUMNS)
-        .orderBy(PROFIT, "lane")
+        .orderBy(F.col("total_profit"), "lane")
     )
 
 
@@ -123,7 +121,7 @@ def zip_diagnostics(
         .withColumn("lane", lane_label(*ZIPS))
         .withColumn("lane_display", zip_lane_display())
         .select("lane", "lane_display", *ZIPS, "pickCity", "dropCity", *LANE_COLUMNS[1:])
-        .orderBy(PROFIT, "lane")
+        .orderBy(F.col("total_profit"), "lane")
     )
 
 
@@ -154,7 +152,7 @@ def similar_mileage(
         .select(
             lane_label(*MARKETS).alias("lane"),
             *MARKETS, "completed_orders", "canceled_orders", "avg_miles",
-            "total_revenue", "total_cost", "crossdock_cost", PROFIT.alias("profit"),
+            "total_revenue", "total_cost", "crossdock_cost", F.col("total_profit").alias("profit"),
             "margin_pct", "xd_cost_pct",
             (F.col("shipment_count") / F.col("order_count")).alias("avg_legs"),
             "tonu_revenue", "tonu_cost",
@@ -203,12 +201,12 @@ def headline(lanes: DataFrame) -> DataFrame:
 
     Orders are added up over lanes, so an order on two lanes counts twice.
     """
-    loss = PROFIT < 0
+    loss = F.col("total_profit") < 0
     names = ("total_revenue", "total_cost", "total_profit", "crossdock_cost", "tonu_revenue", "tonu_cost")
     summed = lanes.agg(
         F.count(F.lit(1)).alias("lanes_shown"),
         F.count(F.when(loss, 1)).alias("negative_lanes"),
-        F.coalesce(F.sum(F.when(loss, PROFIT)), F.lit(0).cast("decimal(18,4)")).alias("total_loss"),
+        F.coalesce(F.sum(F.when(loss, F.col("total_profit"))), F.lit(0).cast("decimal(18,4)")).alias("total_loss"),
         F.sum("completed_orders").alias("completed_orders"),
         F.sum("canceled_orders").alias("canceled_orders"),
         F.coalesce(F.sum(F.when(loss, F.col("completed_orders"))), F.lit(0)).alias("completed_affected"),

@@ -11,7 +11,13 @@ from lanelytics.functions.money import header_amount, percent_or_null
 from lanelytics.functions.times import in_previous_month, iso_date
 from lanelytics.operators.predicates import MARKETS, customer_view, keys_present
 
-_REVENUE, _COST = F.col("revenueAllocationNumber"), F.col("costAllocationNumber")
+
+def _revenue() -> Column:
+    return F.col("revenueAllocationNumber")
+
+
+def _cost() -> Column:
+    return F.col("costAllocationNumber")
 
 
 def _sums(revenue: Column, cost: Column) -> list[Column]:
@@ -61,14 +67,14 @@ def customer_profit_from_legs(
     rows = _main_rows(enriched, as_of)
     if customer is not None:
         rows = rows.filter(F.col("clientName") == customer)
-    per_order = rows.groupBy("shipmentType", "orderCode").agg(*_sums(_REVENUE, _COST))
+    per_order = rows.groupBy("shipmentType", "orderCode").agg(*_sums(_revenue(), _cost()))
     return _margin(_total(per_order, ["shipmentType"], "orderCode"))
 
 
 def lane_profit_from_legs(enriched: DataFrame, as_of: dt.date | None = None, limit: int | None = 20) -> DataFrame:
     """The most profitable lanes by type, over completed main rows."""
     rows = _main_rows(enriched, as_of).filter(keys_present(*MARKETS))
-    per_order = rows.groupBy(*MARKETS, "shipmentType", "orderCode").agg(*_sums(_REVENUE, _COST))
+    per_order = rows.groupBy(*MARKETS, "shipmentType", "orderCode").agg(*_sums(_revenue(), _cost()))
     lanes = _margin(_total(per_order, [*MARKETS, "shipmentType"], "orderCode"))
     return _best(lanes, limit)
 
@@ -112,9 +118,9 @@ def leg_margins(rows: DataFrame) -> DataFrame:
     """Legs with ``profit`` and ``margin`` of revenue; none without revenue."""
     return rows.withColumns(
         {
-            "profit": _REVENUE - _COST,
+            "profit": _revenue() - _cost(),
             "margin": F.when(
-                _REVENUE != 0, (_REVENUE - _COST).cast("double") / _REVENUE.cast("double")
+                _revenue() != 0, (_revenue() - _cost()).cast("double") / _revenue().cast("double")
             ),
         }
     )

@@ -13,7 +13,14 @@ from lanelytics.operators.predicates import MARKETS, keys_present
 
 LANE_FIELDS = ("pickCity", "dropCity", "startMarket", "endMarket")
 TIME_FIELDS = ("pickTimeArrived", "dropTimeArrived")
-_REVENUE, _COST = F.col("revenueAllocationNumber"), F.col("costAllocationNumber")
+
+
+def _revenue() -> Column:
+    return F.col("revenueAllocationNumber")
+
+
+def _cost() -> Column:
+    return F.col("costAllocationNumber")
 
 
 def delivered_since(legs: DataFrame, since: str, shipment_type: str = "Less Than Truckload") -> DataFrame:
@@ -36,7 +43,7 @@ def allocation_profile(legs: DataFrame) -> DataFrame:
         ]
 
     return legs.groupBy("mainShipment").agg(
-        F.count(F.lit(1)).alias("total_rows"), *shares("rev", _REVENUE), *shares("cost", _COST)
+        F.count(F.lit(1)).alias("total_rows"), *shares("rev", _revenue()), *shares("cost", _cost())
     )
 
 
@@ -47,8 +54,8 @@ def multi_leg_allocations(legs: DataFrame, limit: int | None = 20) -> DataFrame:
         .groupBy("shipmentWarpId")
         .agg(
             F.count(F.lit(1)).alias("num_legs"),
-            F.sum(_REVENUE).alias("total_rev_alloc"),
-            F.sum(_COST).alias("total_cost_alloc"),
+            F.sum(_revenue()).alias("total_rev_alloc"),
+            F.sum(_cost()).alias("total_cost_alloc"),
         )
         .filter(F.col("num_legs") > 1)
     )
@@ -58,7 +65,7 @@ def multi_leg_allocations(legs: DataFrame, limit: int | None = 20) -> DataFrame:
 def allocation_frequency(legs: DataFrame, limit: int = 20) -> DataFrame:
     """The most frequent revenue allocations."""
     return (
-        legs.filter(_REVENUE.isNotNull())
+        legs.filter(_revenue().isNotNull())
         .groupBy("revenueAllocationNumber")
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), "revenueAllocationNumber")
@@ -72,7 +79,7 @@ def allocated_amounts(legs: DataFrame, sample: int = 5) -> DataFrame:
     The few chosen ids are matched as a semi join, which moves no leg.
     """
     chosen = (
-        legs.filter((_REVENUE != 1) & (_REVENUE != 0) & F.col("shipmentWarpId").isNotNull())
+        legs.filter((_revenue() != 1) & (_revenue() != 0) & F.col("shipmentWarpId").isNotNull())
         .select("shipmentWarpId")
         .distinct()
         .orderBy("shipmentWarpId")
@@ -83,8 +90,8 @@ def allocated_amounts(legs: DataFrame, sample: int = 5) -> DataFrame:
         .select(
             "shipmentWarpId", "warpId", "mainShipment",
             "revenueAllocationNumber", "costAllocationNumber", "totalRevenue", "totalCost",
-            allocated(F.col("totalRevenue"), _REVENUE).alias("allocated_revenue"),
-            allocated(F.col("totalCost"), _COST).alias("allocated_cost"),
+            allocated(F.col("totalRevenue"), _revenue()).alias("allocated_revenue"),
+            allocated(F.col("totalCost"), _cost()).alias("allocated_cost"),
         )
         .orderBy("shipmentWarpId", "warpId")
     )
@@ -93,14 +100,14 @@ def allocated_amounts(legs: DataFrame, sample: int = 5) -> DataFrame:
 def allocation_stats(legs: DataFrame) -> DataFrame:
     """Mean, least and greatest allocation by main flag."""
     stats = []
-    for name, amount in (("rev", _REVENUE), ("cost", _COST)):
+    for name, amount in (("rev", _revenue()), ("cost", _cost())):
         known = F.count(amount)
         stats += [
             F.when(known > 0, F.sum(amount).cast("double") / known).alias(f"avg_{name}_alloc"),
             F.min(amount).alias(f"min_{name}_alloc"),
             F.max(amount).alias(f"max_{name}_alloc"),
         ]
-    return legs.filter(_REVENUE.isNotNull()).groupBy("mainShipment").agg(*stats)
+    return legs.filter(_revenue().isNotNull()).groupBy("mainShipment").agg(*stats)
 
 
 def field_coverage(
@@ -142,8 +149,8 @@ def top_lanes(legs: DataFrame, limit: int = 15) -> DataFrame:
         .groupBy(*MARKETS)
         .agg(
             F.count(F.lit(1)).alias("shipments"),
-            F.sum(or_zero(_REVENUE)).alias("revenue"),
-            F.sum(or_zero(_COST)).alias("cost"),
+            F.sum(or_zero(_revenue())).alias("revenue"),
+            F.sum(or_zero(_cost())).alias("cost"),
         )
         .select(
             lane_label(*MARKETS, arrow=CITY_ARROW).alias("lane"),
@@ -180,7 +187,7 @@ def sanity_checks(enriched: DataFrame) -> DataFrame:
 
     One pass: legs are brought to one row per order and type, then added up.
     """
-    margin = (_REVENUE - _COST).cast("double") * 100 / _REVENUE.cast("double")
+    margin = (_revenue() - _cost()).cast("double") * 100 / _revenue().cast("double")
     low, high = REVENUE_RANGE
     limit = F.lit(None).cast("int")
     for kind, most in MAX_ORDER_ROWS.items():
@@ -188,9 +195,9 @@ def sanity_checks(enriched: DataFrame) -> DataFrame:
     timed = F.col("drop_arrived_ts").isNotNull() & F.col("drop_to_ts").isNotNull()
     per_order = enriched.groupBy("shipmentType", "orderCode").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count(F.when((_REVENUE != 0) & (F.abs(margin) > MAX_MARGIN_PCT), 1)).alias("margin_out_of_range"),
-        F.count(F.when((_REVENUE < low) | (_REVENUE > high), 1)).alias("revenue_out_of_range"),
-        F.count(F.when(or_zero(_COST) == 0, 1)).alias("without_cost"),
+        F.count(F.when((_revenue() != 0) & (F.abs(margin) > MAX_MARGIN_PCT), 1)).alias("margin_out_of_range"),
+        F.count(F.when((_revenue() < low) | (_revenue() > high), 1)).alias("revenue_out_of_range"),
+        F.count(F.when(or_zero(_cost()) == 0, 1)).alias("without_cost"),
         F.count(F.when(timed, 1)).alias("timed"),
         F.count(F.when(timed & (F.col("drop_arrived_ts") < F.col("drop_to_ts")), 1)).alias("on_time"),
     )

@@ -14,6 +14,7 @@ from lanelytics.functions.labels import CITY_ARROW, lane_label
 from lanelytics.functions.money import header_amount, is_crossdock, or_zero
 from lanelytics.operators.order_stats import ftl_structure
 from lanelytics.operators.predicates import MARKETS, keys_present, same_market, standard_population
+from lanelytics.sources.schema import MONEY
 
 LTL = "Less Than Truckload"
 FTL = "Full Truckload"
@@ -28,7 +29,9 @@ SUB_DOMINATES = 5
 # Sub-keys that an order's rows are spread over in the duplicate test.
 COPIES = 8
 
-_ZERO = F.lit(0).cast("decimal(18,4)")
+
+def _zero() -> Column:
+    return F.lit(0).cast(MONEY)
 
 
 def completed_of_type(legs: DataFrame, shipment_type: str = LTL) -> DataFrame:
@@ -46,7 +49,7 @@ def order_metrics(rows: DataFrame, lanes: bool = True) -> DataFrame:
     revenue, cost = or_zero(F.col("revenueAllocationNumber")), or_zero(F.col("costAllocationNumber"))
 
     def total(condition: Column, amount: Column) -> Column:
-        return F.sum(F.when(condition, amount).otherwise(_ZERO))
+        return F.sum(F.when(condition, amount).otherwise(_zero()))
 
     sums = {
         "yes_rev": total(main, revenue),
@@ -145,7 +148,7 @@ def with_duplicate_flag(metrics: DataFrame, rows: DataFrame) -> DataFrame:
     adaptive execution can split it further.
     """
     candidates = metrics.filter(smart_cost_rule(duplicate_test=False) == "3").select("orderCode", "yes_cost")
-    copies = candidates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).cast("bigint"))
+    copies = candidates.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(COPIES)])))
     subs = rows.filter(F.col("mainShipment") == "NO").select(
         "orderCode", "costAllocationNumber", F.pmod(F.xxhash64("warpId"), F.lit(COPIES)).alias("_salt")
     )
@@ -222,8 +225,8 @@ def orders_by_type(legs: DataFrame) -> DataFrame:
         completed.filter(F.col("shipmentType") != LTL)
         .groupBy("orderCode", "shipmentType")
         .agg(
-            F.sum(F.when(uses, or_zero(F.col("revenueAllocationNumber"))).otherwise(_ZERO)).alias("revenue"),
-            F.sum(F.when(uses, or_zero(F.col("costAllocationNumber"))).otherwise(_ZERO)).alias("cost"),
+            F.sum(F.when(uses, or_zero(F.col("revenueAllocationNumber"))).otherwise(_zero())).alias("revenue"),
+            F.sum(F.when(uses, or_zero(F.col("costAllocationNumber"))).otherwise(_zero())).alias("cost"),
         )
     )
     return ltl.unionByName(others)
@@ -425,7 +428,7 @@ def canceled_recognition(enriched: DataFrame) -> DataFrame:
     recognized = (status == "Complete") | ((status == "canceled") & F.col("is_crossdock"))
 
     def total(column: str) -> Column:
-        return F.sum(F.when(recognized, or_zero(F.col(column))).otherwise(_ZERO))
+        return F.sum(F.when(recognized, or_zero(F.col(column))).otherwise(_zero()))
 
     per_order = (
         enriched.filter(standard_population())

@@ -241,7 +241,7 @@ def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One route per load, naming the first and the last leg on it."""
-    ends = F.array("first_code", "last_code")
+    ends = F.array_distinct(F.array("first_code", "last_code"))
     return (
         _table(spark, sf_dir, "lineitem")
         .join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))

@@ -1,30 +1,12 @@
-"""Per-order facts, and putting them back on the order's rows."""
+"""Per-order row counts, and the rows that reports count by them."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 64
-
-
-def with_group_sums(
-    rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], identity: str = "warpId", salts: int = SALTS
-) -> DataFrame:
-    """Rows with sums over their group, as a window over the whole group would give.
-
-    A window, or a join on the keys alone, sends all rows of a group to one
-    task.  Here each row carries a salt from its identity, groups are summed per
-    salt, the few per-salt sums of a group are added up in a window, and rows
-    look their total up by key and salt.  However many rows a group has, its
-    window holds at most ``salts`` of them.  Rows with a NULL key drop out.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(identity), F.lit(salts)))
-    by_salt = salted.groupBy(*keys, "_salt").agg(*[F.sum(column).alias(name) for name, column in sums.items()])
-    group = Window.partitionBy(*keys)
-    totals = by_salt.withColumns({name: F.sum(name).over(group) for name in sums})
-    return salted.join(totals, [*keys, "_salt"]).drop("_salt")
+from lanelytics.operators.skew import with_group_sums
 
 
 def with_order_counts(rows: DataFrame, keys: Sequence[str] = ("orderCode",)) -> DataFrame:

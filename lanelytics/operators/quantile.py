@@ -22,12 +22,13 @@ def exact_percentiles(
     no frequent value fills a partition.  NULL values are left out, keys must
     not be NULL.
     """
-    if shared_folder(rows.sparkSession) is None:
+    spark = rows.sparkSession
+    if shared_folder(spark) is None:
         raise ValueError("exact percentiles store a ranked copy: set spark.checkpoint.dir to a shared folder")
     keys = list(keys)
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
     ranged = counted.repartitionByRange(*keys, value).withColumn("part", F.spark_partition_id())
-    stored = landed(ranged, f"ranks_{uuid4().hex}")
+    stored = landed(spark, f"ranks_{uuid4().hex}", lambda: ranged)
 
     # One row per partition and key: as few as there are partitions.
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

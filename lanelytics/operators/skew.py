@@ -1,0 +1,56 @@
+"""Matching rows with facts about their group when a group may be huge.
+
+A window over a group, or a join on its key alone, sends all rows of the group
+to one task.  Adaptive execution splits such a partition only where both sides
+of a join come straight from a shuffle, which an aggregated side does not.  So
+rows carry a salt, and the aggregated side is matched by key and salt.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+SALTS = 64
+COPIES = 8
+
+
+def salt(identity: str, salts: int) -> Column:
+    """A number below ``salts`` that depends on the row's identity only."""
+    return F.pmod(F.xxhash64(identity), F.lit(salts))
+
+
+def semi_join(rows: DataFrame, wanted: DataFrame, key: str, identity: str = "warpId") -> DataFrame:
+    """Rows whose key is among the distinct ``wanted`` keys."""
+    return (
+        rows.withColumn("_salt", salt(identity, COPIES))
+        .join(_copied(wanted), [key, "_salt"], "left_semi")
+        .drop("_salt")
+    )
+
+
+def lookup_join(rows: DataFrame, facts: DataFrame, key: str, identity: str = "warpId") -> DataFrame:
+    """Rows with the facts of their key, where ``facts`` has one row per key."""
+    return rows.withColumn("_salt", salt(identity, COPIES)).join(_copied(facts), [key, "_salt"]).drop("_salt")
+
+
+def _copied(facts: DataFrame) -> DataFrame:
+    return facts.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(COPIES)])))
+
+
+def with_group_sums(
+    rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], identity: str = "warpId"
+) -> DataFrame:
+    """Rows with sums over their group, as a window over the whole group would give.
+
+    Groups are summed per salt, the per-salt sums of a group are added up in a
+    window, and rows look their total up by key and salt.  However many rows a
+    group has, its window holds at most ``SALTS`` of them, and no total is
+    copied to a salt that has no rows.  Rows with a NULL key drop out.
+    """
+    salted = rows.withColumn("_salt", salt(identity, SALTS))
+    by_salt = salted.groupBy(*keys, "_salt").agg(*[F.sum(column).alias(name) for name, column in sums.items()])
+    group = Window.partitionBy(*keys)
+    totals = by_salt.withColumns({name: F.sum(name).over(group) for name in sums})
+    return salted.join(totals, [*keys, "_salt"]).drop("_salt")

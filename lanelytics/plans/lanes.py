@@ -107,13 +107,16 @@ def zip_diagnostics(
 ) -> DataFrame:
     """Zip pairs with enough orders, worst first, with representative places.
 
-    The largest city and market names stand for the pair.  They are found among
-    the distinct names of each pair in a grouping of their own, because a
-    maximum over text next to the sums would turn the whole rollup into a sort.
+    The largest city and market names stand for the pair.  A maximum over text
+    next to the sums would turn the whole rollup into a sort, so the names of
+    each pair are counted first and the maximum is taken over the few that are
+    left.  A plain distinct would not do: the optimizer removes it under a
+    maximum, the filter on the count keeps it.
     """
     rows = population(enriched, query, keys=ZIPS)
     places = ("pickCity", "dropCity", *MARKETS)
-    names = rows.select(*ZIPS, *places).distinct().groupBy(*ZIPS).agg(*[F.max(p).alias(p) for p in places])
+    named = rows.groupBy(*ZIPS, *places).agg(F.count(F.lit(1)).alias("legs")).filter(F.col("legs") > 0)
+    names = named.groupBy(*ZIPS).agg(*[F.max(p).alias(p) for p in places])
     lanes = _having(profit_rollup(rows, ZIPS), min_orders, only_negative)
     return (
         with_rates(lanes)

@@ -14,6 +14,7 @@ from lanelytics.functions.labels import CITY_ARROW, lane_label
 from lanelytics.functions.money import header_amount, is_crossdock, or_zero
 from lanelytics.operators.order_stats import ftl_structure
 from lanelytics.operators.predicates import MARKETS, keys_present, same_market, standard_population
+from lanelytics.operators.skew import lookup_join, semi_join
 from lanelytics.sources.schema import MONEY
 
 LTL = "Less Than Truckload"
@@ -26,9 +27,6 @@ DUPLICATE_MATCH = 1
 MAIN_DOMINATES = 2
 SUB_DOMINATES = 5
 
-# Sub-keys that an order's rows are spread over in the duplicate test.
-COPIES = 8
-
 
 def _zero() -> Column:
     return F.lit(0).cast(MONEY)
@@ -143,17 +141,12 @@ def with_duplicate_flag(metrics: DataFrame, rows: DataFrame) -> DataFrame:
     main rows cost together, within a dollar.
 
     Only orders whose amounts are similar need the test, so only they are
-    compared with their sub-shipments.  Salting spreads an order with very many
-    rows, and brings both sides to the join straight from a shuffle, so that
-    adaptive execution can split it further.
+    compared with their sub-shipments.
     """
     candidates = metrics.filter(smart_cost_rule(duplicate_test=False) == "3").select("orderCode", "yes_cost")
-    copies = candidates.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(COPIES)])))
-    subs = rows.filter(F.col("mainShipment") == "NO").select(
-        "orderCode", "costAllocationNumber", F.pmod(F.xxhash64("warpId"), F.lit(COPIES)).alias("_salt")
-    )
+    subs = rows.filter(F.col("mainShipment") == "NO").select("orderCode", "warpId", "costAllocationNumber")
     matching = (
-        subs.join(copies, ["orderCode", "_salt"])
+        lookup_join(subs, candidates, "orderCode")
         .filter(F.abs(F.col("costAllocationNumber") - F.col("yes_cost")) < DUPLICATE_MATCH)
         .select("orderCode")
         .distinct()
@@ -451,6 +444,6 @@ def canceled_recognition(enriched: DataFrame) -> DataFrame:
 def canceled_with_handling(legs: DataFrame) -> DataFrame:
     """Completed legs, and canceled ones whose order has a handling leg at any status."""
     handled = legs.filter(is_crossdock()).select("orderCode").distinct()
-    canceled = legs.filter(F.col("shipmentStatus") == "canceled").join(handled, "orderCode", "left_semi")
+    canceled = semi_join(legs.filter(F.col("shipmentStatus") == "canceled"), handled, "orderCode")
     completed = legs.filter(F.col("shipmentStatus") == "Complete")
     return completed.unionByName(canceled)

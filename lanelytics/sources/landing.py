@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str], tuple[str, T.StructType]] = {}
 _local_folder: str | None = None
 
 
@@ -27,24 +28,25 @@ def shared_folder(spark: SparkSession) -> str | None:
     return _local_folder
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` read back from a table written once per application.
+def landed(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The built frame, read back from a table written once per application.
 
     The copy survives the loss of executors, and its readers see plain stored
     columns, so projections and filters reach the scan.  Without a shared
     folder the plan is used as it is.
     """
-    spark = df.sparkSession
     folder = shared_folder(spark)
     if folder is None:
-        return df
+        return build()
     application = spark.conf.get("spark.app.id")
     key = (application, name)
     if key not in _written:
+        frame = build()
         path = f"{folder.rstrip('/')}/lanelytics/{application}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        _written[key] = path
-    return spark.read.schema(df.schema).parquet(_written[key])
+        frame.write.mode("overwrite").parquet(path)
+        _written[key] = (path, frame.schema)
+    path, schema = _written[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def clustered_by_date(enriched: DataFrame) -> DataFrame:

@@ -298,7 +298,7 @@ def crossdock_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def enriched_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The enriched leg table, derived and stored once per application."""
     name = "legs_" + re.sub(r"\W+", "_", sf_dir)
-    return landed(clustered_by_date(enrich(legs(spark, sf_dir))), name)
+    return landed(spark, name, lambda: clustered_by_date(enrich(legs(spark, sf_dir))))
 
 
 TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

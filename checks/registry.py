@@ -58,7 +58,11 @@ class Tables:
 
     @cached_property
     def headers(self) -> DataFrame:
-        return sample.order_headers(self.spark, self.sf_dir)
+        return sample.stored(self.spark, self.sf_dir, "order_headers")
+
+    @cached_property
+    def routes(self) -> DataFrame:
+        return sample.stored(self.spark, self.sf_dir, "routes")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in sample.TABLES:

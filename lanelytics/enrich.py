@@ -23,10 +23,10 @@ def enrich(legs: DataFrame, lenient: bool = False) -> DataFrame:
     A plain projection: columns that a report does not use are pruned, so the
     same frame serves all of them, read live or stored by ``write_enriched``.
     """
-    return legs.withColumns(
+    parsed = legs.withColumns({name: event_time(F.col(text), lenient) for name, text in EVENT_TIMES.items()})
+    return parsed.withColumns(
         {
-            **{name: event_time(F.col(text), lenient) for name, text in EVENT_TIMES.items()},
-            "delivery_ts": delivery_time(lenient),
+            "delivery_ts": delivery_time(),
             "is_crossdock": is_crossdock(),
             "is_tonu": is_tonu(),
             "counted_revenue": counted(F.col("revenueAllocationNumber")),

@@ -42,17 +42,17 @@ def present(column: Column) -> Column:
     return column.isNotNull() & (column != "")
 
 
-def delivery_time(lenient: bool = False) -> Column:
-    """When a leg counts as delivered.
+def delivery_time() -> Column:
+    """When a leg with parsed times counts as delivered.
 
     A cross-dock leg counts at its scheduled window; any other leg at its
     arrival time, else its arrival date, else its scheduled window.  The first
-    source that is present decides, even if its text cannot be read.
+    source that is present decides, even if its text could not be read.
     """
-    scheduled = event_time(F.col("dropWindowFrom"), lenient)
+    scheduled = F.col("drop_from_ts")
     return (
         F.when(F.col("pickLocationName") == F.col("dropLocationName"), scheduled)
-        .when(present(F.col("dropTimeArrived")), event_time(F.col("dropTimeArrived"), lenient))
+        .when(present(F.col("dropTimeArrived")), F.col("drop_arrived_ts"))
         .when(present(F.col("dropDateArrived")), event_date(F.col("dropDateArrived")))
         .otherwise(scheduled)
     )

@@ -295,12 +295,6 @@ def crossdock_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def enriched_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched leg table, derived and stored once per application."""
-    name = "legs_" + re.sub(r"\W+", "_", sf_dir)
-    return landed(spark, name, lambda: clustered_by_date(enrich(legs(spark, sf_dir))))
-
-
 TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "legs": legs,
     "order_headers": order_headers,
@@ -311,3 +305,19 @@ TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quotes": quotes,
     "crossdock_records": crossdock_records,
 }
+
+
+def _stored_name(table: str, sf_dir: str) -> str:
+    return table + re.sub(r"\W+", "_", f"_{sf_dir}")
+
+
+def enriched_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched leg table, derived and stored once per application."""
+    return landed(
+        spark, _stored_name("legs", sf_dir), lambda: clustered_by_date(enrich(legs(spark, sf_dir)))
+    )
+
+
+def stored(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """One of the companion tables, derived and stored once per application."""
+    return landed(spark, _stored_name(table, sf_dir), lambda: TABLES[table](spark, sf_dir))

@@ -46,10 +46,11 @@ def _at(day: str, hour: int | Column) -> Column:
     return F.concat(F.col(day), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":00:00"))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Share rows out when the files hold fewer splits than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items, shared out when the files hold fewer splits than there are cores."""
+    lines = _table(spark, sf_dir, "lineitem")
+    cores = spark.sparkContext.defaultParallelism
+    return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
 
 
 def _year_month(base: str) -> Column:
@@ -141,7 +142,7 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("c_nation"), F.col("r_name").alias("c_region")
     )
     rows = (
-        _spread(_table(spark, sf_dir, "lineitem"))
+        _lines(spark, sf_dir)
         .withColumns({"booked_day": _day(-2), "ship_day": _day(0), "drop_day": _day(3)})
         .join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -211,7 +212,7 @@ def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sub = F.col("mainShipment") == "NO"
     zero = F.lit(0).cast(MONEY)
     totals = (
-        _table(spark, sf_dir, "lineitem")
+        _lines(spark, sf_dir)
         .filter(F.col("l_partkey") % 20 != F.col("l_suppkey") % 20)
         .select("l_orderkey", _main_flag().alias("mainShipment"), _revenue().alias("rev"), _cost().alias("cost"))
         .groupBy("l_orderkey")
@@ -243,7 +244,7 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One route per load, naming the first and the last leg on it."""
     ends = F.array_distinct(F.array("first_code", "last_code"))
     return (
-        _table(spark, sf_dir, "lineitem")
+        _lines(spark, sf_dir)
         .join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(_load_id().alias("routeId"), "s_name", _leg_id().alias("code"))
         .groupBy("routeId")

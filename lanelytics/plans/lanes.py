@@ -139,12 +139,14 @@ def similar_mileage(
 
     The target is normally the rounded mean of the selected lane; the unrounded
     mean of each lane is compared with it.  ``target_miles`` may be a scalar
-    subquery, so that it is found within the same plan.
+    subquery, so that it is found within the same plan.  Without a known target
+    distance there are no peers.
     """
     target = target_miles if isinstance(target_miles, Column) else F.lit(float(target_miles))
     rows = population(enriched, query)
     lanes = profit_rollup(rows, MARKETS).filter(
-        (F.col("avg_main_miles") >= target * (1 - tolerance))
+        (target > 0)
+        & (F.col("avg_main_miles") >= target * (1 - tolerance))
         & (F.col("avg_main_miles") <= target * (1 + tolerance))
         & (F.col("order_count") >= min_orders)
     )

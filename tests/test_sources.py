@@ -153,3 +153,32 @@ def test_without_shared_folder_nothing_is_written(monkeypatch, spark):
     monkeypatch.setattr(landing, "shared_folder", lambda _: None)
     frame = spark.range(3)
     assert landing.landed(spark, "never", lambda: frame) is frame
+
+
+def test_server_tables_are_read_in_slices():
+    class Reader:
+        def __init__(self):
+            self.seen = {}
+
+        def format(self, name):
+            self.seen["format"] = name
+            return self
+
+        def options(self, **options):
+            self.seen.update(options)
+            return self
+
+        def option(self, key, value):
+            self.seen[key] = value
+            return self
+
+        def load(self):
+            return self.seen
+
+    session = Session()
+    session.read = Reader()
+    seen = tables.read_jdbc(session, {"url": "jdbc:x"}, "legs", "id", "0", "100", 4)
+    assert seen == {
+        "format": "jdbc", "url": "jdbc:x", "dbtable": "legs", "partitionColumn": "id",
+        "lowerBound": "0", "upperBound": "100", "numPartitions": 4,
+    }

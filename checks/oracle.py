@@ -599,14 +599,15 @@ def _carrier_rates(side: str, where: str = "true") -> str:
     )
 
 
-_CUSTOMER_ROWS = """mainShipment = 'YES' AND shipmentStatus = 'Complete' AND dropTimeArrived IS NOT NULL
-  AND dropWindowTo IS NOT NULL"""
+def _customer_rows(side: str) -> str:
+    return f"""mainShipment = 'YES' AND shipmentStatus = 'Complete' AND {side}TimeArrived IS NOT NULL
+  AND {side}WindowTo IS NOT NULL"""
 
 
-def _customer_rates(where: str = "true") -> str:
+def _customer_rates(where: str = "true", side: str = "drop") -> str:
     return _with(
-        f"""SELECT {_LANE_NAME} AS lane, startMarket, endMarket, equipment, shipmentType, {_rates("drop")}
-FROM e WHERE {_CUSTOMER_ROWS} AND {where} GROUP BY startMarket, endMarket, equipment, shipmentType"""
+        f"""SELECT {_LANE_NAME} AS lane, startMarket, endMarket, equipment, shipmentType, {_rates(side)}
+FROM e WHERE {_customer_rows(side)} AND {where} GROUP BY startMarket, endMarket, equipment, shipmentType"""
     )
 
 
@@ -640,12 +641,13 @@ SERVICE = {
     ),
     "carrier_otd": _carrier_rates("drop"),
     "customer_otd": _customer_rates(),
+    "customer_otp": _customer_rates(side="pick"),
     "customer_otd_week": _customer_rates(_LAST_WEEK),
     "customer_otd_pivot": _with(
         f"""SELECT lane, {", ".join(
             f"avg(CASE WHEN drop_at < drop_to THEN 100.0::DOUBLE ELSE 0 END) FILTER (equipment = '{q}') AS \"{q}\""
             for q in EQUIPMENT)}
-FROM e WHERE {_CUSTOMER_ROWS} GROUP BY lane"""
+FROM e WHERE {_customer_rows("drop")} GROUP BY lane"""
     ),
     "site_otd": _with(
         f"""SELECT dropLocationName, shipmentType, {_rates("drop")} FROM stops GROUP BY dropLocationName, shipmentType""",

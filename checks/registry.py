@@ -195,6 +195,7 @@ SERVICE: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "carrier_otd": lambda t: sl.carrier_on_time(t.legs, "drop"),
     "customer_otd": lambda t: sl.customer_on_time(t.legs),
+    "customer_otp": lambda t: sl.customer_on_time(t.legs, side="pick"),
     "customer_otd_week": lambda t: sl.customer_on_time(t.legs, as_of=AS_OF),
     "customer_otd_pivot": lambda t: sl.customer_on_time_pivot(t.legs, EQUIPMENT),
     "site_otd": lambda t: sl.site_on_time(t.legs, SITES),

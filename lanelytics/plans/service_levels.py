@@ -59,26 +59,29 @@ def carrier_on_time(legs: DataFrame, side: str = "pick", **filters) -> DataFrame
     return carrier_stops(legs, side, **filters).groupBy("shipmentType").agg(*_rate(side))
 
 
-def _customer_deliveries(legs: DataFrame, customer: str | None, as_of: dt.date | None) -> DataFrame:
-    rows = _timed(legs, "drop").filter(customer_view() & (F.col("shipmentStatus") == "Complete"))
+def _customer_rows(legs: DataFrame, side: str, customer: str | None, as_of: dt.date | None) -> DataFrame:
+    rows = _timed(legs, side).filter(customer_view() & (F.col("shipmentStatus") == "Complete"))
     if customer is not None:
         rows = rows.filter(F.col("clientName") == customer)
     if as_of is not None:
-        rows = rows.filter(in_previous_week(window_start("drop"), as_of))
+        rows = rows.filter(in_previous_week(window_start(side), as_of))
     return rows
 
 
-def customer_on_time(legs: DataFrame, customer: str | None = None, as_of: dt.date | None = None) -> DataFrame:
-    """Customer view: on-time delivery by lane, equipment and type.
+def customer_on_time(
+    legs: DataFrame, customer: str | None = None, as_of: dt.date | None = None, side: str = "drop"
+) -> DataFrame:
+    """Customer view: on-time deliveries, or pickups, by lane, equipment and type.
 
-    With ``as_of``, over the ISO week before it, by scheduled delivery.
+    With ``as_of``, over the ISO week before it, by scheduled time.
     """
+    total = {"pick": "total_pickups", "drop": "total_deliveries"}[side]
     return (
-        _customer_deliveries(legs, customer, as_of)
+        _customer_rows(legs, side, customer, as_of)
         .groupBy(*MARKETS, "equipment", "shipmentType")
-        .agg(*_rate("drop"))
+        .agg(*_rate(side))
         .withColumn("lane", lane_label(*MARKETS))
-        .orderBy(F.desc("total_deliveries"), "lane", "equipment", "shipmentType")
+        .orderBy(F.desc(total), "lane", "equipment", "shipmentType")
     )
 
 
@@ -86,7 +89,7 @@ def customer_on_time_pivot(
     legs: DataFrame, equipment: tuple[str, ...], customer: str | None = None, as_of: dt.date | None = None
 ) -> DataFrame:
     """On-time deliveries in percent per lane, one column per equipment."""
-    rows = _customer_deliveries(legs, customer, as_of).withColumn("lane", lane_label(*MARKETS))
+    rows = _customer_rows(legs, "drop", customer, as_of).withColumn("lane", lane_label(*MARKETS))
     hit = F.when(on_time("drop"), 100.0).otherwise(0.0)
     return rows.groupBy("lane").pivot("equipment", list(equipment)).agg(F.avg(hit)).orderBy("lane")
 

@@ -32,6 +32,11 @@ def counted(amount: Column) -> Column:
     return F.when(counts, or_zero(amount)).otherwise(F.lit(0).cast(MONEY))
 
 
+def sum_where(condition: Column, amount: Column) -> Column:
+    """The sum of an amount over the rows of a group that meet a condition, 0 if none does."""
+    return F.coalesce(F.sum(F.when(condition, amount)), F.lit(0).cast(MONEY))
+
+
 def profit(revenue: Column, cost: Column) -> Column:
     return or_zero(revenue) - or_zero(cost)
 

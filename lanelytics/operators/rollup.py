@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanelytics.functions.money import or_zero, percent
+from lanelytics.functions.money import percent, sum_where
 
 SUMS = (
     "total_revenue",
@@ -35,17 +35,16 @@ def _any(condition: Column) -> Column:
 
 def by_order(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per key and order, with the order's sums and status flags."""
-    revenue, cost = or_zero(F.col("revenueAllocationNumber")), or_zero(F.col("costAllocationNumber"))
-    zero = F.lit(0).cast("decimal(18,4)")
+    revenue, cost = F.col("revenueAllocationNumber"), F.col("costAllocationNumber")
     main = F.col("mainShipment") == "YES"
     return rows.groupBy(*keys, "orderCode").agg(
         _any(F.col("shipmentStatus") == "Complete").alias("has_complete"),
         _any(F.col("shipmentStatus") == "canceled").alias("has_canceled"),
         F.sum("counted_revenue").alias("total_revenue"),
         F.sum("counted_cost").alias("total_cost"),
-        F.sum(F.when(F.col("is_crossdock"), cost).otherwise(zero)).alias("crossdock_cost"),
-        F.sum(F.when(F.col("is_tonu"), revenue).otherwise(zero)).alias("tonu_revenue"),
-        F.sum(F.when(F.col("is_tonu"), cost).otherwise(zero)).alias("tonu_cost"),
+        sum_where(F.col("is_crossdock"), cost).alias("crossdock_cost"),
+        sum_where(F.col("is_tonu"), revenue).alias("tonu_revenue"),
+        sum_where(F.col("is_tonu"), cost).alias("tonu_cost"),
         F.count(F.when(F.col("is_tonu"), 1)).alias("tonu_rows"),
         F.count(F.lit(1)).alias("leg_rows"),
         F.count(F.when(main, 1)).alias("main_rows"),

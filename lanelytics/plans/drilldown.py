@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lanelytics.functions.labels import lane_label, split_lane, yes_no
-from lanelytics.functions.money import or_zero, percent, profit
+from lanelytics.functions.money import or_zero, percent, profit, sum_where
 from lanelytics.operators.predicates import (
     MARKETS,
     detail_rows,
@@ -87,7 +87,6 @@ def drill_detail(
 def detail_totals(detail: DataFrame) -> DataFrame:
     """Totals over listed legs, for when there is no headline."""
     cost = F.col("Cost")
-    zero = F.lit(0).cast("decimal(18,4)")
     return (
         detail.groupBy("Order ID")
         .agg(
@@ -95,7 +94,7 @@ def detail_totals(detail: DataFrame) -> DataFrame:
             F.sum("Revenue").alias("revenue"),
             F.sum(cost).alias("cost"),
             F.sum("Profit").alias("profit"),
-            F.sum(F.when(F.col("Cross-dock") == "Yes", cost).otherwise(zero)).alias("crossdock_cost"),
+            sum_where(F.col("Cross-dock") == "Yes", cost).alias("crossdock_cost"),
         )
         .agg(
             F.count("Order ID").alias("completed_orders"),

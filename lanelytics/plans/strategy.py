@@ -11,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanelytics.functions.labels import CITY_ARROW, lane_label
-from lanelytics.functions.money import header_amount, is_crossdock, or_zero
+from lanelytics.functions.money import header_amount, is_crossdock, or_zero, sum_where
 from lanelytics.operators.order_stats import ftl_structure
 from lanelytics.operators.predicates import MARKETS, keys_present, same_market, standard_population
 from lanelytics.operators.skew import lookup_join, semi_join
-from lanelytics.sources.schema import MONEY
 
 LTL = "Less Than Truckload"
 FTL = "Full Truckload"
@@ -28,10 +27,6 @@ MAIN_DOMINATES = 2
 SUB_DOMINATES = 5
 
 
-def _zero() -> Column:
-    return F.lit(0).cast(MONEY)
-
-
 def completed_of_type(legs: DataFrame, shipment_type: str = LTL) -> DataFrame:
     return legs.filter((F.col("shipmentStatus") == "Complete") & (F.col("shipmentType") == shipment_type))
 
@@ -44,20 +39,17 @@ def order_metrics(rows: DataFrame, lanes: bool = True) -> DataFrame:
     picked among the few that an order has left.
     """
     main, sub = F.col("mainShipment") == "YES", F.col("mainShipment") == "NO"
-    revenue, cost = or_zero(F.col("revenueAllocationNumber")), or_zero(F.col("costAllocationNumber"))
-
-    def total(condition: Column, amount: Column) -> Column:
-        return F.sum(F.when(condition, amount).otherwise(_zero()))
-
+    revenue, cost = F.col("revenueAllocationNumber"), F.col("costAllocationNumber")
+    every = F.lit(True)
     sums = {
-        "yes_rev": total(main, revenue),
-        "no_rev": total(sub, revenue),
-        "xd_leg_rev": total(sub & is_crossdock(), revenue),
-        "yes_cost": total(main, cost),
-        "no_cost": total(sub, cost),
-        "xd_no_cost": total(sub & is_crossdock(), cost),
-        "all_rev": F.sum(revenue),
-        "all_cost": F.sum(cost),
+        "yes_rev": sum_where(main, revenue),
+        "no_rev": sum_where(sub, revenue),
+        "xd_leg_rev": sum_where(sub & is_crossdock(), revenue),
+        "yes_cost": sum_where(main, cost),
+        "no_cost": sum_where(sub, cost),
+        "xd_no_cost": sum_where(sub & is_crossdock(), cost),
+        "all_rev": sum_where(every, revenue),
+        "all_cost": sum_where(every, cost),
         "order_rows": F.count(F.lit(1)),
         "main_rows": F.count(F.when(main, 1)),
         "sub_rows": F.count(F.when(sub, 1)),
@@ -213,13 +205,13 @@ def orders_by_type(legs: DataFrame) -> DataFrame:
         F.col("smart_revenue").alias("revenue"),
         F.col("smart_cost").alias("cost"),
     )
-    uses = F.when((F.col("shipmentType") == FTL) | (F.col("mainShipment") == "YES"), F.lit(True))
+    uses = (F.col("shipmentType") == FTL) | (F.col("mainShipment") == "YES")
     others = (
         completed.filter(F.col("shipmentType") != LTL)
         .groupBy("orderCode", "shipmentType")
         .agg(
-            F.sum(F.when(uses, or_zero(F.col("revenueAllocationNumber"))).otherwise(_zero())).alias("revenue"),
-            F.sum(F.when(uses, or_zero(F.col("costAllocationNumber"))).otherwise(_zero())).alias("cost"),
+            sum_where(uses, F.col("revenueAllocationNumber")).alias("revenue"),
+            sum_where(uses, F.col("costAllocationNumber")).alias("cost"),
         )
     )
     return ltl.unionByName(others)
@@ -420,17 +412,14 @@ def canceled_recognition(enriched: DataFrame) -> DataFrame:
     status = F.col("shipmentStatus")
     recognized = (status == "Complete") | ((status == "canceled") & F.col("is_crossdock"))
 
-    def total(column: str) -> Column:
-        return F.sum(F.when(recognized, or_zero(F.col(column))).otherwise(_zero()))
-
     per_order = (
         enriched.filter(standard_population())
         .groupBy("shipmentType", "orderCode")
         .agg(
             F.coalesce(F.max(status == "Complete"), F.lit(False)).alias("complete"),
             F.coalesce(F.max(status == "canceled"), F.lit(False)).alias("canceled"),
-            total("revenueAllocationNumber").alias("revenue"),
-            total("costAllocationNumber").alias("cost"),
+            sum_where(recognized, F.col("revenueAllocationNumber")).alias("revenue"),
+            sum_where(recognized, F.col("costAllocationNumber")).alias("cost"),
         )
     )
     return per_order.groupBy("shipmentType").agg(

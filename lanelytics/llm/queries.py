@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanelytics.llm import byte_bpe, packing, simhash, token_counts
+from lanelytics.llm import byte_bpe, packing, simhash, token_counts, vp_tree
 from lanelytics.llm.common import ship, table
 
 BYTE_RANKS, BYTE_JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), MULTI_RANKS, PATTERN)
 
 
+def op3_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_tree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_JSON)
 

@@ -1,5 +1,7 @@
 """SQL twins of the operators that SQL can express, for DuckDB over the test tables."""
 
+from lanelytics.llm import quality
+
 NEAREST = """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
@@ -15,4 +17,71 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE: dict[str, str] = {"op3_vantage_point_trees": NEAREST}
+_WORDS = r"list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_LINES = r"list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))"
+
+
+def _half(histogram: str, by: str) -> str:
+    """Least value of each group up to which half of the rows lie."""
+    return f"""SELECT grp, {by} min(value) AS half FROM (
+    SELECT *, sum(rows) OVER (PARTITION BY grp {', ' + by.rstrip(', ') if by else ''} ORDER BY value) AS running,
+      sum(rows) OVER (PARTITION BY grp {', ' + by.rstrip(', ') if by else ''}) AS total FROM ({histogram})
+  ) WHERE 2 * running >= total GROUP BY ALL"""
+
+
+def _quality() -> str:
+    names = quality.NAMES
+    chain = lambda source, terms: source if not terms else chain(
+        f"(SELECT *, {terms[0][1].replace('2.109D', '2.109::DOUBLE')} AS {terms[0][0]} FROM {source})", terms[1:]
+    )
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = ", ".join(f"CAST(sum({a} * {b}) AS DOUBLE) AS s{a[1]}{b[1]}" for a, b in pairs)
+    floors = ", ".join(f"{float(quality.STATISTICS[a][1] ** 2 if a == b else 0)}::DOUBLE AS c{a[1]}{b[1]}" for a, b in pairs)
+    steps = ["p0 AS (SELECT * FROM " + chain(f"(SELECT *, {floors} FROM med)", list(quality.FACTORS)) + ")"]
+    for i in range(quality.STEPS + 1):
+        distances = chain(f"(SELECT vec.*, p{i}.* EXCLUDE (grp) FROM vec JOIN p{i} USING (grp))", list(quality.SUBSTITUTION))
+        steps.append(f"d{i} AS (SELECT *, least(CAST(floor(100 * sqrt(square)) AS BIGINT), {quality.FARTHEST}) AS value FROM {distances})")
+        if i < quality.STEPS:
+            steps.append(f"h{i} AS ({_half(f'SELECT grp, value, count(*) AS rows FROM d{i} GROUP BY ALL', '')})")
+            steps.append(
+                f"s{i} AS (SELECT grp, count(*) AS n, {', '.join(f'CAST(sum({z}) AS DOUBLE) AS s{z[1]}' for z in names)}, {sums} "
+                f"FROM d{i} JOIN h{i} USING (grp) WHERE value <= half GROUP BY grp)"
+            )
+            means = ", ".join(f"s{z[1]} / n AS m{z[1]}" for z in names)
+            steps.append(f"p{i + 1} AS (SELECT * FROM " + chain(f"(SELECT *, {means} FROM s{i})", quality.covariances()) + ")")
+    vectors = ", ".join(f"CAST({z} AS BIGINT) AS {name}" for name, (z, _) in quality.STATISTICS.items())
+    values = " UNION ALL ".join(f"SELECT grp, {i} AS place, z{i} AS value FROM vec" for i in range(1, 5))
+    places = ", ".join(f"max(half) FILTER (place = {i}) AS m{i}" for i in range(1, 5))
+    counts = "n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"
+    halves = _half(f"SELECT grp, place, value, count(*) AS rows FROM ({values}) GROUP BY ALL", "place, ")
+    return f"""
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, {_WORDS} AS words, {_LINES} AS lines FROM raw),
+tri AS (
+  SELECT r, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] AS t
+  FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+),
+twice AS (SELECT r, t FROM tri GROUP BY r, t HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM tri JOIN twice USING (r, t), (VALUES (0), (1), (2)) o(k) GROUP BY r),
+base AS (
+  SELECT w.r, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (r)
+),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+vec AS (
+  SELECT doc_id, {counts}, {vectors},
+    CASE WHEN count(*) OVER (PARTITION BY lang, source) < {quality.SMALL} THEN {{'l': lang, 's': '', 'pool': true}}
+      ELSE {{'l': lang, 's': source, 'pool': false}} END AS grp
+  FROM judged WHERE NOT base_failed
+),
+med AS (SELECT grp, {places} FROM ({halves}) GROUP BY grp),
+{", ".join(steps)}
+SELECT doc_id, {counts}, FALSE AS base_failed, square <= {quality.CUTOFF} AS kept FROM d{quality.STEPS}
+UNION ALL SELECT doc_id, {counts}, TRUE, FALSE FROM judged WHERE base_failed
+"""
+
+
+ORACLE: dict[str, str] = {"op3_vantage_point_trees": NEAREST, "op5_quality_rules": _quality()}

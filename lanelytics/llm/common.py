@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from zipfile import ZipFile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -61,3 +62,34 @@ def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, list]]:
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+#: Words that a worker's table keeps.
+TABLE_WORDS = 400_000
+
+
+class WordTable:
+    """Rows of numbers of words, computed once for each word; forgets everything when full."""
+
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = TABLE_WORDS):
+        self.compute, self.limit = compute, limit
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, 0), np.float32)
+
+    def rows_of(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
+        """For each text the rows of its words."""
+        words = {word for text in texts for word in text}
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > self.limit and self.known:
+            self.known, new = {}, words
+        if new:
+            used, fresh = len(self.known), self.compute(list(new))
+            self.known.update(zip(new, range(used, used + len(new))))
+            if len(self.known) > len(self.table) or self.table.shape[1] != fresh.shape[1]:
+                grown = np.zeros((max(2 * len(self.known), 1024), fresh.shape[1]), np.float32)
+                if used:
+                    grown[:used] = self.table[:used]
+                self.table = grown
+            self.table[used : used + len(new)] = fresh
+        for text in texts:
+            yield self.table[np.fromiter(map(self.known.__getitem__, text), np.int64, len(text))]

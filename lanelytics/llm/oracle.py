@@ -1,6 +1,6 @@
 """SQL twins of the operators that SQL can express, for DuckDB over the test tables."""
 
-from lanelytics.llm import quality
+from lanelytics.llm import licenses, quality
 
 NEAREST = """
 WITH v AS (
@@ -84,4 +84,52 @@ UNION ALL SELECT doc_id, {counts}, TRUE, FALSE FROM judged WHERE base_failed
 """
 
 
-ORACLE: dict[str, str] = {"op3_vantage_point_trees": NEAREST, "op5_quality_rules": _quality()}
+def _licenses() -> str:
+    values = ", ".join(f"('{name}', '{text}')" for name, text in sorted(licenses.TEMPLATES.items()))
+    statement = licenses.STATEMENT.replace("(?i)", "")
+    words = lambda text: f"len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> ''))"
+    return f"""
+WITH files AS (
+  SELECT doc_id, text, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), coalesce(CAST(doc_id // 1000 AS VARCHAR), ''),
+    CAST(doc_id AS VARCHAR)) AS path
+  FROM documents
+), stated AS (
+  SELECT path, n_words, trim(l) AS line FROM (
+    SELECT path, {words("text")} AS n_words, unnest(string_split(text, chr(10))) AS l FROM files
+  ) WHERE regexp_matches(l, '{statement}', 'i')
+), lines AS (SELECT DISTINCT line FROM stated), templates(license, line) AS (VALUES {values}),
+lt AS (SELECT line, t AS term, count(*) AS times FROM (
+  SELECT line, unnest(regexp_extract_all(lower(line), '{licenses.TERM}')) AS t FROM lines) GROUP BY ALL),
+tt AS (SELECT license, t AS term, count(*) AS times FROM (
+  SELECT license, unnest(regexp_extract_all(lower(line), '{licenses.TERM}')) AS t FROM templates) GROUP BY ALL),
+idf AS (
+  SELECT term, ln((1 + (SELECT count(*) FROM lines)) / (1 + count(line))) + 1 AS idf
+  FROM (SELECT term, line FROM lt UNION ALL SELECT DISTINCT term, NULL FROM tt) GROUP BY term
+),
+lw AS (SELECT line, term, times * idf / sqrt(sum(times * idf * times * idf) OVER (PARTITION BY line)) AS w FROM lt JOIN idf USING (term)),
+tw AS (SELECT license, term, times * idf / sqrt(sum(times * idf * times * idf) OVER (PARTITION BY license)) AS w
+  FROM tt JOIN idf USING (term)),
+near AS (SELECT line, license, round(sum(lw.w * tw.w), 6) AS score FROM lw JOIN tw USING (term) GROUP BY ALL HAVING score >= {licenses.LEAST}),
+found AS (SELECT line, license, score FROM near QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
+own AS (
+  SELECT path, first(license ORDER BY score DESC, license) AS own_license, max(score) AS own_score,
+    sum({words("line")}) / max(n_words) >= {licenses.LICENSE_SHARE} AS is_license_file
+  FROM stated JOIN found USING (line) GROUP BY path
+),
+speaking AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS above, first(own_license ORDER BY own_score DESC, path) AS inherited
+  FROM own WHERE is_license_file GROUP BY ALL
+),
+placed AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS directory FROM files),
+up AS (
+  SELECT directory, inherited, above FROM (SELECT DISTINCT directory FROM placed) d
+  JOIN speaking ON directory = above OR starts_with(directory, above || '/')
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY length(above) DESC) = 1
+)
+SELECT doc_id, path, own_license, own_score, coalesce(is_license_file, FALSE) AS is_license_file,
+  coalesce(own_license, inherited) AS license, CASE WHEN own_license IS NULL THEN above END AS inherited_from
+FROM placed LEFT JOIN own USING (path) LEFT JOIN up USING (directory)
+"""
+
+
+ORACLE: dict[str, str] = {"op3_vantage_point_trees": NEAREST, "op5_quality_rules": _quality(), "op9_licenses": _licenses()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
+from uuid import uuid4
 from zipfile import ZipFile
 
 import numpy as np
@@ -42,17 +43,38 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written to the checkpoint folder that the session names, with its lineage cut.
-
-    Only a session without ``spark.checkpoint.dir``, as in tests, gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; only one without, as in tests, gets a folder of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame in the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as Parquet in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4()}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Columns that tell documents apart where ids may be null or repeated; no column of a table has such names.
+KEY = ("llm key: id known", "llm key: id", "llm key: text")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of id and text that is never null."""
+    doc_id = F.col("doc_id").cast("long")
+    values = (doc_id.isNotNull(), F.coalesce(doc_id, F.lit(0)), F.xxhash64("text"))
+    return docs.withColumns(dict(zip(KEY, values)))
+
+
 def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """Slices of Arrow batches as lists by column name."""
     for batch in batches:

@@ -24,7 +24,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lanelytics.llm.common import stored, whole_text
+from lanelytics.llm.common import KEY, keyed, stored, whole_text
 
 SPACE, NO_SPACE, SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 
@@ -193,7 +193,12 @@ def covariances() -> list[tuple[str, str]]:
 
 def judge(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with the counts, base_failed and kept, for every row of docs (text, lang, source)."""
-    rows = docs.select(*carried, F.to_json(F.struct("lang", "source")).alias("grp"), F.to_json(F.struct("lang")).alias("pool"), whole_text())
+    rows = docs.select(
+        *carried,
+        F.to_json(F.struct("lang", "source")).alias("grp"),
+        F.to_json(F.struct("lang")).alias("pool"),
+        whole_text(),
+    )
     counted = stored(
         with_counts(rows)
         .drop("text")
@@ -221,3 +226,10 @@ def judge(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
     return judge(docs).drop("n_lines")
+
+
+def without_rejected(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; rows with the id and text of a rejected one go too."""
+    rows = keyed(docs)
+    rejected = judge(rows, KEY).filter(~F.col("kept")).select(*KEY)
+    return rows.join(rejected, list(KEY), "left_anti").select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -31,9 +31,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lanelytics.llm.common import batch_of, rows, stored, whole_text
+from lanelytics.llm.common import KEY, batch_of, keyed, rows, stored
 from lanelytics.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -70,9 +70,10 @@ def _signed(value: int) -> int:
 
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", _LONG), ("fp", _LONG)])
-    for part in rows(batches):
-        yield batch_of(schema, part["doc_id"], [_signed(fingerprint(text)) for text in part["text"]])
+    """All columns but the text, and the fingerprint."""
+    for batch in batches:
+        fps = [_signed(fingerprint(text)) for part in rows([batch]) for text in part["text"]]
+        yield batch.drop_columns(["text"]).append_column("fp", pa.array(fps, _LONG))
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -187,9 +188,10 @@ def _link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long"), whole_text())
-    return docs.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """The rows with the fingerprint (fp) in place of their text."""
+    plain = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    schema = T.StructType([*[field for field in docs.schema if field.name != "text"], T.StructField("fp", T.LongType())])
+    return plain.mapInArrow(_fingerprints, schema)
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -199,14 +201,31 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return groups.sortWithinPartitions("choice", "agreed", "cell", "near").mapInArrow(_link, "a long, b long")
 
 
+def _rooted(classes: DataFrame) -> DataFrame:
+    """The rows of classes (fp, ...) with the smallest fingerprint (root) that each reaches."""
+    roots = components(fingerprint_links(classes)).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; the component is its smallest id."""
-    of_doc = stored(fingerprints(docs))
+    of_doc = stored(fingerprints(docs.select(F.col("doc_id").cast("long"), "text")))
     classes = stored(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(fingerprint_links(classes)).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = stored(_rooted(classes))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    component = stored(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"))
+    component = stored(rooted.join(named, "root").select("fp", "component_id"))
     return of_doc.join(component, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component, with all its columns: the smallest id, then the least text hash."""
+    rows = keyed(docs)
+    of_doc = stored(fingerprints(rows.select(*KEY, "text")))
+    first = F.min(F.struct((~F.col(f"`{KEY[0]}`")).alias("none"), F.col(f"`{KEY[1]}`").alias("id"), F.col(f"`{KEY[2]}`").alias("hash")))
+    classes = stored(of_doc.groupBy("fp").agg(first.alias("first")))
+    chosen = _rooted(classes).groupBy("root").agg(F.min("first").alias("first"))
+    keys = chosen.select(*[value.alias(name) for value, name in zip((~F.col("first.none"), F.col("first.id"), F.col("first.hash")), KEY)])
+    kept = rows.join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY))
+    return kept.select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -57,15 +57,12 @@ class PrefixCounter:
             del self.known[word]
 
     def longest_prefix(self, text: str, counts: list[int], budget: int) -> int:
-        """Code points of the longest prefix with at most ``budget`` tokens, by the counts of its words."""
-        whole = bisect_right(counts, budget) - 1
-        if whole == len(counts) - 1:
+        """Code points up to the last word end within ``budget`` tokens, by the counts of the words; all if they fit."""
+        within = bisect_right(counts, budget) - 1
+        if within == len(counts) - 1:
             return len(text)
         pattern = r"[^ \t\n\r]+" if _SEPARATORS.search(text) else r"\S+"
-        word = next(islice(re.finditer(pattern, text), whole, None))
-        left = budget - counts[whole]
-        inside = (k for k in range(len(word[0]) - 1, 0, -1) if self.count(word[0][:k]) <= left)
-        return word.start() + next(inside, 0)
+        return next(islice(re.finditer(pattern, text), within - 1, None)).end() if within else 0
 
 
 @lru_cache(maxsize=2)
@@ -135,7 +132,7 @@ def _totals(path: str, limit: int):
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, fitting_chars): the last row of each prefix table, which is not stored.
 
-    ``fitting_chars`` is the length of the longest prefix within ``limit`` tokens.
+    ``fitting_chars`` is where a text is to be cut to stay within ``limit`` tokens: behind the last word that fits.
     """
     docs = docs.select(F.col("doc_id").cast("long"), whole_text())
     return docs.mapInArrow(

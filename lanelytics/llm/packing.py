@@ -2,12 +2,13 @@
 
 Documents are dealt over partitions at random.  Each partition packs best-fit
 decreasing and compares its bins with the best lower bound that dual-feasible
-functions give for its lengths.  A partition that meets its bound is done: no
-packing of its pieces has fewer bins.  One with a gap gives up its emptiest
-bins, as many as hold the free space of the gap and one bin more; the pieces of
-``EXCHANGE`` neighbouring partitions meet in one partition of the next round
-and are packed and certified again.  Rounds end when nothing is given up or
-one partition is left.  Only partition-sized groups meet in a task.
+functions give for its lengths.  Where a partition meets its bound, no packing
+of its pieces has fewer bins; it gives up its emptiest bin alone, which others
+may fill.  One with a gap gives up as many of its emptiest bins as hold the
+free space of the gap and one bin more.  The pieces given up by ``EXCHANGE``
+neighbouring partitions meet in one partition of the next round and are packed
+and certified again.  Rounds end when nothing is given up or one partition is
+left.  Only partition-sized groups meet in a task.
 
 Null texts count as empty and give one piece that holds the end id alone.
 Every row is packed, repeated ids and rows without an id too; other columns
@@ -128,12 +129,11 @@ def _packed(part: int, pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
         bins, offsets = pd.factorize(pieces["home"])[0], pieces["offset"].to_numpy()
         fills = np.bincount(bins, lengths).astype(np.int64)
     gap = len(fills) - lower_bound(lengths, capacity)
+    emptiest = np.argsort(fills, kind="stable")
+    free = np.cumsum(capacity - fills[emptiest])
     given_up = np.zeros(len(fills), bool)
-    if gap:
-        emptiest = np.argsort(fills, kind="stable")
-        free = np.cumsum(capacity - fills[emptiest])
-        given_up[emptiest[: 1 + int(np.searchsorted(free, (gap + 1) * capacity))]] = True
-        given_up &= fills < capacity
+    given_up[emptiest[: 1 + int(np.searchsorted(free, (gap + 1) * capacity)) if gap else 1]] = True
+    given_up &= fills < capacity
     return pieces.assign(part=part, bin=np.where(given_up[bins], -1 - bins, bins), offset=offsets, gap=gap)[_NAMES]
 
 

@@ -61,7 +61,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     connection = oracle_connection(sf_dir)
     failed = 0
-    for name in names or list(queries()):
+    for name in names or list(ORACLE):
         begun = time.time()
         try:
             wrong, rows = difference(spark, connection, name, sf_dir)

@@ -31,12 +31,16 @@ def _at(days: int, hours: str) -> str:
 
 _PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
 _LEG_ID = f"'S-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || {_PRICE}"
-_LOAD_ID = "l_partkey % 100 || '-' || strftime(l_shipdate, '%y%m')"
+_LOAD_ID = (
+    "CASE WHEN l_orderkey % 10 = 6 THEN 'O-' || l_orderkey "
+    "ELSE (l_partkey // 10) || '-' || strftime(l_shipdate, '%y%m') END"
+)
 _MAIN = """CASE WHEN l_linenumber = 7 AND l_quantity >= 50 THEN NULL
      WHEN l_linenumber <= 2 THEN 'YES' ELSE 'NO' END"""
-_REV = f"""CASE WHEN l_quantity = 1 THEN NULL WHEN l_quantity = 2 THEN 0
+_SAME = "WHEN l_orderkey % 10 = 4 THEN CASE WHEN l_linenumber IN (1, 3) THEN {} ELSE 0 END"
+_REV = f"""CASE {_SAME.format(100)} WHEN l_quantity = 1 THEN NULL WHEN l_quantity = 2 THEN 0
      ELSE CAST({_PRICE} * (CAST(1 AS DECIMAL(4,2)) - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) END"""
-_COST = f"""CASE WHEN l_quantity <> 3 THEN CAST({_PRICE}
+_COST = f"""CASE {_SAME.format(80)} WHEN l_quantity <> 3 THEN CAST({_PRICE}
      * (CAST(0.75 AS DECIMAL(4,2)) + CAST(4 AS DECIMAL(4,2)) * CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,4)) END"""
 _KIND = """CASE WHEN o_orderkey % 10 <= 5 THEN 'Less Than Truckload' WHEN o_orderkey % 10 <= 7 THEN 'Full Truckload'
      WHEN o_orderkey % 10 = 8 THEN 'Parcel' ELSE 'LTL_CD' END"""
@@ -100,8 +104,8 @@ _HEADERS = f"""oh AS (
   SELECT 'P-' || o_orderkey AS code, c_name AS customerName,
     CASE o_orderstatus WHEN 'F' THEN 'Complete' WHEN 'P' THEN 'canceled' ELSE 'Pending' END AS status,
     {_KIND} AS shipmentType,
-    CAST(CAST(CASE WHEN subs > 0 THEN sub_rev ELSE all_rev END AS DECIMAL(18,2)) AS DECIMAL(10,2)) AS hrev,
-    CAST(CAST(all_cost AS DECIMAL(18,2)) AS DECIMAL(10,2)) AS hcost, CAST(o_orderdate AS DATE) AS created
+    CAST(CAST(CASE WHEN subs > 0 THEN sub_rev ELSE all_rev END AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS hrev,
+    CAST(all_cost AS DECIMAL(18,2)) AS hcost, CAST(o_orderdate AS DATE) AS created
   FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (
     SELECT l_orderkey, count(*) FILTER (m = 'NO') AS subs, sum(coalesce(r, 0)) AS all_rev,
       coalesce(sum(coalesce(r, 0)) FILTER (m = 'NO'), 0) AS sub_rev, sum(coalesce(c, 0)) AS all_cost
@@ -110,8 +114,8 @@ _HEADERS = f"""oh AS (
     GROUP BY l_orderkey) ON o_orderkey = l_orderkey)"""
 
 _ROUTES = f"""routes AS (
-  SELECT {_LOAD_ID} AS routeId, min(s_name) AS carrierName, min({_LEG_ID}) AS first_code, max({_LEG_ID}) AS last_code
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
+  SELECT {_LOAD_ID} AS routeId, min(s_name) AS carrierName, list(DISTINCT {_LEG_ID}) AS codes
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)"""
 
 
 def _quoted(names: tuple[str, ...]) -> str:
@@ -308,7 +312,7 @@ _LISTED = """shipmentStatus <> 'removed' AND (shipmentType IN ('Full Truckload',
   OR (shipmentType = 'Parcel' AND mainShipment = 'YES'))"""
 
 
-def _drill_detail(where: str, limit: str = "LIMIT 5000") -> str:
+def _drill_detail(where: str, limit: str = "") -> str:
     return _with(
         f"""SELECT orderCode AS "Order ID", warpId AS "Warp ID", mainShipment AS "Main Shipment", lane AS "Lane",
   clientName AS "Customer", carrierName AS "Carrier", pickLocationName AS "Pickup Location",
@@ -397,7 +401,16 @@ WHERE s IS NOT NULL AND n > 0""",
     "drill_headline_unsplittable": _drill_headline("true"),
     "drill_detail_customer": _drill_detail(f"clientName = '{CUSTOMER}'"),
     "drill_detail_lane": _drill_detail(f"lane = '{LANE}'"),
-    "drill_detail_parcel_whole": _drill_detail("shipmentType = 'Parcel'", ""),
+    "drill_detail_lane_short": _drill_detail(f"lane = '{LANE}'", "LIMIT 5"),
+    "drill_detail_whole": _drill_detail("true"),
+    "drill_detail_in_order": f"""SELECT *, CAST(row_number() OVER (ORDER BY "Order ID" NULLS FIRST, "Main Shipment" DESC NULLS LAST,
+  "Warp ID") AS BIGINT) AS place FROM ({_drill_detail(f"lane = '{LANE}'")})""",
+    "lane_profit_in_order": f"""SELECT *, CAST(row_number() OVER (ORDER BY total_profit DESC, lane) AS BIGINT) AS place
+FROM ({_lane_profit()})""",
+    "similar_mileage_in_order": f"""SELECT *, CAST(row_number() OVER (ORDER BY profit, lane) AS BIGINT) AS place FROM ({_with(
+        f"SELECT {_PEER_COLUMNS} FROM peers", _measures(f"{_STANDARD} AND {_MARKETS}", _LANE_KEYS), _peers("900::DOUBLE")
+    )})""",
+    "drill_detail_parcel_whole": _drill_detail("shipmentType = 'Parcel'"),
     "drill_detail_totals": _with(
         f"""SELECT count(DISTINCT orderCode) AS completed_orders, count(*) AS total_rows,
   CAST(sum(rev0) AS DOUBLE) AS total_revenue, CAST(sum(cost0) AS DOUBLE) AS total_cost,
@@ -406,14 +419,14 @@ WHERE s IS NOT NULL AND n > 0""",
 FROM e WHERE {_DATES} AND {_LISTED} AND lane = '{LANE}'"""
     ),
     "customer_list": _with(
-        "SELECT DISTINCT clientName FROM e WHERE clientName <> '' ORDER BY clientName LIMIT 500"
+        "SELECT DISTINCT clientName FROM e WHERE clientName <> '' ORDER BY clientName"
     ),
     "customer_list_short": _with(
         "SELECT DISTINCT clientName FROM e WHERE clientName <> '' ORDER BY clientName LIMIT 20"
     ),
-    "lane_list": _with(f"SELECT DISTINCT lane FROM e WHERE {_MARKETS} ORDER BY lane LIMIT 2500"),
+    "lane_list": _with(f"SELECT DISTINCT lane FROM e WHERE {_MARKETS} ORDER BY lane"),
     "lane_list_of_customer": _with(
-        f"SELECT DISTINCT lane FROM e WHERE {_MARKETS} AND clientName = '{CUSTOMER}' ORDER BY lane LIMIT 2500"
+        f"SELECT DISTINCT lane FROM e WHERE {_MARKETS} AND clientName = '{CUSTOMER}' ORDER BY lane"
     ),
     "lane_profit_sql": _with(
         """SELECT lane, count(*) AS legs, CAST(sum(crev - ccost) AS DOUBLE) AS profit FROM e
@@ -521,7 +534,9 @@ FROM (SELECT CASE WHEN yes_rev > 0 AND no_rev > 0 THEN 'BOTH' WHEN yes_rev > 0 T
     "ftl_structures": _with(
         """SELECT structure, count(*) AS orders, CAST(sum(order_rows) AS BIGINT) AS rows,
   CAST(sum(all_rev) AS DOUBLE) AS revenue, CAST(sum(all_cost) AS DOUBLE) AS cost
-FROM (SELECT *, CASE WHEN main_rows = 1 AND order_rows = 1 THEN 'direct' WHEN main_rows > 1 THEN 'multidrop'
+FROM (SELECT *, CASE WHEN main_rows = 1 AND order_rows = 1 THEN 'direct'
+    WHEN orderCode IN (SELECT orderCode FROM e WHERE mainShipment = 'YES' AND shipmentType = 'Full Truckload'
+      GROUP BY orderCode, loadId HAVING count(*) > 1) THEN 'multidrop'
     WHEN main_rows = 1 AND sub_rows > 0 THEN 'multistop' ELSE 'other' END AS structure FROM om)
 GROUP BY structure""",
         _orders("shipmentType = 'Full Truckload'"),
@@ -645,8 +660,8 @@ SERVICE = {
     "customer_otd_week": _customer_rates(_LAST_WEEK),
     "customer_otd_pivot": _with(
         f"""SELECT lane, {", ".join(
-            f"avg(CASE WHEN drop_at < drop_to THEN 100.0::DOUBLE ELSE 0 END) FILTER (equipment = '{q}') AS \"{q}\""
-            for q in EQUIPMENT)}
+            f"avg(CASE WHEN drop_at < drop_to THEN 100.0::DOUBLE ELSE 0 END) FILTER ({c}) AS \"{q}\""
+            for q, c in [*((q, f"equipment = '{q}'") for q in EQUIPMENT), ("other", f"(equipment IN ({_quoted(EQUIPMENT)})) IS NOT TRUE")])}
 FROM e WHERE {_customer_rows("drop")} GROUP BY lane"""
     ),
     "site_otd": _with(
@@ -663,14 +678,15 @@ FROM e WHERE {_customer_rows("drop")} GROUP BY lane"""
     "carrier_shipment_counts": _with(
         """SELECT carrierName, count(*) AS shipments FROM (
   SELECT *, count(*) OVER (PARTITION BY orderCode, carrierName) AS k FROM e
-  WHERE shipmentType = 'Less Than Truckload' AND carrierName IS NOT NULL)
+  WHERE shipmentType = 'Less Than Truckload')
 WHERE (k > 1 AND mainShipment = 'NO') OR k = 1 GROUP BY carrierName"""
     ),
     "rows_for_customer_report": _with("SELECT warpId FROM e WHERE mainShipment = 'YES'"),
     "rows_for_carrier_report": _with(
         """SELECT warpId FROM oc WHERE CASE
   WHEN shipmentType = 'Less Than Truckload' THEN n = 1 OR mainShipment = 'NO'
-  WHEN shipmentType = 'Full Truckload' AND n_main > 1 THEN mainShipment = 'YES' ELSE true END""",
+  WHEN shipmentType = 'Full Truckload' AND EXISTS (SELECT 1 FROM e y WHERE y.orderCode = oc.orderCode
+    AND y.mainShipment = 'YES' GROUP BY y.loadId HAVING count(*) > 1) THEN mainShipment = 'YES' ELSE true END""",
         _COUNTS,
     ),
     "bookings": _with(
@@ -796,7 +812,7 @@ JOIN (SELECT clientName, count(*) AS legs, sum(rev0) AS revenue FROM e GROUP BY
     ),
     "legs_on_routes": _with(
         """SELECT routeId, warpId, orderCode, loadId FROM e JOIN (
-  SELECT routeId, first_code AS code FROM routes UNION SELECT routeId, last_code FROM routes) ON warpId = code""",
+  SELECT routeId, unnest(codes) AS code FROM routes) ON warpId = code""",
         _ROUTES,
     ),
     "shipment_links": _with(
@@ -848,6 +864,17 @@ def _statistics(source: str, pairs: dict[str, str]) -> str:
 
 _MARGINS = "SELECT *, CAST(rev - cost AS DOUBLE) / CAST(rev AS DOUBLE) AS margin FROM e WHERE rev <> 0"
 
+def _allocated(first: str) -> str:
+    return _with(
+        f"""SELECT shipmentWarpId, warpId, mainShipment, CAST(rev AS DOUBLE) AS revenueAllocationNumber,
+  CAST(cost AS DOUBLE) AS costAllocationNumber, CAST(total AS DOUBLE) AS totalRevenue,
+  CAST(total AS DOUBLE) AS totalCost,
+  CAST(round(CAST(total AS DECIMAL(28,4)) * coalesce(CAST(rev AS DECIMAL(10,4)), 1), 2) AS DOUBLE) AS allocated_revenue,
+  CAST(round(CAST(total AS DECIMAL(28,4)) * coalesce(CAST(cost AS DECIMAL(10,4)), 1), 2) AS DOUBLE) AS allocated_cost
+FROM e WHERE shipmentWarpId IN (SELECT DISTINCT shipmentWarpId FROM e WHERE rev <> 1 AND rev <> 0 {first})"""
+    )
+
+
 QUALITY = {
     "delivery_days": _with(
         "SELECT strftime(delivered, '%Y-%m-%d') AS day, count(*) AS legs FROM e GROUP BY 1"
@@ -870,17 +897,10 @@ ORDER BY shipmentWarpId LIMIT 20"""
     ),
     "allocation_frequency": _with(
         """SELECT CAST(rev AS DOUBLE) AS revenueAllocationNumber, count(*) AS count FROM e WHERE rev IS NOT NULL
-GROUP BY rev ORDER BY count(*) DESC, rev LIMIT 20"""
-    ),
-    "allocated_amounts": _with(
-        """SELECT shipmentWarpId, warpId, mainShipment, CAST(rev AS DOUBLE) AS revenueAllocationNumber,
-  CAST(cost AS DOUBLE) AS costAllocationNumber, CAST(total AS DOUBLE) AS totalRevenue,
-  CAST(total AS DOUBLE) AS totalCost,
-  CAST(round(CAST(total AS DECIMAL(28,4)) * coalesce(CAST(rev AS DECIMAL(10,4)), 1), 2) AS DOUBLE) AS allocated_revenue,
-  CAST(round(CAST(total AS DECIMAL(28,4)) * coalesce(CAST(cost AS DECIMAL(10,4)), 1), 2) AS DOUBLE) AS allocated_cost
-FROM e WHERE shipmentWarpId IN (SELECT DISTINCT shipmentWarpId FROM e WHERE rev <> 1 AND rev <> 0
-  ORDER BY shipmentWarpId LIMIT 5)"""
+GROUP BY rev"""
     ),
+    "allocated_amounts": _allocated(""),
+    "allocated_amounts_sample": _allocated("ORDER BY shipmentWarpId LIMIT 5"),
     "allocation_stats": _with(
         """SELECT mainShipment, CAST(sum(rev) AS DOUBLE) / count(rev) AS avg_rev_alloc,
   CAST(min(rev) AS DOUBLE) AS min_rev_alloc, CAST(max(rev) AS DOUBLE) AS max_rev_alloc,
@@ -898,6 +918,11 @@ FROM e WHERE shipmentWarpId IN (SELECT DISTINCT shipmentWarpId FROM e WHERE rev
         f"""SELECT startMarket || ' -> ' || endMarket AS lane, count(*) AS shipments, CAST(sum(rev0) AS DOUBLE) AS revenue,
   CAST(sum(cost0) AS DOUBLE) AS cost, CAST(sum(rev0) - sum(cost0) AS DOUBLE) AS profit
 FROM e WHERE {_SINCE} AND {_MARKETS} GROUP BY startMarket, endMarket ORDER BY shipments DESC, lane LIMIT 15"""
+    ),
+    "top_lanes_whole": _with(
+        f"""SELECT startMarket || ' -> ' || endMarket AS lane, count(*) AS shipments, CAST(sum(rev0) AS DOUBLE) AS revenue,
+  CAST(sum(cost0) AS DOUBLE) AS cost, CAST(sum(rev0) - sum(cost0) AS DOUBLE) AS profit
+FROM e WHERE {_SINCE} AND {_MARKETS} GROUP BY startMarket, endMarket"""
     ),
     "completeness": _with(
         """SELECT count(*) AS total, count(*) FILTER (pickTimeArrived IS NULL) AS missing_pick_time,

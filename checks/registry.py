@@ -11,8 +11,9 @@ import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from checks import sample
 from lanelytics import LegQuery
 from lanelytics.functions import service as sv
 from lanelytics.functions.labels import lane_label
@@ -29,7 +30,6 @@ from lanelytics.plans import (
     stats as st,
     strategy as sg,
 )
-from lanelytics.sources import sample
 from lanelytics.sources.tables import run_sql
 
 START, END = "1997-01-01", "1998-12-31"
@@ -43,26 +43,31 @@ EXCLUDED = ("Customer#000000002", "Customer#000000003")
 SOME_CUSTOMERS = tuple(f"Customer#{n:09d}" for n in range(2, 50))
 SOME_LANES = tuple(f"NATION_{n} → NATION_2" for n in range(25))
 SITES = ("LOC-1", "Loc-1")
-EQUIPMENT = ("53-ft Trailer", "53-ft Reefer /w Team", "Cargo Van")
+EQUIPMENT = sample.EQUIPMENT
 
 
 class Tables:
-    """The freight tables derived from one directory of test tables."""
+    """The freight tables derived from one directory of test tables, as lazy plans.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    ``enriched`` is the folder of a stored copy of the enriched legs, as users have.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, enriched: str | None = None):
+        self.spark, self.sf_dir, self.enriched = spark, sf_dir, enriched
 
     @cached_property
     def legs(self) -> DataFrame:
+        if self.enriched is not None:
+            return self.spark.read.parquet(self.enriched)
         return sample.enriched_legs(self.spark, self.sf_dir)
 
     @cached_property
     def headers(self) -> DataFrame:
-        return sample.stored(self.spark, self.sf_dir, "order_headers")
+        return sample.order_headers(self.spark, self.sf_dir)
 
     @cached_property
     def routes(self) -> DataFrame:
-        return sample.stored(self.spark, self.sf_dir, "routes")
+        return sample.routes(self.spark, self.sf_dir)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in sample.TABLES:
@@ -95,6 +100,12 @@ def _six_digits(statistics: DataFrame) -> DataFrame:
     return statistics.withColumn("value", F.round("value", 6))
 
 
+def _in_order(ordered: DataFrame) -> DataFrame:
+    """The rows with their place in the order that a report gives them."""
+    kept = ordered.withColumn("_at", F.monotonically_increasing_id())
+    return kept.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
 def _since(t: Tables) -> DataFrame:
     return ql.delivered_since(t.legs, "1997-01-01")
 
@@ -147,8 +158,13 @@ LANES: dict[str, Callable[[Tables], DataFrame]] = {
     "drill_headline_unsplittable": lambda t: dd.drill_headline(t.legs, Q, lane="NATION_15"),
     "drill_detail_customer": lambda t: dd.drill_detail(t.legs, Q, customer=CUSTOMER),
     "drill_detail_lane": lambda t: dd.drill_detail(t.legs, Q, lane=LANE),
-    "drill_detail_parcel_whole": lambda t: dd.drill_detail(t.legs, _of_type(PARCEL), limit=None),
-    "drill_detail_totals": lambda t: dd.detail_totals(dd.drill_detail(t.legs, Q, lane=LANE, limit=None)),
+    "drill_detail_lane_short": lambda t: dd.drill_detail(t.legs, Q, lane=LANE, limit=5),
+    "drill_detail_whole": lambda t: dd.drill_detail(t.legs, Q),
+    "drill_detail_in_order": lambda t: _in_order(dd.drill_detail(t.legs, Q, lane=LANE)),
+    "drill_detail_parcel_whole": lambda t: dd.drill_detail(t.legs, _of_type(PARCEL)),
+    "drill_detail_totals": lambda t: dd.detail_totals(dd.drill_detail(t.legs, Q, lane=LANE)),
+    "lane_profit_in_order": lambda t: _in_order(ln.lane_profit(t.legs, Q)),
+    "similar_mileage_in_order": lambda t: _in_order(ln.similar_mileage(t.legs, Q, 900.0)),
     "customer_list": lambda t: dd.customer_list(t.legs),
     "customer_list_short": lambda t: dd.customer_list(t.legs, limit=20),
     "lane_list": lambda t: dd.lane_list(t.legs),
@@ -229,13 +245,11 @@ COMPANIONS: dict[str, Callable[[Tables], DataFrame]] = {
     "customer_profit_from_headers_month": lambda t: pr.customer_profit_from_headers(t.headers, as_of=AS_OF),
     "customer_profit_from_legs": lambda t: pr.customer_profit_from_legs(t.legs),
     "customer_profit_from_legs_one": lambda t: pr.customer_profit_from_legs(t.legs, CUSTOMER),
-    "lane_profit_from_headers": lambda t: pr.lane_profit_from_headers(t.legs, t.headers, AS_OF),
-    "lane_profit_from_headers_whole": lambda t: pr.lane_profit_from_headers(t.legs, t.headers, limit=None),
-    "lane_profit_from_headers_once": lambda t: pr.lane_profit_from_headers(
-        t.legs, t.headers, limit=None, once_per_order=True
-    ),
-    "lane_profit_from_legs": lambda t: pr.lane_profit_from_legs(t.legs, AS_OF),
-    "lane_profit_from_legs_whole": lambda t: pr.lane_profit_from_legs(t.legs, limit=None),
+    "lane_profit_from_headers": lambda t: pr.lane_profit_from_headers(t.legs, t.headers, AS_OF, limit=20),
+    "lane_profit_from_headers_whole": lambda t: pr.lane_profit_from_headers(t.legs, t.headers),
+    "lane_profit_from_headers_once": lambda t: pr.lane_profit_from_headers(t.legs, t.headers, once_per_order=True),
+    "lane_profit_from_legs": lambda t: pr.lane_profit_from_legs(t.legs, AS_OF, limit=20),
+    "lane_profit_from_legs_whole": lambda t: pr.lane_profit_from_legs(t.legs),
     "main_row_margins": lambda t: pr.leg_margins(t.legs.filter(customer_view())).select("warpId", "profit", "margin"),
     "orders_with_main_legs": lambda t: cp.orders_with_main_legs(t.headers, t.legs),
     "legs_with_routes": lambda t: cp.legs_with_routes(t.legs, t.routes).select("warpId", "route_carrier"),
@@ -254,16 +268,18 @@ QUALITY: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "zip_lane_labels": lambda t: t.legs.groupBy(lane_label(*ZIPS).alias("lane")).agg(F.count(F.lit(1)).alias("legs")),
     "allocation_profile": lambda t: ql.allocation_profile(t.legs),
-    "multi_leg_allocations": lambda t: ql.multi_leg_allocations(t.legs),
-    "multi_leg_allocations_whole": lambda t: ql.multi_leg_allocations(t.legs, limit=None),
+    "multi_leg_allocations": lambda t: ql.multi_leg_allocations(t.legs, limit=20),
+    "multi_leg_allocations_whole": lambda t: ql.multi_leg_allocations(t.legs),
     "allocation_frequency": lambda t: ql.allocation_frequency(t.legs),
     "allocated_amounts": lambda t: ql.allocated_amounts(t.legs),
+    "allocated_amounts_sample": lambda t: ql.allocated_amounts(t.legs, sample=5),
     "allocation_stats": lambda t: ql.allocation_stats(t.legs),
     "lane_field_coverage": lambda t: ql.field_coverage(_since(t)),
     "lane_field_coverage_by_flag": lambda t: ql.field_coverage(_since(t), by_main_flag=True),
     "time_field_coverage": lambda t: ql.field_coverage(t.legs, ql.TIME_FIELDS, by_main_flag=True),
     "distinct_lanes": lambda t: ql.distinct_lanes(_since(t)),
-    "top_lanes": lambda t: ql.top_lanes(_since(t)),
+    "top_lanes": lambda t: ql.top_lanes(_since(t), limit=15),
+    "top_lanes_whole": lambda t: ql.top_lanes(_since(t)),
     "completeness": lambda t: ql.completeness(t.legs),
     "sanity_checks": lambda t: ql.sanity_checks(t.legs),
     "margin_summary": lambda t: _six_digits(st.margin_summary(t.legs.filter(customer_view()))),

@@ -8,16 +8,14 @@ Amounts are cast to decimal before they are multiplied, which keeps them exact.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lanelytics.enrich import enrich
-from lanelytics.sources.landing import clustered_by_date, landed
 from lanelytics.sources.schema import MONEY
 
-_EQUIPMENT = (
+EQUIPMENT = (
     "53-ft Trailer",
     "26-ft Straight Truck /w Lift Gate",
     "Cargo Van",
@@ -47,10 +45,7 @@ def _at(day: str, hour: int | Column) -> Column:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items, shared out when the files hold fewer splits than there are cores."""
-    lines = _table(spark, sf_dir, "lineitem")
-    cores = spark.sparkContext.defaultParallelism
-    return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
+    return _table(spark, sf_dir, "lineitem")
 
 
 def _year_month(base: str) -> Column:
@@ -66,9 +61,16 @@ def _price() -> Column:
     return F.col("l_extendedprice").cast("decimal(18,2)")
 
 
+def _repeated(amount: int) -> Column:
+    """In every tenth order the first sub-shipment repeats the amount of the first main row."""
+    repeats = F.when(F.col("l_linenumber").isin(1, 3), F.lit(amount)).otherwise(F.lit(0))
+    return F.when(F.col("l_orderkey") % 10 == 4, repeats)
+
+
 def _revenue() -> Column:
     return (
-        F.when(F.col("l_quantity") == 1, F.lit(None))
+        F.when(F.col("l_orderkey") % 10 == 4, _repeated(100))
+        .when(F.col("l_quantity") == 1, F.lit(None))
         .when(F.col("l_quantity") == 2, F.lit(0))
         .otherwise(_price() * (_share(1) - _share(0, "l_discount")))
         .cast(MONEY)
@@ -77,7 +79,7 @@ def _revenue() -> Column:
 
 def _cost() -> Column:
     rate = _share(0.75) + _share(4) * _share(0, "l_tax")
-    return F.when(F.col("l_quantity") != 3, _price() * rate).cast(MONEY)
+    return F.coalesce(_repeated(80), F.when(F.col("l_quantity") != 3, _price() * rate)).cast(MONEY)
 
 
 def _leg_id() -> Column:
@@ -86,7 +88,10 @@ def _leg_id() -> Column:
 
 
 def _load_id() -> Column:
-    return F.concat((F.col("l_partkey") % 100).cast("string"), F.lit("-"), _year_month("l_shipdate"))
+    """One load a month for ten parts; some orders have a load of their own, which their main rows then share."""
+    parts = F.floor(F.col("l_partkey") / 10).cast("string")
+    month = F.concat(parts, F.lit("-"), _year_month("l_shipdate"))
+    return F.when(F.col("l_orderkey") % 10 == 6, F.concat(F.lit("O-"), _text("l_orderkey"))).otherwise(month)
 
 
 def _main_flag() -> Column:
@@ -170,7 +175,7 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shipmentStatus": _order_status(line_open),
         "accessorialType": F.when((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08), F.lit("TONU")),
         "equipment": F.element_at(
-            F.array(*[F.lit(e) for e in _EQUIPMENT]), (F.col("l_partkey") % 5 + 1).cast("int")
+            F.array(*[F.lit(e) for e in EQUIPMENT]), (F.col("l_partkey") % 5 + 1).cast("int")
         ),
         "startMarket": _blank_or("l_partkey", 97, {0: None, 1: ""}, F.col("s_nation")),
         "endMarket": _blank_or("l_partkey", 89, {0: None}, F.col("c_nation")),
@@ -241,21 +246,19 @@ def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One route per load, naming the first and the last leg on it."""
-    ends = F.array_distinct(F.array("first_code", "last_code"))
+    """One route per load, listing all legs on it."""
+    codes = F.sort_array(F.collect_set("code"))  # the few line items of ten parts in a month
     return (
         _lines(spark, sf_dir)
         .join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(_load_id().alias("routeId"), "s_name", _leg_id().alias("code"))
         .groupBy("routeId")
-        .agg(
-            F.min("s_name").alias("carrierName"), F.min("code").alias("first_code"), F.max("code").alias("last_code")
-        )
+        .agg(F.min("s_name").alias("carrierName"), codes.alias("codes"))
         .select(
             "routeId",
             "carrierName",
-            F.to_json(ends).alias("shipmentCodes"),
-            F.to_json(F.transform(ends, lambda c: F.substring(c, 3, 100))).alias("shipmentWarpIds"),
+            F.to_json("codes").alias("shipmentCodes"),
+            F.to_json(F.transform("codes", lambda c: F.substring(c, 3, 100))).alias("shipmentWarpIds"),
         )
     )
 
@@ -308,17 +311,6 @@ TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _stored_name(table: str, sf_dir: str) -> str:
-    return table + re.sub(r"\W+", "_", f"_{sf_dir}")
-
-
 def enriched_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched leg table, derived and stored once per application."""
-    return landed(
-        spark, _stored_name("legs", sf_dir), lambda: clustered_by_date(enrich(legs(spark, sf_dir)))
-    )
-
-
-def stored(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the companion tables, derived and stored once per application."""
-    return landed(spark, _stored_name(table, sf_dir), lambda: TABLES[table](spark, sf_dir))
+    """The enriched leg table, with the delivery date that a stored one is read by."""
+    return enrich(legs(spark, sf_dir)).withColumn("delivery_date", F.to_date("delivery_ts"))

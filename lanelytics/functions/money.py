@@ -62,5 +62,5 @@ def allocated(total: Column, share: Column) -> Column:
 
 
 def header_amount(text: Column) -> Column:
-    """An amount that order headers hold as text; unreadable text is NULL."""
-    return text.try_cast("decimal(10,2)")
+    """An amount that order headers hold as text, to the cent; unreadable text is NULL."""
+    return F.round(text.try_cast(MONEY), 2)

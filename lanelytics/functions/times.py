@@ -8,8 +8,8 @@ from pyspark.sql import Column, functions as F
 
 # How the source writes its times and dates, and their ISO order.
 # Text of any other shape turns into separators only, which no cast accepts.
-EVENT_TIME = (r"^(?:(\d{2})/(\d{2})/(\d{4}) (\d{2}:\d{2}:\d{2})|[\s\S]*)$", "$3-$1-$2 $4")
-EVENT_DATE = (r"^(?:(\d{2})/(\d{2})/(\d{4})|[\s\S]*)$", "$3-$1-$2")
+EVENT_TIME = (r"^(?:(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}:\d{2}:\d{2})|[\s\S]*)$", "$3-$1-$2 $4")
+EVENT_DATE = (r"^(?:(\d{1,2})/(\d{1,2})/(\d{4})|[\s\S]*)$", "$3-$1-$2")
 ISO_DATE = (r"^(?:(\d{4}-\d{2}-\d{2})[\s\S]*|[\s\S]*)$", "$1")
 
 
@@ -18,12 +18,12 @@ def _reshaped(text: Column, shape: tuple[str, str], to: str) -> Column:
 
 
 def event_date(text: Column) -> Column:
-    """``MM/dd/yyyy`` text as a midnight timestamp; anything else is NULL."""
+    """``MM/dd/yyyy`` text, or with one-digit parts, as a midnight timestamp; anything else is NULL."""
     return _reshaped(text, EVENT_DATE, "timestamp_ntz")
 
 
 def event_time(text: Column, lenient: bool = False) -> Column:
-    """``MM/dd/yyyy HH:mm:ss`` text as a timestamp; anything else is NULL.
+    """``MM/dd/yyyy HH:mm:ss`` text, or with one-digit parts, as a timestamp; anything else is NULL.
 
     The text is put in ISO order and cast, which needs no time zone and so
     never shifts an hour that a zone skips.  ``lenient`` also accepts text that

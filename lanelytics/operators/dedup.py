@@ -28,14 +28,10 @@ def first_per_stop(rows: DataFrame, side: str) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def with_keep_flags(rows: DataFrame, identity: str = "warpId") -> DataFrame:
-    """Rows with ``keep_for_pickup`` and ``keep_for_delivery``.
-
-    The first rows are found as in :func:`first_per_stop` and matched back by
-    the row's unique id, which has no frequent values to pile up on.
-    """
-    out = rows
+def with_keep_flags(rows: DataFrame) -> DataFrame:
+    """Rows with ``keep_for_pickup`` and ``keep_for_delivery``: exactly one row of each stop is the first."""
+    flags = {}
     for side, flag in (("pick", "keep_for_pickup"), ("drop", "keep_for_delivery")):
-        first = first_per_stop(rows, side).select(identity, F.lit(True).alias(flag))
-        out = out.join(first, identity, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-    return out
+        order = Window.partitionBy(*stop_key(side)).orderBy(arrived(side), "warpId")
+        flags[flag] = F.row_number().over(order) == 1
+    return rows.withColumns(flags)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanelytics.operators.skew import with_group_sums
+from lanelytics.operators.groups import lookup_join, with_group_sums
 
 
 def with_order_counts(rows: DataFrame, keys: Sequence[str] = ("orderCode",)) -> DataFrame:
@@ -26,6 +26,13 @@ def with_order_counts(rows: DataFrame, keys: Sequence[str] = ("orderCode",)) ->
     )
 
 
+def multidrop_orders(rows: DataFrame) -> DataFrame:
+    """(orderCode, multidrop): whether several main rows of the order share a load."""
+    per_load = rows.groupBy("orderCode", "loadId").agg(F.count_if(F.col("mainShipment") == "YES").alias("main_rows"))
+    shared = (F.col("main_rows") > 1) & F.col("loadId").isNotNull()
+    return per_load.groupBy("orderCode").agg(F.max(shared).alias("multidrop"))
+
+
 def counted_shipments(legs: DataFrame, carrier: str | None = None) -> DataFrame:
     """Less-than-truckload rows that count as a carrier's shipments.
 
@@ -40,15 +47,15 @@ def counted_shipments(legs: DataFrame, carrier: str | None = None) -> DataFrame:
     )
 
 
-def ftl_structure(main_rows: Column, sub_rows: Column, all_rows: Column) -> Column:
+def ftl_structure(multidrop: Column, main_rows: Column, sub_rows: Column, all_rows: Column) -> Column:
     """Full-truckload order classes by row counts.
 
     Direct orders are a single main row, multidrop ones have several main rows
-    and multistop ones a main row with sub-shipments.
+    on one load, and multistop ones a main row with sub-shipments.
     """
     return (
         F.when((main_rows == 1) & (all_rows == 1), F.lit("direct"))
-        .when(main_rows > 1, F.lit("multidrop"))
+        .when(multidrop, F.lit("multidrop"))
         .when((main_rows == 1) & (sub_rows >= 1), F.lit("multistop"))
         .otherwise(F.lit("other"))
     )
@@ -65,9 +72,9 @@ def rows_to_use(legs: DataFrame, report: str) -> DataFrame:
         return legs.filter(F.col("mainShipment") == "YES")
     if report != "carrier":
         raise ValueError(f"report must be 'customer' or 'carrier', not {report!r}")
-    counted = with_order_counts(legs)
+    counted = lookup_join(with_order_counts(legs), multidrop_orders(legs), "orderCode")
     ltl = F.coalesce(F.col("shipmentType") == "Less Than Truckload", F.lit(False))
-    multidrop = (F.col("shipmentType") == "Full Truckload") & (F.col("order_main_rows") > 1)
+    multidrop = (F.col("shipmentType") == "Full Truckload") & F.col("multidrop")
     keep = (
         F.when(ltl, (F.col("order_rows") == 1) | (F.col("mainShipment") == "NO"))
         .when(multidrop, F.col("mainShipment") == "YES")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from uuid import uuid4
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lanelytics.sources.landing import landed, shared_folder
+#: Ranks of the built-in sketch are off by at most one part in this many.
+ACCURACY = 100_000
+#: Groups of up to this many rows are ranked whole.
+SMALL = 1_000_000
 
 
 def exact_percentiles(
@@ -15,49 +17,54 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linearly interpolated percentiles per key, one row per probability.
 
-    The built-in exact percentile keeps every distinct value of a group in one
-    task's memory.  Here values are counted, range partitioned and stored with
-    their partition number, whose row counts say which partitions hold the
-    wanted ranks; only those are ranked.  Equal values are one counted row, so
-    no frequent value fills a partition.  NULL values are left out, keys must
-    not be NULL.
+    One lazy plan.  The sketch brackets each percentile by two values; its
+    error is bounded, so the wanted ranks lie between them.  Rows below the
+    bracket are only counted, and the few inside it are ranked.  Equal values
+    are one counted row, so no frequent value fills a task.  NULL values are
+    left out, keys must not be NULL.
     """
-    spark = rows.sparkSession
-    if shared_folder(spark) is None:
-        raise ValueError("exact percentiles store a ranked copy: set spark.checkpoint.dir to a shared folder")
     keys = list(keys)
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
-    ranged = counted.repartitionByRange(*keys, value).withColumn("part", F.spark_partition_id())
-    stored = landed(spark, f"ranks_{uuid4().hex}", lambda: ranged)
+    known = rows.filter(F.col(value).isNotNull())
+    margin = 3 / ACCURACY + 2 / SMALL  # of the sketch, and of the ranks next to the position
+    wanted = [float(p) for p in probabilities]
 
-    # One row per partition and key: as few as there are partitions.
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    parts = stored.groupBy(*keys, "part").agg(F.sum("copies").alias("rows"))
-    placed = parts.withColumns(
-        {"stop": F.sum("rows").over(group.orderBy("part")), "total": F.sum("rows").over(group)}
-    ).withColumn("start", F.col("stop") - F.col("rows"))
+    def bound(sign: int, whole: Column) -> Column:
+        shares = F.array(*[F.lit(min(1.0, max(0.0, p + sign * margin))) for p in wanted])
+        sketch = F.percentile_approx(value, shares, ACCURACY)
+        return F.when(F.count(F.lit(1)) <= SMALL, F.array_repeat(whole, len(wanted))).otherwise(sketch)
 
-    wanted = (
-        placed.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("position", F.col("probability") * (F.col("total") - 1))
-        .withColumns({"low": F.floor("position"), "high": F.ceil("position")})
-        .filter((F.col("start") <= F.col("high")) & (F.col("stop") > F.col("low")))
+    brackets = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"), bound(-1, F.min(value)).alias("lows"), bound(1, F.max(value)).alias("highs")
     )
-    within = Window.partitionBy(*keys, "part").orderBy(value)
-    ranked = (
-        stored.join(wanted.select(*keys, "part", "start").distinct(), [*keys, "part"])
-        .withColumn("upto", F.col("start") + F.sum("copies").over(within))
-        .withColumn("from", F.col("upto") - F.col("copies"))
-        .drop("start")
+    counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+    if keys:
+        placed = counted.join(brackets, keys)
+    else:
+        placed = counted.withColumns({name: brackets.select(name).scalar() for name in ("total", "lows", "highs")})
+
+    low, high = F.get("lows", F.col("nth")), F.get("highs", F.col("nth"))
+    each = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(wanted) - 1))).alias("nth")).filter(
+        F.col(value) <= high
+    )
+    # what lies below a bracket is one row per task before it is shuffled
+    inside = F.when(F.col(value) >= low, F.col(value))
+    merged = each.groupBy(*keys, "nth", inside.alias("at")).agg(
+        F.sum("copies").alias("copies"), F.first("total").alias("total")
+    )
+    upto = F.sum("copies").over(Window.partitionBy(*keys, "nth").orderBy(F.col("at").asc_nulls_first()))
+    probability = F.get(F.array(*[F.lit(p) for p in wanted]), F.col("nth"))
+    ranked = merged.withColumns({"upto": upto, "probability": probability}).withColumns(
+        {"from": F.col("upto") - F.col("copies"), "position": F.col("probability") * (F.col("total") - 1)}
     )
 
-    def at(rank: str):
-        return F.max(F.when((F.col("from") <= F.col(rank)) & (F.col("upto") > F.col(rank)), F.col(value)))
+    def ranked_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("from") <= rank) & (F.col("upto") > rank), F.col("at")))
 
+    below, above = ranked_at(F.floor("position")), ranked_at(F.ceil("position"))
+    share = F.max(F.col("position") - F.floor("position"))
     return (
-        ranked.join(wanted.select(*keys, "part", "probability", "position", "low", "high"), [*keys, "part"])
-        .groupBy(*keys, "probability")
-        .agg(at("low").alias("below"), at("high").alias("above"), F.max(F.col("position") - F.col("low")).alias("share"))
+        ranked.groupBy(*keys, "probability")
+        .agg(below.alias("below"), above.alias("above"), share.alias("share"))
         .select(
             *keys,
             "probability",

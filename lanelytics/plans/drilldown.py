@@ -52,12 +52,12 @@ def drill_detail(
     query: LegQuery,
     customer: str | None = None,
     lane: str | None = None,
-    limit: int | None = 5000,
+    limit: int | None = None,
 ) -> DataFrame:
     """Single legs with their full amounts, whatever their status but removed.
 
     Unlike the headline it lists uncounted legs too, and of parcel orders the
-    main rows only.  ``limit=None`` lists everything, as an export needs.
+    main rows only.  Without a ``limit`` everything is listed, as an export needs.
     """
     rows = matching(enriched, query).filter(not_removed() & detail_rows(query.shipment_type))
     if customer is not None:
@@ -107,15 +107,17 @@ def detail_totals(detail: DataFrame) -> DataFrame:
     )
 
 
-def customer_list(legs: DataFrame, limit: int = 500) -> DataFrame:
+def customer_list(legs: DataFrame, limit: int | None = None) -> DataFrame:
     """The first customer names in order."""
     names = legs.filter(keys_present("clientName")).select("clientName").distinct()
-    return names.orderBy("clientName").limit(limit)
+    listed = names.orderBy("clientName")
+    return listed if limit is None else listed.limit(limit)
 
 
-def lane_list(legs: DataFrame, customer: str | None = None, limit: int = 2500) -> DataFrame:
+def lane_list(legs: DataFrame, customer: str | None = None, limit: int | None = None) -> DataFrame:
     """The first lane labels in order, of one customer or of all."""
     rows = legs.filter(keys_present(*MARKETS))
     if customer is not None:
         rows = rows.filter(F.col("clientName") == customer)
-    return rows.select(lane_label(*MARKETS).alias("lane")).distinct().orderBy("lane").limit(limit)
+    listed = rows.select(lane_label(*MARKETS).alias("lane")).distinct().orderBy("lane")
+    return listed if limit is None else listed.limit(limit)

@@ -71,7 +71,7 @@ def customer_profit_from_legs(
     return _margin(_total(per_order, ["shipmentType"], "orderCode"))
 
 
-def lane_profit_from_legs(enriched: DataFrame, as_of: dt.date | None = None, limit: int | None = 20) -> DataFrame:
+def lane_profit_from_legs(enriched: DataFrame, as_of: dt.date | None = None, limit: int | None = None) -> DataFrame:
     """The most profitable lanes by type, over completed main rows."""
     rows = _main_rows(enriched, as_of).filter(keys_present(*MARKETS))
     per_order = rows.groupBy(*MARKETS, "shipmentType", "orderCode").agg(*_sums(_revenue(), _cost()))
@@ -83,7 +83,7 @@ def lane_profit_from_headers(
     enriched: DataFrame,
     headers: DataFrame,
     as_of: dt.date | None = None,
-    limit: int | None = 20,
+    limit: int | None = None,
     once_per_order: bool = False,
 ) -> DataFrame:
     """The most profitable lanes by type, with header amounts on main-row lanes.

@@ -47,7 +47,7 @@ def allocation_profile(legs: DataFrame) -> DataFrame:
     )
 
 
-def multi_leg_allocations(legs: DataFrame, limit: int | None = 20) -> DataFrame:
+def multi_leg_allocations(legs: DataFrame, limit: int | None = None) -> DataFrame:
     """Allocation totals of shipments with several legs, in shipment order."""
     totals = (
         legs.filter(F.col("shipmentWarpId").isNotNull())
@@ -62,29 +62,25 @@ def multi_leg_allocations(legs: DataFrame, limit: int | None = 20) -> DataFrame:
     return totals if limit is None else totals.orderBy("shipmentWarpId").limit(limit)
 
 
-def allocation_frequency(legs: DataFrame, limit: int = 20) -> DataFrame:
-    """The most frequent revenue allocations."""
-    return (
+def allocation_frequency(legs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Revenue allocations, the most frequent ones first."""
+    listed = (
         legs.filter(_revenue().isNotNull())
         .groupBy("revenueAllocationNumber")
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), "revenueAllocationNumber")
-        .limit(limit)
     )
+    return listed if limit is None else listed.limit(limit)
 
 
-def allocated_amounts(legs: DataFrame, sample: int = 5) -> DataFrame:
-    """Rows of the first shipments with a partial allocation, amounts allocated.
-
-    The few chosen ids are matched as a semi join, which moves no leg.
-    """
-    chosen = (
+def allocated_amounts(legs: DataFrame, sample: int | None = None) -> DataFrame:
+    """Rows of shipments with a partial allocation, amounts allocated; of the first ``sample`` ones if it is given."""
+    partial = (
         legs.filter((_revenue() != 1) & (_revenue() != 0) & F.col("shipmentWarpId").isNotNull())
         .select("shipmentWarpId")
         .distinct()
-        .orderBy("shipmentWarpId")
-        .limit(sample)
     )
+    chosen = partial if sample is None else partial.orderBy("shipmentWarpId").limit(sample)
     return (
         legs.join(chosen, "shipmentWarpId", "left_semi")
         .select(
@@ -142,9 +138,9 @@ def distinct_lanes(legs: DataFrame) -> DataFrame:
     )
 
 
-def top_lanes(legs: DataFrame, limit: int = 15) -> DataFrame:
-    """Market lanes with the most legs, with plain sums of their amounts."""
-    return (
+def top_lanes(legs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Market lanes, those with the most legs first, with plain sums of their amounts."""
+    lanes = (
         legs.filter(keys_present(*MARKETS))
         .groupBy(*MARKETS)
         .agg(
@@ -158,8 +154,8 @@ def top_lanes(legs: DataFrame, limit: int = 15) -> DataFrame:
             (F.col("revenue") - F.col("cost")).alias("profit"),
         )
         .orderBy(F.desc("shipments"), "lane")
-        .limit(limit)
     )
+    return lanes if limit is None else lanes.limit(limit)
 
 
 def completeness(legs: DataFrame) -> DataFrame:

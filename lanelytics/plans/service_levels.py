@@ -88,10 +88,12 @@ def customer_on_time(
 def customer_on_time_pivot(
     legs: DataFrame, equipment: tuple[str, ...], customer: str | None = None, as_of: dt.date | None = None
 ) -> DataFrame:
-    """On-time deliveries in percent per lane, one column per equipment."""
+    """On-time deliveries in percent per lane, one column per equipment and one for all others."""
     rows = _customer_rows(legs, "drop", customer, as_of).withColumn("lane", lane_label(*MARKETS))
     hit = F.when(on_time("drop"), 100.0).otherwise(0.0)
-    return rows.groupBy("lane").pivot("equipment", list(equipment)).agg(F.avg(hit)).orderBy("lane")
+    named = F.when(F.col("equipment").isin(*equipment), F.col("equipment")).otherwise(F.lit("other"))
+    kinds = rows.withColumn("equipment", named).groupBy("lane").pivot("equipment", [*equipment, "other"])
+    return kinds.agg(F.avg(hit)).orderBy("lane")
 
 
 def site_on_time(legs: DataFrame, spellings: tuple[str, ...]) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanelytics.functions.labels import CITY_ARROW, lane_label
 from lanelytics.functions.money import header_amount, is_crossdock, or_zero, sum_where
-from lanelytics.operators.order_stats import ftl_structure
+from lanelytics.operators.order_stats import ftl_structure, multidrop_orders
 from lanelytics.operators.predicates import MARKETS, keys_present, same_market, standard_population
-from lanelytics.operators.skew import lookup_join, semi_join
+from lanelytics.operators.groups import lookup_join, semi_join
 
 LTL = "Less Than Truckload"
 FTL = "Full Truckload"
@@ -264,8 +264,9 @@ def pattern_shares(rows: DataFrame) -> DataFrame:
 
 def structure_counts(legs: DataFrame) -> DataFrame:
     """Full-truckload orders per structure, with their rows and amounts."""
-    orders = order_metrics(legs.filter(F.col("shipmentType") == FTL), lanes=False)
-    structure = ftl_structure(F.col("main_rows"), F.col("sub_rows"), F.col("order_rows"))
+    rows = legs.filter(F.col("shipmentType") == FTL)
+    orders = lookup_join(order_metrics(rows, lanes=False), multidrop_orders(rows), "orderCode")
+    structure = ftl_structure(F.col("multidrop"), F.col("main_rows"), F.col("sub_rows"), F.col("order_rows"))
     return (
         orders.groupBy(structure.alias("structure"))
         .agg(

@@ -1,5 +1,7 @@
 """Schemas of the tables the operators accept."""
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 MONEY = T.DecimalType(18, 4)
@@ -51,13 +53,17 @@ def normalize_status(df: DataFrame, column: str = "shipmentStatus") -> DataFrame
     return df.withColumn(column, normalized)
 
 
-def conform_legs(df: DataFrame) -> DataFrame:
+def conform_legs(df: DataFrame, allow_missing: Collection[str] = ()) -> DataFrame:
     """Project a landed leg table to the declared columns and types.
 
-    Absent columns become NULL, so a partial extract can still be queried.
+    Columns named in ``allow_missing`` become NULL where they are absent, so a
+    partial extract can still be queried; any other absence is an error.
     Columns that are not part of the schema are dropped.
     """
     present = {name.lower(): name for name in df.columns}
+    missing = {f.name for f in LEGS.fields if f.name.lower() not in present} - set(allow_missing)
+    if missing:
+        raise ValueError(f"leg columns are missing: {', '.join(sorted(missing))}")
     return normalize_status(
         df.select(
             *[

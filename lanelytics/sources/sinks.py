@@ -16,7 +16,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def write_enriched(enriched: DataFrame, path: str) -> None:
-    """Store enriched legs partitioned by delivery date.
+    """Store enriched legs partitioned by delivery date; only the dates they hold are replaced.
 
     The delivery date is a rule over parsed text, so no filter on it can reach
     a scan of the raw table; stored as a partition column, it can.  The
@@ -27,6 +27,7 @@ def write_enriched(enriched: DataFrame, path: str) -> None:
         enriched.withColumn("delivery_date", F.to_date("delivery_ts"))
         .hint("rebalance", "delivery_date")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("delivery_date")
         .parquet(path)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lanelytics.sources.schema import conform_legs
 
 
-def read_legs(spark: SparkSession, path: str) -> DataFrame:
+def read_legs(spark: SparkSession, path: str, allow_missing: Collection[str] = ()) -> DataFrame:
     """Legs from Parquet; only referenced columns are read."""
-    return conform_legs(spark.read.parquet(path))
+    return conform_legs(spark.read.parquet(path), allow_missing)
 
 
 def read_jdbc(

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__
 from checks.compare import difference, oracle_connection
-from checks.registry import REPORTS
+from checks.registry import REPORTS, queries
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +27,12 @@ def test_flagship_has_rows(spark):
     frame = __spark_entry__.entry(spark)
     assert frame.columns[0] == "lane"
     assert frame.count() == 241
+
+
+def test_every_rule_has_rows(spark):
+    """A report over rules proves nothing about a rule that no row reaches."""
+    reports = queries()
+    reached = lambda name, column: {r[0] for r in reports[name](spark, "/root/testdata/sf0.01").select(column).distinct().collect()}
+    assert reached("smart_revenue", "revenue_rule") == {1, 2, 3, 4, 5}
+    assert reached("smart_cost_duplicate_test", "cost_rule") == {"1", "2", "3a", "3b", "4", "5"}
+    assert reached("ftl_structures", "structure") == {"direct", "multidrop", "multistop", "other"}

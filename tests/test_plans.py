@@ -6,7 +6,15 @@ from checks.registry import REPORTS, Tables
 
 
 @pytest.fixture(scope="module")
-def plan_of(spark, sf_dir):
+def enriched(spark, sf_dir, tmp_path_factory):
+    """A stored copy of the enriched legs, as users have."""
+    path = str(tmp_path_factory.mktemp("enriched") / "legs")
+    Tables(spark, sf_dir).legs.write.parquet(path)
+    return path
+
+
+@pytest.fixture(scope="module")
+def plan_of(spark, sf_dir, enriched):
     def plan(name, broadcast=True):
         wanted = {"spark.sql.maxMetadataStringLength": "10000"}
         if not broadcast:
@@ -15,7 +23,7 @@ def plan_of(spark, sf_dir):
         for key, value in wanted.items():
             spark.conf.set(key, value)
         try:
-            frame = REPORTS[name](Tables(spark, sf_dir))
+            frame = REPORTS[name](Tables(spark, sf_dir, enriched))
             return frame._jdf.queryExecution().executedPlan().toString()
         finally:
             for key, value in before.items():
@@ -27,8 +35,32 @@ def plan_of(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(REPORTS))
 def test_no_plan_multiplies_rows_or_leaves_the_jvm(plan_of, name):
     plan = plan_of(name, broadcast=False)
-    for operator in ("CartesianProduct", "NestedLoop", "Expand ", "Python", "ObjectHashAggregate", "collect_"):
+    for operator in ("CartesianProduct", "NestedLoop", "Expand ", "Python"):
         assert operator not in plan, operator
+    # sketches of percentiles, and the legs of a route in the test tables
+    gathers = {"margin_summary", "margin_distribution", "legs_with_routes", "route_agreement", "legs_on_routes"}
+    assert ("ObjectHashAggregate" in plan) <= (name in gathers)
+
+
+def test_building_a_report_starts_no_job(spark, sf_dir):
+    spark.sparkContext.setJobGroup("building", "reports")
+    try:
+        for name in ("lane_profit", "margin_summary", "margin_distribution", "legs_on_routes", "similar_mileage"):
+            REPORTS[name](Tables(spark, sf_dir))
+        # reading the footers of the tables is all that Spark does
+        tracker = spark.sparkContext.statusTracker()
+        jobs = tracker.getJobIdsForGroup("building")
+        assert all(tracker.getStageInfo(s).name.startswith("parquet") for j in jobs for s in tracker.getJobInfo(j).stageIds)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize(
+    ("name", "scans"),
+    [("keep_flags", 1), ("order_row_counts", 2), ("carrier_shipment_counts", 2), ("canceled_with_handling", 3)],
+)
+def test_legs_are_read_as_few_times_as_needed(plan_of, name, scans):
+    assert plan_of(name).count("FileScan") <= scans
 
 
 @pytest.mark.parametrize("name", ["lane_profit", "lane_diagnostics", "market_profit", "lane_customers"])
@@ -63,7 +95,7 @@ def test_stops_shrink_before_they_are_shuffled(plan_of, name):
     assert plan.rindex("WindowGroupLimit") > plan.rindex("Exchange hashpartitioning(loadId")
 
 
-@pytest.mark.parametrize("name", ["drill_detail_customer", "customer_list", "lane_list", "top_lanes"])
+@pytest.mark.parametrize("name", ["drill_detail_lane_short", "customer_list_short", "top_lanes", "multi_leg_allocations"])
 def test_limits_are_taken_per_partition(plan_of, name):
     assert "TakeOrderedAndProject" in plan_of(name)
 

@@ -3,12 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import sample
 from checks.registry import Q, Tables
 from lanelytics import enrich
 from lanelytics.operators.predicates import MARKETS, ZIPS, population
 from lanelytics.operators.rollup import profit_rollup
 from lanelytics.plans import breakdowns, drilldown, lanes
-from lanelytics.sources import sample
 
 
 @pytest.fixture(scope="module")

@@ -244,19 +244,25 @@ def test_main_rows_without_miles_count_as_zero(make_legs):
 
 def test_carrier_counting_rule(make_legs):
     base = {"shipmentType": "Less Than Truckload", "carrierName": "C"}
+    full = {"shipmentType": "Full Truckload", "carrierName": "C", "loadId": "L-1"}
     frame = make_legs(
         {"orderCode": "P-1", "mainShipment": "YES", **base},
         {"orderCode": "P-1", "mainShipment": "NO", **base},
         {"orderCode": "P-2", "mainShipment": "YES", **base},
         {"orderCode": "P-2", "mainShipment": "NO", **{**base, "carrierName": "D"}},
-        {"orderCode": "P-3", "mainShipment": "YES", "shipmentType": "Full Truckload", "carrierName": "C"},
-        {"orderCode": "P-3", "mainShipment": "YES", "shipmentType": "Full Truckload", "carrierName": "C"},
-        {"orderCode": "P-3", "mainShipment": "NO", "shipmentType": "Full Truckload", "carrierName": "C"},
+        {"orderCode": "P-3", "mainShipment": "YES", **full},
+        {"orderCode": "P-3", "mainShipment": "YES", **full},
+        {"orderCode": "P-3", "mainShipment": "NO", **full},
+        {"orderCode": "P-4", "mainShipment": "YES", **full},
+        {"orderCode": "P-4", "mainShipment": "YES", **{**full, "loadId": "L-2"}},
+        {"orderCode": "P-4", "mainShipment": "NO", **full},
     )
     assert sorted(r.warpId for r in counted_shipments(frame, "C").collect()) == ["S-1", "S-2"]
     assert sorted(r.warpId for r in counted_shipments(frame).collect()) == ["S-1", "S-2", "S-3"]
-    assert sorted(r.warpId for r in rows_to_use(frame, "carrier").collect()) == ["S-1", "S-3", "S-4", "S-5"]
-    assert rows_to_use(frame, "customer").count() == 4
+    assert sorted(r.warpId for r in rows_to_use(frame, "carrier").collect()) == [
+        "S-1", "S-3", "S-4", "S-5", "S-7", "S-8", "S-9",
+    ]
+    assert rows_to_use(frame, "customer").count() == 6
     with pytest.raises(ValueError, match="report"):
         rows_to_use(frame, "both")
 

@@ -7,10 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanelytics.operators import dedup
-from lanelytics.operators.order_stats import with_order_counts
+from lanelytics.operators import dedup, quantile
+from lanelytics.operators.groups import lookup_join, semi_join, with_group_sums
+from lanelytics.operators.order_stats import rows_to_use, with_order_counts
 from lanelytics.operators.quantile import exact_percentiles
-from lanelytics.operators.skew import SALTS, lookup_join, semi_join, with_group_sums
 from lanelytics.plans import strategy
 
 
@@ -47,12 +47,28 @@ def test_order_counts(skewed):
     assert all((r.order_rows, r.order_main_rows) == (total[r.orderCode], main[r.orderCode]) for r in got)
 
 
-def test_no_window_holds_more_than_the_salts(skewed):
+def test_null_is_a_group_like_any_other(make_legs):
+    frame = make_legs({"orderCode": None, "mainShipment": "YES"}, {"orderCode": None}, {"orderCode": "P-1"})
+    got = sorted((r.warpId, r.order_rows, r.order_main_rows) for r in with_order_counts(frame).collect())
+    assert got == [("S-0", 2, 1), ("S-1", 2, 1), ("S-2", 1, 0)]
+    full = make_legs({"orderCode": None, "mainShipment": "YES", "shipmentType": "Full Truckload"})
+    assert rows_to_use(full, "carrier").count() == 1
+
+
+def test_a_large_group_can_be_split(skewed):
+    """Both sides of the join come from a shuffle of their own, directly below its sort."""
     frame = with_group_sums(skewed, ["orderCode"], {"n": F.lit(1)})
     assert frame.filter("orderCode = 'P-hot'").select("n").distinct().collect()[0].n == 300
-    salted = skewed.select("orderCode", F.pmod(F.xxhash64("warpId"), F.lit(SALTS)).alias("s"))
-    spread = salted.filter("orderCode = 'P-hot'").select("s").distinct().count()
-    assert SALTS / 2 < spread <= SALTS
+    session = skewed.sparkSession
+    before = session.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = with_group_sums(skewed, ["orderCode"], {"n": F.lit(1)})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        session.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = [line.strip(" :+-") for line in plan.splitlines()]
+    sorts = [n for n, line in enumerate(lines) if line.startswith("Sort ")]
+    assert len(sorts) == 2 and all("ENSURE_REQUIREMENTS" in lines[n + 1] for n in sorts)
 
 
 def test_semi_and_lookup_joins(skewed, spark):
@@ -74,6 +90,8 @@ def test_first_per_stop_and_flags(skewed):
     kept = dedup.first_per_stop(skewed, "pick")
     assert sorted(r.warpId for r in kept.collect()) == expected
     assert sorted(r.warpId for r in dedup.first_per_stop(kept, "pick").collect()) == expected
+    twice = skewed.limit(1).unionByName(skewed.limit(1)).withColumn("loadId", F.lit("L-twice"))
+    assert sorted(r.keep_for_pickup for r in dedup.with_keep_flags(twice).collect()) == [False, True]
     flagged = dedup.with_keep_flags(skewed).collect()
     assert len(flagged) == 900
     assert sorted(r.warpId for r in flagged if r.keep_for_pickup) == expected
@@ -114,8 +132,9 @@ def test_duplicate_test(skewed, make_legs):
             assert (r.cost_rule == "3a") == any(abs(c - yes) < 1 for c in subs)
 
 
-@pytest.mark.parametrize("copies", [1, 7])
-def test_percentiles_are_exact(spark, copies):
+@pytest.mark.parametrize(("copies", "small"), [(1, 10**6), (7, 10**6), (1, 50), (7, 50)])
+def test_percentiles_are_exact(spark, copies, small, monkeypatch):
+    monkeypatch.setattr(quantile, "SMALL", small)
     rng = random.Random(copies)
     values = [rng.choice([0.25, rng.gauss(0, 5)]) for _ in range(500)] * copies
     frame = spark.createDataFrame([(v,) for v in values] + [(None,)] * 5, "v double").repartition(5)

@@ -284,3 +284,29 @@ def test_coverage_of_nothing_has_no_percentages(make_legs):
 def test_enriching_twice_changes_nothing(make_legs):
     frame = make_legs({"shipmentStatus": "Complete", "revenueAllocationNumber": 3})
     assert enrich(frame).collect() == frame.collect()
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("01/05/2025 08:05:00", "2025-01-05 08:05:00"),
+        ("1/5/2025 8:05:00", "2025-01-05 08:05:00"),
+        ("1/5/2025 8:05", None),
+        ("01/05/2025 08:05:0 ", None),
+        (" 1/05/2025 08:05:00", None),
+        ("01/05/2025", None),
+        ("13/05/2025 08:05:00", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_event_times_may_have_one_digit_parts(spark, text, expected):
+    frame = spark.createDataFrame([(text,)], "t string")
+    got = frame.select(times.event_time(F.col("t")).cast("string").alias("at")).first().at
+    assert got == expected
+
+
+def test_blanks_in_a_date_are_no_date(spark):
+    frame = spark.createDataFrame([("01/5 /2025",), ("1/5/2025",), ("01/05/2025",)], "t string")
+    got = [r.at for r in frame.select(times.event_date(F.col("t")).cast("string").alias("at")).collect()]
+    assert got == [None, "2025-01-05 00:00:00", "2025-01-05 00:00:00"]

@@ -27,11 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lanelytics.llm.common import batch_of, rows
+from lanelytics.llm.common import batch_of, rows, stored
 
 RUN = 8
 #: Pages and code points of a shard on average, and pages on which a short block must stand to be boilerplate.
 PAGES, CHARACTERS, SHORT_REPEATS = 256, 4_000_000, 3
+#: Cut hosts that are handed to every task; if there are more, pages are shuffled to them.
+BROADCAST_HOSTS = 50_000
 
 #: Fixed values of HTML: elements that begin a block, that have no content, and whose content is no markup.
 BLOCKS = frozenset(
@@ -232,8 +234,10 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
     )
     size = F.greatest(F.ceil(F.count("*") / PAGES), F.ceil(F.sum(F.length("html")) / CHARACTERS)).cast("int")
-    hosts = pages.groupBy("host").agg(size.alias("shards"))
-    placed = pages.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("url", "page_id"), F.col("shards")).cast("int"))
+    cut = stored(pages.groupBy("host").agg(size.alias("shards")).filter("shards > 1"))
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_HOSTS else cut
+    shard = F.pmod(F.xxhash64("url", "page_id"), F.coalesce("shards", F.lit(1))).cast("int")
+    placed = pages.join(cut, "host", "left").withColumn("shard", shard)
     return (
         placed.select("page_id", "url", "host", "shard", "html")
         .mapInArrow(_read, _READ)

@@ -88,6 +88,9 @@ def test_rows_of_any_kind(spark, monkeypatch):
     wanted = [(1, rows[0][1], "", 0), (2, None, long_text, len(long_text)), (3, "no url", "", 0), (4, rows[5][1], "", 0)]
     assert got == sorted(wanted + [(None, rows[2][1], "ü x", 3)] * 2, key=str)
     assert main_text.main_text(frame.limit(0)).count() == 0
-    monkeypatch.setattr(main_text, "PAGES", 2)
     pages = table(spark, "/root/testdata/sf0.001", "pages")
-    assert main_text.main_text(pages).exceptAll(main_text.main_text(pages)).count() == 0
+    whole = main_text.main_text(pages).collect()
+    monkeypatch.setattr(main_text, "PAGES", 2)
+    for hosts in (50_000, 0):
+        monkeypatch.setattr(main_text, "BROADCAST_HOSTS", hosts)
+        assert sorted(map(tuple, main_text.main_text(pages).collect())) == sorted(map(tuple, whole))

@@ -4,7 +4,7 @@ The sequences are the runs of letters in a lower-cased text, as UTF-8 bytes;
 very long ones are cut.  The network labels every byte with probabilities of
 the learned languages, and a document has the mean of those of its bytes.
 Training is backpropagation through time in numpy, on excerpts of at most
-``SAMPLE`` documents of each language.  A run's summed probabilities do not
+``PARTS * PART`` documents of each language.  A run's summed probabilities do not
 depend on its document, so they are kept.
 
 Null texts and texts without a letter get ``und`` and score 0; so does every
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lanelytics.llm.common import WordTable, batch_of, held_out, rows, whole_text
 
-#: Documents of a language that are learned from, and code points of each, from a place given by the id.
-SAMPLE, EXCERPT = 500, 400
+#: Parts by hash into which a language's documents are cut, documents learned from in each, and code points of those.
+PARTS, PART, EXCERPT = 64, 8, 400
 HIDDEN, LONGEST = 16, 48
 STEPS, BATCH, RATE = 700, 128, 0.01
 UNKNOWN = "und"
@@ -188,15 +188,20 @@ class Labeller:
         return results
 
 
-def language_sample(docs: DataFrame, size: int = SAMPLE, excerpt: int = EXCERPT) -> list[tuple[str, str]]:
-    """(excerpt, lang) of at most ``size`` documents of each language that may be learned from, first by hash of the id."""
+def language_sample(docs: DataFrame, excerpt: int = EXCERPT) -> list[tuple[str, str]]:
+    """(excerpt, lang) of documents that may be learned from: in each part of a language those first by hash.
+
+    A task passes on at most ``PART`` documents of each part, and the parts of a
+    language are gathered in different tasks.  The excerpt begins where the hash says.
+    """
     place = F.xxhash64("doc_id", "text")
     begin = F.pmod(place, F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(
         F.col("lang").cast("string").alias("lang"), place.alias("place"), F.substring("text", begin, F.lit(excerpt)).alias("text")
     )
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("place", "text"))
-    sample = known.withColumn("nth", nth).filter(F.col("nth") <= size).orderBy("lang", "nth")
+    first = W.partitionBy("lang", "part").orderBy("place", "text")
+    parts = known.withColumn("part", F.pmod("place", F.lit(PARTS)))
+    sample = parts.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= PART).orderBy("lang", "place", "text")
     return [(r["text"], r["lang"]) for r in sample.collect()]
 
 

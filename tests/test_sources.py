@@ -4,7 +4,6 @@ import tempfile
 from types import SimpleNamespace
 
 import pytest
-from pyspark.sql import functions as F
 
 from checks import sample
 from lanelytics import LegQuery

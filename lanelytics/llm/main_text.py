@@ -5,11 +5,18 @@ are concatenated, and suffixes are ranked by prefix doubling until runs of
 ``RUN`` words are told apart.  Runs of equal rank on distinct pages, and short
 blocks that stand alone on distinct pages, are boilerplate: what they cover is
 removed and the runs between are kept.  Pages with the same text count as one
-page, and an ``article`` or ``main`` element is not cut: what repeats inside is
-a copied or quoted article.  Finally elements that are no article by their
-kind or name (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, reader comments) go even where they are unique, as does everything
-beside an ``article`` or ``main`` that has text.
+page.
+
+Links and places are evidence besides repetition.  A block that consists of
+links for more than half goes where it repeats, in an ``article`` or ``main``
+too, and a short one on two pages already; what else repeats in an ``article``
+or ``main`` is a copied or quoted article and stays.  So does a repeated
+passage of ``PASSAGE`` words without links that stands between unique text.
+Beside an ``article`` or ``main`` stays what has at least ``RUN`` words of
+which none repeats and is no list of links, if the host has pages enough to
+tell.  Elements that are no article by their kind or name (menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, reader comments) go even
+where they are unique.
 
 Hosts with many or long pages are cut at random into shards of bounded size,
 each with an array of its own.  Null html and pages without text give an empty
@@ -32,6 +39,8 @@ from lanelytics.llm.common import batch_of, rows, stored
 RUN = 8
 #: Pages and code points of a shard on average, and pages on which a short block must stand to be boilerplate.
 PAGES, CHARACTERS, SHORT_REPEATS = 256, 4_000_000, 3
+#: Words of a repeated block that is a quoted passage where unique text stands before and behind it.
+PASSAGE = 100
 #: Cut hosts that are handed to every task; if there are more, pages are shuffled to them.
 BROADCAST_HOSTS = 50_000
 
@@ -66,7 +75,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 
-DROPPED, OPEN, ARTICLE = 0, 1, 2
+#: Zones of blocks; the last two hold links for more than half.
+DROPPED, OPEN, ARTICLE, OPEN_LINKS, ARTICLE_LINKS = 0, 1, 2, 3, 4
 
 
 def _outside(tag: str, attributes: str, in_article: bool) -> bool:
@@ -85,20 +95,29 @@ def _outside(tag: str, attributes: str, in_article: bool) -> bool:
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of each block with text, in page order; white space is one space, references are decoded."""
     found: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, outside, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside, article, link
     held: list[str] = []
-    outside = article = False
+    linked: list[str] = []
+    outside = article = link = False
+
+    def hold(text: str) -> None:
+        held.append(text)
+        if link:
+            linked.append(text)
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            found.append((DROPPED if outside else ARTICLE if article else OPEN, text))
+            links = linked and 2 * len("".join(html.unescape("".join(linked)).split())) > len(text.replace(" ", ""))
+            inside = (ARTICLE_LINKS if article else OPEN_LINKS) if links else ARTICLE if article else OPEN
+            found.append((DROPPED if outside else inside, text))
+        linked.clear()
 
     def pop_to(place: int) -> None:
-        nonlocal outside, article
+        nonlocal outside, article, link
         del stack[place:]
-        outside, article = stack[-1][1:] if stack else (False, False)
+        outside, article, link = stack[-1][1:] if stack else (False, False, False)
 
     def last(tags: tuple[str, ...], until: tuple[str, ...]) -> int:
         for place in range(len(stack) - 1, -1, -1):
@@ -111,7 +130,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     at = 0
     for token in TOKEN.finditer(page):
         if token.start() > at:
-            held.append(page[at : token.start()])
+            hold(page[at : token.start()])
         at = token.end()
         tag = (token["tag"] or "").lower()
         if not tag:
@@ -136,9 +155,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
             goes = outside or _outside(tag, token["attributes"], article)
             if goes != outside:
                 flush()
-            outside, article = goes, article or tag in ("article", "main")
-            stack.append((tag, outside, article))
-    held.append(page[at:])
+            outside, article, link = goes, article or tag in ("article", "main"), link or tag == "a"
+            stack.append((tag, outside, article, link))
+    hold(page[at:])
     flush()
     return found
 
@@ -173,6 +192,31 @@ def repeated_runs(words: np.ndarray, page: np.ndarray, run: int = RUN) -> np.nda
     return covered
 
 
+def _kept(
+    page: list[tuple[int, str]], gone: list[np.ndarray], repeats: dict[str, int], enough: bool, run: int
+) -> Iterator[str]:
+    """What stays of each block, by its repeated words; ``repeats`` are the pages of each short block."""
+    has_article = any(zone in (ARTICLE, ARTICLE_LINKS) for zone, _ in page)
+    prose = any(zone == ARTICLE for zone, _ in page)
+    unique = [k for k, (zone, _) in enumerate(page) if zone == OPEN and len(gone[k]) >= run and not gone[k].all()]
+    for k, (zone, text) in enumerate(page):
+        words, often = gone[k], repeats.get(text, 0)
+        whole = words.all() if len(words) >= run else often > 1
+        if zone == ARTICLE or zone == ARTICLE_LINKS and not (whole and prose):
+            yield text
+        elif zone not in (OPEN, OPEN_LINKS):
+            continue
+        elif has_article:
+            if enough and zone == OPEN and len(words) >= run and not words.any():
+                yield text
+        elif zone == OPEN and len(words) >= PASSAGE and unique and unique[0] < k < unique[-1] and words.all():
+            yield text
+        elif often < (2 if zone == OPEN_LINKS else SHORT_REPEATS):
+            left = " ".join(word for word, out in zip(text.split(" "), words) if not out) if words.any() else text
+            if left:
+                yield left
+
+
 def unique_text(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[str]:
     """Main texts of the pages of a host, from their blocks."""
     seen: dict[tuple, int] = {}
@@ -187,19 +231,16 @@ def unique_text(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[str]
         for _, text in page:
             if text.count(" ") < run - 1:
                 short.setdefault(text, set()).add(n)
+    repeats = {text: len(pages) for text, pages in short.items()}
+    enough = len(distinct) >= SHORT_REPEATS
     texts, at = [], 0
     for page in distinct:
-        has_article = any(zone == ARTICLE for zone, _ in page)
-        kept = []
-        for zone, text in page:
+        gone = []
+        for _, text in page:
             size = text.count(" ") + 1
-            gone = covered[at : at + size]
+            gone.append(covered[at : at + size])
             at += size
-            if zone == ARTICLE:
-                kept.append(text)
-            elif zone == OPEN and not has_article and len(short.get(text, ())) < SHORT_REPEATS:
-                kept.append(" ".join(word for word, out in zip(text.split(" "), gone) if not out) if gone.any() else text)
-        texts.append("\n".join(text for text in kept if text))
+        texts.append("\n".join(_kept(page, gone, repeats, enough, run)))
     return [texts[n] for n in number]
 
 

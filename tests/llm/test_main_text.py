@@ -94,3 +94,37 @@ def test_rows_of_any_kind(spark, monkeypatch):
     for hosts in (50_000, 0):
         monkeypatch.setattr(main_text, "BROADCAST_HOSTS", hosts)
         assert sorted(map(tuple, main_text.main_text(pages).collect())) == sorted(map(tuple, whole))
+
+
+LINKS = "More stories of the week that other readers also liked today"
+
+
+def test_repeats_decide_beside_and_inside_articles():
+    page = lambda n: [
+        (main_text.OPEN, f"An opening written for page number{n} alone and only here"),
+        (main_text.ARTICLE, f"Story {n}"),
+        (main_text.ARTICLE, BOILER),
+        (main_text.ARTICLE_LINKS, LINKS),
+        (main_text.ARTICLE_LINKS, f"unique{n} link"),
+        (main_text.OPEN, BOILER),
+    ]
+    opening = lambda n: f"An opening written for page number{n} alone and only here"
+    got = main_text.unique_text([page(n) for n in range(3)])
+    assert got == [f"{opening(n)}\nStory {n}\n{BOILER}\nunique{n} link" for n in range(3)]
+    assert main_text.unique_text([page(0)]) == [f"Story 0\n{BOILER}\n{LINKS}\nunique0 link"]  # nothing to compare with
+
+
+def test_pages_without_article():
+    quoted = " ".join(f"q{k}" for k in range(main_text.PASSAGE))
+    text = lambda n, part: " ".join(f"{part}{n}x{k}" for k in range(12))
+    page = lambda n: f"""<body><p>{quoted}<p>{text(n, "a")}<p>{quoted}<div><a href=1>Go on</a></div>
+        <p>{text(n, "b")}<div>{"Twice" if n < 2 else f"Once {n}"}</div><p>{text(n, "c")}<div>{BOILER}</div></body>"""
+    got = main_text.unique_text([main_text.blocks(page(n)) for n in range(3)])
+    assert got == ["\n".join([text(n, "a"), quoted, text(n, "b"), "Twice" if n < 2 else f"Once {n}", text(n, "c")]) for n in range(3)]
+    two = main_text.unique_text([main_text.blocks(page(n)) for n in range(2)])
+    assert all("Go on" not in t and "Twice" in t for t in two)
+
+
+def test_links_are_told_apart():
+    page = "<article><p>See <a href=x>this</a> for a longer account of it</p><ul><li><a>One &amp; two</a></ul></article><p><a>x</a>"
+    assert main_text.blocks(page) == [(2, "See this for a longer account of it"), (4, "One & two"), (3, "x")]

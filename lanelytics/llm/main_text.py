@@ -19,7 +19,11 @@ footers, sidebars, notices, adverts, forms, scripts, reader comments) go even
 where they are unique.
 
 Hosts with many or long pages are cut at random into shards of bounded size,
-each with an array of its own.  Null html and pages without text give an empty
+each with an array of its own.  What repeats across the shards of a host is
+found by 64-bit hashes of its runs and short blocks, which are dealt out by
+hash, matched, and given back to the shards that hold them; so a text does not
+depend on the size of its host.  Hosts without a block that repeats can decide
+on are spared this.  Null html and pages without text give an empty
 text; pages without a host form a host.  Every row gives one row, repeated and
 null ids too; other columns are ignored.
 """
@@ -28,7 +32,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +47,8 @@ RUN = 8
 PAGES, CHARACTERS, SHORT_REPEATS = 256, 4_000_000, 3
 #: Words of a repeated block that is a quoted passage where unique text stands before and behind it.
 PASSAGE = 100
+#: Hashes that a task gathers before it passes them on.
+HASHES = 1_000_000
 #: Cut hosts that are handed to every task; if there are more, pages are shuffled to them.
 BROADCAST_HOSTS = 50_000
 
@@ -217,15 +225,67 @@ def _kept(
                 yield left
 
 
-def unique_text(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[str]:
-    """Main texts of the pages of a host, from their blocks."""
+#: Factors of the words of a run; the last three bits of a hash give way to a count of pages.
+_FACTORS = np.array([int.from_bytes(blake2b(b"run %d" % k, digest_size=8).digest(), "little") | 1 for k in range(RUN)], np.uint64)
+_COUNT = np.uint64(3)
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+#: What every page holds, to count the pages of a host.
+_PAGE = np.uint64(_hash("\n") & ~3)
+
+
+def run_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of ``RUN`` words of a stream of word hashes."""
+    size = max(len(words) - RUN + 1, 0)
+    hashes = np.zeros(size, np.uint64)
+    for k, factor in enumerate(_FACTORS):
+        hashes += words[k : k + size] * factor
+    return (hashes ^ (hashes >> np.uint64(29))) & ~_COUNT
+
+
+def _short_hash(text: str) -> np.uint64:
+    return np.uint64(_hash("\n" + text) & ~3)
+
+
+def page_hashes(page: list[tuple[int, str]], known: dict[str, int]) -> tuple[int, np.ndarray]:
+    """A number for the text of a page, and the hashes of its runs and short blocks, once each."""
+    for _, text in page:
+        for word in text.split(" "):
+            if word not in known:
+                known[word] = _hash(word)
+    words = np.array([known[word] for _, text in page for word in text.split(" ")], np.uint64)
+    short = {_short_hash(text) for _, text in page if text.count(" ") < RUN - 1}
+    number = _hash("\n".join(f"{zone} {text}" for zone, text in page))
+    return number, np.unique(np.concatenate([run_hashes(words), np.array([*short, _PAGE], np.uint64)]))
+
+
+def repeated_hashes(hashes: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """The hashes on two or more distinct pages, in order, each with min(3, its pages) in its last bits."""
+    order = np.lexsort((pages, hashes))
+    hashes, pages = hashes[order], pages[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (pages[1:] != pages[:-1])
+    found, counts = np.unique(hashes[new], return_counts=True)
+    return found[counts > 1] | np.minimum(counts[counts > 1], 3).astype(np.uint64)
+
+
+def unique_text(pages: list[list[tuple[int, str]]], run: int = RUN, host: np.ndarray | None = None) -> list[str]:
+    """Main texts of the pages of a host, from their blocks.
+
+    If these are a shard only, ``host`` holds its hashes that are repeated on the host.
+    """
     seen: dict[tuple, int] = {}
     number = [seen.setdefault(tuple(page), len(seen)) for page in pages]
     distinct = list(seen)
     known: dict[str, int] = {}
     streams = [[word for _, text in page for word in text.split(" ")] for page in distinct]
     words = np.array([known.setdefault(word, len(known)) for stream in streams for word in stream], np.int64)
-    covered = repeated_runs(words, np.repeat(np.arange(len(streams)), [len(s) for s in streams]), run)
+    page_of = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+    covered = repeated_runs(words, page_of, run)
     short: dict[str, set[int]] = {}
     for n, page in enumerate(distinct):
         for _, text in page:
@@ -233,6 +293,15 @@ def unique_text(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[str]
                 short.setdefault(text, set()).add(n)
     repeats = {text: len(pages) for text, pages in short.items()}
     enough = len(distinct) >= SHORT_REPEATS
+    if host is not None and len(host):
+        counts = dict(zip((host & ~_COUNT).tolist(), (host & _COUNT).tolist()))
+        repeats = {text: max(n, counts.get(int(_short_hash(text)), 0)) for text, n in repeats.items()}
+        enough = enough or counts.get(int(_PAGE), 0) >= SHORT_REPEATS
+        hashed = np.array([_hash(word) for word in known], np.uint64)[words]
+        hashes = run_hashes(hashed)
+        starts = np.flatnonzero(np.isin(hashes, host & ~_COUNT) & (page_of[: len(hashes)] == page_of[len(words) - len(hashes) :]))
+        for step in range(RUN):
+            covered[starts + step] = True
     texts, at = [], 0
     for page in distinct:
         gone = []
@@ -259,9 +328,76 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, *columns, [[z for z, _ in f] for f in found], [[t for _, t in f] for f in found])
 
 
-def _extract(pages: pa.Table) -> pa.Table:
+_HASHES = pa.schema(
+    [("host", pa.string()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("pages", pa.binary()), ("shards", pa.binary())]
+)
+_REPEATED = pa.schema([("host", pa.string()), ("shard", pa.int32()), ("hashes", pa.binary())])
+
+
+def _asking(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hosts with a page that has blocks on which repeats decide."""
+    found: set[str] = set()
+    for part in rows(batches):
+        for page, host in zip(part["html"], part["host"]):
+            if host not in found and any(zone not in (DROPPED, ARTICLE) for zone, _ in blocks(page)):
+                found.add(host)
+                yield batch_of(pa.schema([("host", pa.string())]), [host])
+
+
+def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of the pages of cut hosts, in as many buckets as the host has shards."""
+    known: dict[str, int] = {}
+    held: dict[tuple[str, int], list[tuple[np.ndarray, int, int]]] = defaultdict(list)
+    size = 0
+
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        for (host, buckets), found in held.items():
+            hashes = np.concatenate([h for h, _, _ in found])
+            lengths = [len(h) for h, _, _ in found]
+            pages = np.repeat(np.array([p for _, p, _ in found], np.uint64), lengths)
+            shards = np.repeat(np.array([s for _, _, s in found], np.int32), lengths)
+            bucket = (hashes >> np.uint64(8)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            present, first = np.unique(bucket[order], return_index=True)
+            cuts = [order[a:b] for a, b in zip(first, [*first[1:], len(order)])]
+            columns = [[column[cut].tobytes() for cut in cuts] for column in (hashes, pages, shards)]
+            yield batch_of(_HASHES, [host] * len(cuts), present.astype(np.int32), *columns)
+        held.clear()
+
+    for part in rows(batches):
+        for page, host, shard, buckets in zip(part["html"], part["host"], part["shard"], part["shards"]):
+            number, hashes = page_hashes(blocks(page), known)
+            held[host, buckets].append((hashes, number, shard))
+            size += len(hashes)
+        if size >= HASHES:
+            yield from passed_on()
+            size = 0
+        if len(known) > HASHES:
+            known.clear()
+    yield from passed_on()
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _repeated(bucket: pa.Table) -> pa.Table:
+    """The repeated hashes of a bucket for each shard that holds them."""
+    hashes, pages, shards = (_joined(bucket[n], k) for n, k in (("hashes", np.uint64), ("pages", np.uint64), ("shards", np.int32)))
+    repeated = repeated_hashes(hashes, pages)
+    bare = repeated & ~_COUNT
+    here = np.flatnonzero(np.isin(hashes, bare))
+    full, shards = repeated[np.searchsorted(bare, hashes[here])], shards[here]
+    order = np.argsort(shards, kind="stable")
+    present, first = np.unique(shards[order], return_index=True)
+    cuts = [np.unique(full[order[a:b]]).tobytes() for a, b in zip(first, [*first[1:], len(order)])]
+    host = bucket["host"][0].as_py()
+    return pa.table([pa.array([host] * len(cuts), pa.string()), pa.array(present, pa.int32()), pa.array(cuts, pa.binary())], schema=_REPEATED)
+
+
+def _extract(pages: pa.Table, repeated: pa.Table) -> pa.Table:
     pages = pages.select(["page_id", "url", "zones", "texts"]).sort_by([("url", "ascending"), ("page_id", "ascending")])
-    texts = unique_text([list(zip(z, t)) for z, t in zip(pages["zones"].to_pylist(), pages["texts"].to_pylist())])
+    texts = unique_text([list(zip(z, t)) for z, t in zip(pages["zones"].to_pylist(), pages["texts"].to_pylist())], host=_joined(repeated["hashes"], np.uint64))
     columns = [pages["page_id"], pages["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
     return pa.table(columns, schema=_RESULT)
 
@@ -277,11 +413,22 @@ def main_text(pages: DataFrame) -> DataFrame:
     size = F.greatest(F.ceil(F.count("*") / PAGES), F.ceil(F.sum(F.length("html")) / CHARACTERS)).cast("int")
     cut = stored(pages.groupBy("host").agg(size.alias("shards")).filter("shards > 1"))
     cut = F.broadcast(cut) if cut.count() <= BROADCAST_HOSTS else cut
-    shard = F.pmod(F.xxhash64("url", "page_id"), F.coalesce("shards", F.lit(1))).cast("int")
+    shard = F.pmod(F.xxhash64("url", "page_id", "html"), F.coalesce("shards", F.lit(1))).cast("int")
     placed = pages.join(cut, "host", "left").withColumn("shard", shard)
+    cut_pages = placed.filter("shards is not null").select("html", "host", "shard", "shards")
+    asking = stored(cut_pages.select("host", "html").mapInArrow(_asking, "host string").distinct())
+    asking = F.broadcast(asking) if asking.count() <= BROADCAST_HOSTS else asking
+    repeated = (
+        cut_pages.join(asking, "host", "left_semi")
+        .select("html", "host", "shard", "shards")
+        .mapInArrow(_hashed, "host string, bucket int, hashes binary, pages binary, shards binary")
+        .groupBy("host", "bucket")
+        .applyInArrow(_repeated, "host string, shard int, hashes binary")
+    )
     return (
         placed.select("page_id", "url", "host", "shard", "html")
         .mapInArrow(_read, _READ)
         .groupBy("host", "shard")
+        .cogroup(repeated.groupBy("host", "shard"))
         .applyInArrow(_extract, "page_id long, url string, text string, n_chars long")
     )

@@ -128,3 +128,17 @@ def test_pages_without_article():
 def test_links_are_told_apart():
     page = "<article><p>See <a href=x>this</a> for a longer account of it</p><ul><li><a>One &amp; two</a></ul></article><p><a>x</a>"
     assert main_text.blocks(page) == [(2, "See this for a longer account of it"), (4, "One & two"), (3, "x")]
+
+
+def test_a_text_does_not_depend_on_the_size_of_its_host(spark, monkeypatch):
+    part = lambda n, name, words: " ".join(f"{name}{n}x{k}" for k in range(words))
+    page = lambda n: f"""<p>{part(n, "a", 12)}<div>Menu</div><p>{part(n // 2, "twice", 9)}<p>{part(n, "b", 12)}
+        <div>{"Thrice" if n < 3 else f"Once {n}"}</div><p>{part(n, "c", 12)}<div>{"Two" if n < 2 else f"One {n}"}</div>"""
+    rows = [(n, f"http://a.example/{n}", page(n)) for n in range(40)] + [(100 + n, "http://a.example/copy", page(0)) for n in range(3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(main_text, "HASHES", 100)
+    whole = sorted(map(tuple, main_text.main_text(frame).collect()))
+    texts = {r[0]: r[2].split("\n") for r in whole}
+    assert texts[1] == [part(1, "a", 12), part(1, "b", 12), part(1, "c", 12), "Two"] and texts[39][2] == "Once 39"
+    monkeypatch.setattr(main_text, "PAGES", 2)
+    assert sorted(map(tuple, main_text.main_text(frame).collect())) == whole

@@ -159,3 +159,39 @@ def test_no_documents(make_docs):
 def test_vocabularies_stay_outside_the_repository():
     assert all(not p.startswith("/root/repo") for p in (BYTE_JSON, BYTE_RANKS, MULTI_RANKS, WORD_JSON))
     assert public_tokenizers.PATTERN == PATTERN and isinstance(rank_encoding(BYTE_RANKS, PATTERN), tiktoken.Encoding)
+
+
+UNSPACED = st.text(alphabet=st.sampled_from(list("ab'st1漢字é\u0301İ#<|>カ한\u1100\u1161ไ")), max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(UNSPACED | TEXTS, st.integers(0, 12))
+def test_counts_inside_words(text, budget):
+    counter = token_counts.prefix_counter(WORD_JSON)
+    for word in counter.words(text):
+        for end, tokens in counter.parts(word):
+            assert counter.count(word[:end]) == tokens
+        end = counter.part_within(word, budget)
+        assert counter.count(word[:end]) <= budget
+
+
+def test_texts_without_spaces_are_cut_inside(make_docs):
+    library = Tokenizer.from_file(WORD_JSON)
+    count = lambda text: len(library.encode(text, add_special_tokens=False).ids)
+    texts = ["漢字を書く" * 2000, "x" * 70000, "Zm9vYmFy+/" * 2000, "Intro: " + "ไทย" * 5000, "if(a){b=1;}" * 1000]
+    for row in token_counts.count_tokens(make_docs(*enumerate(texts)), WORD_JSON).collect():
+        assert row["over_limit"] and 2040 < count(texts[row["doc_id"]][: row["fitting_chars"]]) <= 2048
+
+
+def test_any_prefix_has_the_count_of_the_library(make_docs):
+    from pyspark.sql import functions as F
+
+    library = Tokenizer.from_file(WORD_JSON)
+    texts = ["it's  l'été 漢字漢字 x1y2\n<|endoftext|>e\u0301#", "", " \x1c ab\x1fcd ", "漢字を書く" * 4]
+    lengths = list(range(45)) + [None]
+    docs = make_docs(*enumerate(texts)).withColumn("lengths", F.array(*map(F.lit, lengths)))
+    for row in token_counts.prefix_tokens(docs, WORD_JSON).collect():
+        wanted = [len(library.encode(texts[row["doc_id"]][: n or 0], add_special_tokens=False).ids) for n in lengths]
+        assert row["counts"] == wanted
+    table = token_counts.prefix_table(make_docs((0, "a1漢字b2")), WORD_JSON).first()
+    assert table["ends"] == [0, 1, 2, 5, 6]

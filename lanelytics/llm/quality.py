@@ -195,8 +195,8 @@ def judge(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with the counts, base_failed and kept, for every row of docs (text, lang, source)."""
     rows = docs.select(
         *carried,
-        F.to_json(F.struct("lang", "source")).alias("grp"),
-        F.to_json(F.struct("lang")).alias("pool"),
+        F.to_json(F.struct("lang", "source", F.lit(False).alias("pool"))).alias("grp"),
+        F.to_json(F.struct("lang", F.lit(True).alias("pool"))).alias("pool"),
         whole_text(),
     )
     counted = stored(

@@ -107,3 +107,11 @@ def test_nearest_directory_gives_its_licence(spark):
         10: (None, "MIT", "repo"),
         11: (None, "MIT", "repo"),
     }
+
+
+def test_a_null_source_is_no_pool(make_docs):
+    text = lambda n, mark: " ".join(f"w{n}x{k}{mark}" for k in range(60))
+    null = [(n, text(n, ""), "en", None) for n in range(40)]
+    small = [(100 + n, text(n, "###"), "en", "small") for n in range(9)]
+    verdicts = {r["doc_id"]: r["kept"] for r in quality.quality_rules(make_docs(*null, *small)).collect()}
+    assert len(verdicts) == 49 and all(verdicts.values())  # each group is all alike

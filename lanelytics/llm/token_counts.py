@@ -16,7 +16,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
-import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -63,18 +62,26 @@ class PrefixCounter:
         """The words as matches, in order."""
         return re.finditer(r"[^ \t\n\r]+" if _SEPARATORS.search(text) else r"\S+", text)
 
+    def apart(self, left: str, right: str) -> bool:
+        """Whether the normaliser changes nothing across the border between two pieces of a text."""
+        normalizer = self.tokenizer.normalizer
+        if normalizer is None or right[:1] < "\u0300":  # no sign below joins the one before it
+            return True
+        normal = normalizer.normalize_str
+        return normal(left) + normal(right) == normal(left + right)
+
     def parts(self, word: str) -> list[tuple[int, int]]:
         """(end, tokens up to there) of each pre-token of a word.
 
-        An end before a combining mark is left out, as the mark may join the character before it, and so is
-        one inside a character that becomes several.
+        An end counts only if the normaliser gives both sides by themselves what it gives them together, so
+        that no mark, vowel or final sign is parted from the signs it joins.
         """
         encoded = self.tokenizer.encode(word, add_special_tokens=False)
-        ids, offsets, found = encoded.word_ids, encoded.offsets, {}
-        for n, (_, end) in enumerate(offsets[:-1], 1):
-            apart = ids[n] != ids[n - 1] and offsets[n][0] >= end
-            if apart and end < len(word) and not unicodedata.category(word[end]).startswith("M"):
-                found[end] = n
+        ids, offsets, found, last = encoded.word_ids, encoded.offsets, {}, 0
+        for n, (begin, end) in enumerate(offsets[1:], 1):
+            # begin lies behind the signs that joined those before them, which belong to no token's offsets
+            if ids[n] != ids[n - 1] and offsets[n - 1][1] <= begin and self.apart(word[last:begin], word[begin:end]):
+                found[begin], last = n, begin
         found[len(word)] = len(ids)
         return sorted(found.items())
 

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from lanelytics.llm import byte_bpe, packing, token_counts
@@ -161,11 +161,14 @@ def test_vocabularies_stay_outside_the_repository():
     assert public_tokenizers.PATTERN == PATTERN and isinstance(rank_encoding(BYTE_RANKS, PATTERN), tiktoken.Encoding)
 
 
-UNSPACED = st.text(alphabet=st.sampled_from(list("ab'st1漢字é\u0301İ#<|>カ한\u1100\u1161ไ")), max_size=30)
+UNSPACED = st.text(alphabet=st.sampled_from(list("ab'st1漢字é\u0301\u0327İ#<|>カ한\u1100\u1161\u11a8ไका\u09c7\u09be")), max_size=30)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(UNSPACED | TEXTS, st.integers(0, 12))
+@example("\u1100\u11611", 0)
+@example("\u1100\u1161\u11a81", 2)
+@example("1\u1161\u11a8#\u0301\u0327b", 2)
 def test_counts_inside_words(text, budget):
     counter = token_counts.prefix_counter(WORD_JSON)
     for word in counter.words(text):

@@ -132,4 +132,38 @@ FROM placed LEFT JOIN own USING (path) LEFT JOIN up USING (directory)
 """
 
 
-ORACLE: dict[str, str] = {"op3_vantage_point_trees": NEAREST, "op5_quality_rules": _quality(), "op9_licenses": _licenses()}
+LINES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT r, doc_id, unnest(range(len(parts))) AS place, unnest(parts) AS line FROM d),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), shared AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id <> keeper) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
+FROM k LEFT JOIN shared USING (key) GROUP BY r, doc_id
+"""
+
+FILL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
+), g AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS e1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS e2,
+    CAST('0x' || h[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS h4 FROM d
+), c AS (
+  SELECT *, substring(text, 1, least(e1, e2)) AS p, substring(text, least(e1, e2) + 1, abs(e1 - e2)) AS m,
+    substring(text, greatest(e1, e2) + 1) AS s,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 90 THEN 'plain'
+      WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(e1, e2) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN abs(e1 - e2) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256
+FROM c
+"""
+
+ORACLE: dict[str, str] = {"op3_vantage_point_trees": NEAREST, "op5_quality_rules": _quality(), "op9_licenses": _licenses(), "op12_line_dedup": LINES, "op13_fill_in_middle": FILL}

@@ -20,20 +20,13 @@ other columns are ignored unless they are named to be carried.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lanelytics.llm.common import KEY, keyed, stored, whole_text
+from lanelytics.llm.common import KEY, keyed, let, stored, whole_text
 
 SPACE, NO_SPACE, SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it occurs there."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def repeat_words(words: Column) -> Column:
     """Words in three-word windows that occur twice or more, the first occurrence included.
 

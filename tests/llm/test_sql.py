@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, name, size):
 
 def test_every_operator_is_registered():
     names = [name for name in __spark_entry__.queries() if name.startswith("op")]
-    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries() and set(queries.queries()) == set(names)
 
 

@@ -410,6 +410,16 @@ FROM ({_lane_profit()})""",
     "similar_mileage_in_order": f"""SELECT *, CAST(row_number() OVER (ORDER BY profit, lane) AS BIGINT) AS place FROM ({_with(
         f"SELECT {_PEER_COLUMNS} FROM peers", _measures(f"{_STANDARD} AND {_MARKETS}", _LANE_KEYS), _peers("900::DOUBLE")
     )})""",
+    "similar_mileage_tagged_in_order": f"""SELECT *, CAST(row_number() OVER (ORDER BY lane <> '{LANE}', profit, lane) AS BIGINT) AS place
+FROM ({_with(
+        f"""SELECT {_PEER_COLUMNS},
+  CASE WHEN lane = '{LANE}' THEN 'Selected' ELSE 'Similar Mileage' END AS comparison_type FROM peers""",
+        _measures(f"{_STANDARD} AND {_MARKETS}", _LANE_KEYS), _peers("900::DOUBLE")
+    )})""",
+    "lane_profit_from_states": _lane_profit(),
+    "lane_profit_from_states_days": _lane_profit(f"{_POPULATION} AND delivered >= '1998-05-18' AND delivered <= '1998-06-17'"),
+    "lane_profit_from_states_ltl": _lane_profit(f"{_STANDARD} AND shipmentType = 'Less Than Truckload'"),
+    "market_profit_from_states": _market(),
     "drill_detail_parcel_whole": _drill_detail("shipmentType = 'Parcel'"),
     "drill_detail_totals": _with(
         f"""SELECT count(DISTINCT orderCode) AS completed_orders, count(*) AS total_rows,
@@ -551,6 +561,18 @@ WHERE gap IS NOT NULL GROUP BY measure, rule""",
         _orders(),
         _HEADERS,
     ),
+    "header_coverage": _with(
+        f"""SELECT measure, count(*) AS orders, count(*) FILTER (n % 11 = 5) AS no_header,
+  count(*) FILTER (n % 11 <> 5 AND (r IN (1, 3) OR r > 3 AND amount IS NULL)) AS missing,
+  count(*) FILTER (n % 11 <> 5 AND r IN (0, 2)) AS unreadable,
+  count(*) FILTER (n % 11 <> 5 AND r > 3 AND amount IS NOT NULL) AS compared
+FROM (
+  SELECT 'revenue' AS measure, n, n % 9 AS r, hrev AS amount FROM o JOIN oh USING (code)
+  UNION ALL SELECT 'cost', n, (n + 4) % 9, hcost FROM o JOIN oh USING (code)
+) GROUP BY measure""",
+        _HEADERS,
+        f"o AS (SELECT DISTINCT orderCode AS code, CAST(substr(orderCode, 3) AS BIGINT) AS n FROM e WHERE {_LTL})",
+    ),
     "source_reconciliation": _with(
         f"""SELECT approach, CAST(r AS DOUBLE) AS revenue, CAST(c AS DOUBLE) AS cost,
   CAST(hr AS DOUBLE) AS header_revenue, CAST(hc AS DOUBLE) AS header_cost,
@@ -853,6 +875,30 @@ FROM (SELECT *, lag(amount) {over} AS previous FROM (
     )
 
 
+_GAPS = "((month(delivered) % 4 <> 2 AND day(delivered) <= 15) OR day(delivered) = 29)"
+
+
+def _every_period(unit: str, key: str, where: str = "true") -> str:
+    """Sums of the legs of some weeks or months per key, with every period from the first to the last, as CTE ``f``."""
+    step = "INTERVAL 7 DAYS" if unit == "week" else "INTERVAL 1 MONTH"
+    return f"""s AS (SELECT {key} AS k, date_trunc('{unit}', delivered) AS p, count(*) AS legs, sum(crev - ccost) AS amount
+  FROM e WHERE {_GAPS} AND {where} GROUP BY ALL),
+f AS (
+  SELECT k, p, coalesce(legs, 0) AS legs, coalesce(amount, 0) AS amount
+  FROM (SELECT k, unnest(generate_series(CAST(min(p) AS TIMESTAMP), CAST(max(p) AS TIMESTAMP), {step})) AS p FROM s GROUP BY k) c
+  LEFT JOIN (SELECT k AS sk, CAST(p AS TIMESTAMP) AS sp, legs, amount FROM s) ON p = sp AND k IS NOT DISTINCT FROM sk)"""
+
+
+def _change_of_every(unit: str, key: str) -> str:
+    return _with(
+        f"""SELECT k AS {key}, strftime(p, '%Y-%m-%d') AS period, legs, CAST(amount AS DOUBLE) AS amount,
+  CAST(previous AS DOUBLE) AS previous, CAST(amount - previous AS DOUBLE) AS change,
+  CASE WHEN previous <> 0 THEN CAST(amount - previous AS DOUBLE) * 100 / abs(CAST(previous AS DOUBLE)) END AS change_pct
+FROM (SELECT *, lag(amount) OVER (PARTITION BY k ORDER BY p) AS previous FROM f)""",
+        _every_period(unit, key),
+    )
+
+
 def _statistics(source: str, pairs: dict[str, str]) -> str:
     return _with(
         "\nUNION ALL ".join(
@@ -876,6 +922,13 @@ FROM e WHERE shipmentWarpId IN (SELECT DISTINCT shipmentWarpId FROM e WHERE rev
 
 
 QUALITY = {
+    "merged_legs": _with(
+        """SELECT strftime(moment, '%Y-%m-%d') AS day, count(*) AS legs, CAST(sum(crev) AS DOUBLE) AS revenue FROM (
+  SELECT delivered AS moment, crev FROM e WHERE CAST(orderId AS BIGINT) % 7 <> 0 AND CAST(orderId AS BIGINT) % 11 <> 3
+  UNION ALL SELECT delivered + INTERVAL 2 DAYS, crev FROM e WHERE CAST(orderId AS BIGINT) % 7 = 0
+  UNION ALL SELECT delivered, crev FROM e WHERE CAST(orderId AS BIGINT) % 13 = 1
+) GROUP BY 1"""
+    ),
     "delivery_days": _with(
         "SELECT strftime(delivered, '%Y-%m-%d') AS day, count(*) AS legs FROM e GROUP BY 1"
     ),
@@ -965,6 +1018,20 @@ FROM e"""
     "weekly_change": _change("week"),
     "weekly_change_by_type": _change("week", "shipmentType"),
     "monthly_change": _change("month"),
+    "weekly_change_of_every_week": _change_of_every("week", "shipmentType"),
+    "monthly_change_of_every_month": _change_of_every("month", "carrierSaleRep"),
+    "rolling_profit_of_every_month": _with(
+        """SELECT k AS lane, strftime(p, '%Y-%m-%d') AS period, legs, CAST(amount AS DOUBLE) AS amount,
+  CAST(sum(amount) OVER w AS DOUBLE) / count(*) OVER w AS rolling_avg
+FROM f WINDOW w AS (PARTITION BY k ORDER BY p ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""",
+        _every_period("month", "lane"),
+    ),
+    "distinct_lanes_estimated": _with(
+        """SELECT year(delivered) AS year, count(DISTINCT pickCity || dropCity) AS city_lanes,
+  count(DISTINCT startMarket || '>' || endMarket) AS market_lanes, count(DISTINCT warpId) AS legs,
+  TRUE AS city_lanes_within_bound, TRUE AS market_lanes_within_bound, TRUE AS legs_within_bound
+FROM e WHERE delivered IS NOT NULL GROUP BY 1"""
+    ),
     "rolling_profit": _with(
         """SELECT lane, strftime(p, '%Y-%m-%d') AS period, legs, CAST(amount AS DOUBLE) AS amount,
   CAST(sum(amount) OVER w AS DOUBLE) / count(*) OVER w AS rolling_avg

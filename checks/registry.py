@@ -11,14 +11,17 @@ import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from checks import sample
 from lanelytics import LegQuery
 from lanelytics.functions import service as sv
 from lanelytics.functions.labels import lane_label
 from lanelytics.operators import dedup, order_stats
+from lanelytics.operators.order_states import number_orders, order_states
 from lanelytics.operators.predicates import ZIPS, customer_view
+from lanelytics.operators.ranks import with_places
+from lanelytics.operators.sketches import error_bound, estimates
 from lanelytics.plans import (
     breakdowns as bd,
     companions as cp,
@@ -30,6 +33,7 @@ from lanelytics.plans import (
     stats as st,
     strategy as sg,
 )
+from lanelytics.sources.merge import merged
 from lanelytics.sources.tables import run_sql
 
 START, END = "1997-01-01", "1998-12-31"
@@ -100,10 +104,56 @@ def _six_digits(statistics: DataFrame) -> DataFrame:
     return statistics.withColumn("value", F.round("value", 6))
 
 
-def _in_order(ordered: DataFrame) -> DataFrame:
-    """The rows with their place in the order that a report gives them."""
-    kept = ordered.withColumn("_at", F.monotonically_increasing_id())
-    return kept.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+def _states(t: Tables) -> DataFrame:
+    return order_states(t.legs, number_orders(t.legs))
+
+
+def _merged_by_day(t: Tables) -> DataFrame:
+    """Legs of some orders two days later, of others withdrawn, and late legs."""
+    number = F.col("orderId").cast("bigint")
+    moved = t.legs.filter(number % 7 == 0).withColumn("delivery_ts", F.col("delivery_ts") + F.expr("INTERVAL 2 DAYS"))
+    late = t.legs.filter(number % 13 == 1).withColumn("warpId", F.concat(F.lit("late "), "warpId"))
+    changed = moved.unionByName(late).withColumn("delivery_date", F.to_date("delivery_ts"))
+    rows = merged(t.legs, changed, t.legs.filter(number % 11 == 3))
+    return rows.groupBy(F.col("delivery_date").alias("day")).agg(
+        F.count(F.lit(1)).alias("legs"), F.sum("counted_revenue").alias("revenue")
+    )
+
+
+def _with_gaps(t: Tables) -> DataFrame:
+    """Legs of some months and weeks only."""
+    day = F.col("delivery_ts")
+    return t.legs.filter((F.month(day) % 4 != 2) & (F.dayofmonth(day) <= 15) | (F.dayofmonth(day) == 29))
+
+
+def _estimated(t: Tables) -> DataFrame:
+    """Per year, exact distinct values, and whether the estimates from the sketches of its days are within bound."""
+    sketches = ql.lane_sketches(t.legs).withColumn("year", F.year("delivery_date"))
+    names = ("city_lanes", "market_lanes", "legs")
+    estimated = estimates(sketches, names, ["year"]).withColumnsRenamed({n: f"estimated_{n}" for n in names})
+    values = {
+        "city_lanes": lane_label("pickCity", "dropCity"), "market_lanes": lane_label("startMarket", "endMarket"), "legs": F.col("warpId"),
+    }
+    exact = None
+    for name, value in values.items():
+        distinct = t.legs.select(F.year("delivery_ts").alias("year"), value.alias("v")).distinct()
+        counted = distinct.groupBy("year").agg(F.count("v").alias(name))
+        exact = counted if exact is None else exact.join(counted, "year")
+    near = lambda name: F.abs(F.col(f"estimated_{name}") - F.col(name)) <= F.ceil(F.col(name) * error_bound())
+    return exact.join(estimated, "year").select("year", *names, *[near(n).alias(f"{n}_within_bound") for n in names])
+
+
+def _spoiled_headers(t: Tables) -> DataFrame:
+    """Order headers of which some are missing, without an amount or hold text that is none."""
+    number = F.substring("code", 3, 20).cast("bigint")
+
+    def spoiled(column: str, shift: int):
+        rest = (number + shift) % 9
+        text = F.when(rest == 0, "n/a").when(rest == 1, " ").when(rest == 2, "1,234.50").when(rest == 3, F.lit(None))
+        return text.when(rest == 4, F.concat(F.lit(" "), F.col(column))).otherwise(F.col(column))
+
+    amounts = {"revenueAllocation": spoiled("revenueAllocation", 0), "costAllocation": spoiled("costAllocation", 4)}
+    return t.headers.filter(number % 11 != 5).withColumns(amounts)
 
 
 def _since(t: Tables) -> DataFrame:
@@ -160,11 +210,18 @@ LANES: dict[str, Callable[[Tables], DataFrame]] = {
     "drill_detail_lane": lambda t: dd.drill_detail(t.legs, Q, lane=LANE),
     "drill_detail_lane_short": lambda t: dd.drill_detail(t.legs, Q, lane=LANE, limit=5),
     "drill_detail_whole": lambda t: dd.drill_detail(t.legs, Q),
-    "drill_detail_in_order": lambda t: _in_order(dd.drill_detail(t.legs, Q, lane=LANE)),
+    "drill_detail_in_order": lambda t: with_places(dd.drill_detail(t.legs, Q, lane=LANE), dd.DETAIL_ORDER),
     "drill_detail_parcel_whole": lambda t: dd.drill_detail(t.legs, _of_type(PARCEL)),
     "drill_detail_totals": lambda t: dd.detail_totals(dd.drill_detail(t.legs, Q, lane=LANE)),
-    "lane_profit_in_order": lambda t: _in_order(ln.lane_profit(t.legs, Q)),
-    "similar_mileage_in_order": lambda t: _in_order(ln.similar_mileage(t.legs, Q, 900.0)),
+    "lane_profit_in_order": lambda t: with_places(ln.lane_profit(t.legs, Q), ln.BEST_FIRST),
+    "similar_mileage_in_order": lambda t: with_places(ln.similar_mileage(t.legs, Q, 900.0), ln.WORST_PEER_FIRST),
+    "similar_mileage_tagged_in_order": lambda t: with_places(
+        ln.tagged_peers(ln.similar_mileage(t.legs, Q, 900.0), LANE), ln.SELECTED_FIRST
+    ),
+    "lane_profit_from_states": lambda t: ln.lane_profit_of_range(_states(t), Q),
+    "lane_profit_from_states_days": lambda t: ln.lane_profit_of_range(_states(t), LegQuery.last_days(AS_OF, 30)),
+    "lane_profit_from_states_ltl": lambda t: ln.lane_profit_of_range(_states(t), _of_type(LTL)),
+    "market_profit_from_states": lambda t: ln.market_profit_of_range(_states(t), Q),
     "customer_list": lambda t: dd.customer_list(t.legs),
     "customer_list_short": lambda t: dd.customer_list(t.legs, limit=20),
     "lane_list": lambda t: dd.lane_list(t.legs),
@@ -193,6 +250,7 @@ STRATEGIES: dict[str, Callable[[Tables], DataFrame]] = {
     "strategy_match": lambda t: sg.strategy_match(
         sg.smart_orders(_ltl(t), duplicate_test=True, lanes=False), t.headers
     ),
+    "header_coverage": lambda t: sg.header_coverage(sg.order_metrics(_ltl(t), lanes=False), _spoiled_headers(t)),
     "source_reconciliation": lambda t: sg.reconcile(_ltl(t), t.headers),
     "cross_validation": lambda t: sg.cross_validation(t.legs, t.headers),
     "order_costs": lambda t: sg.order_costs(_ltl(t)),
@@ -263,6 +321,7 @@ COMPANIONS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 QUALITY: dict[str, Callable[[Tables], DataFrame]] = {
+    "merged_legs": _merged_by_day,
     "delivery_days": lambda t: t.legs.groupBy(F.to_date("delivery_ts").alias("day")).agg(
         F.count(F.lit(1)).alias("legs")
     ),
@@ -284,10 +343,14 @@ QUALITY: dict[str, Callable[[Tables], DataFrame]] = {
     "sanity_checks": lambda t: ql.sanity_checks(t.legs),
     "margin_summary": lambda t: _six_digits(st.margin_summary(t.legs.filter(customer_view()))),
     "margin_distribution": lambda t: _six_digits(st.margin_distribution(t.legs)),
-    "weekly_change": lambda t: st.weekly_change(t.legs),
-    "weekly_change_by_type": lambda t: st.weekly_change(t.legs, ("shipmentType",)),
-    "monthly_change": lambda t: st.monthly_change(t.legs),
-    "rolling_profit": lambda t: st.rolling_profit(t.legs.filter(F.col("lane").isNotNull())),
+    "weekly_change": lambda t: st.weekly_change(t.legs, every_period=False),
+    "weekly_change_by_type": lambda t: st.weekly_change(t.legs, ("shipmentType",), every_period=False),
+    "weekly_change_of_every_week": lambda t: st.weekly_change(_with_gaps(t), ("shipmentType",)),
+    "monthly_change": lambda t: st.monthly_change(t.legs, every_period=False),
+    "monthly_change_of_every_month": lambda t: st.monthly_change(_with_gaps(t), ("carrierSaleRep",)),
+    "rolling_profit": lambda t: st.rolling_profit(t.legs.filter(F.col("lane").isNotNull()), every_period=False),
+    "rolling_profit_of_every_month": lambda t: st.rolling_profit(_with_gaps(t)),
+    "distinct_lanes_estimated": _estimated,
 }
 
 REPORTS = {**LANES, **STRATEGIES, **SERVICE, **COMPANIONS, **QUALITY}

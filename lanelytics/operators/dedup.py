@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lanelytics.functions.service import arrived
 
 
+#: Parts that the rows of a stop are dealt to.
+SHARES = 32
+
+
 def stop_key(side: str) -> list[Column]:
     """What makes rows the same stop at the ``pick`` or ``drop`` end."""
     return [F.col("loadId"), F.col("carrierName"), F.col(f"{side}LocationName"), arrived(side).cast("date")]
@@ -29,9 +33,21 @@ def first_per_stop(rows: DataFrame, side: str) -> DataFrame:
 
 
 def with_keep_flags(rows: DataFrame) -> DataFrame:
-    """Rows with ``keep_for_pickup`` and ``keep_for_delivery``: exactly one row of each stop is the first."""
-    flags = {}
+    """Rows with ``keep_for_pickup`` and ``keep_for_delivery``: exactly one row of each stop is the first.
+
+    A stop is numbered in ``SHARES`` by leg id, and then the first rows of its
+    shares among themselves, while the others stay in their shares: no task
+    sorts all rows of a stop, however many it has.
+    """
+    flagged = rows.withColumn("_share", F.pmod(F.xxhash64("warpId"), F.lit(SHARES)))
     for side, flag in (("pick", "keep_for_pickup"), ("drop", "keep_for_delivery")):
-        order = Window.partitionBy(*stop_key(side)).orderBy(arrived(side), "warpId")
-        flags[flag] = F.row_number().over(order) == 1
-    return rows.withColumns(flags)
+        order = (arrived(side), "warpId")
+        share = Window.partitionBy(*stop_key(side), "_share").orderBy(*order)
+        group = F.when(F.col("_first"), F.lit(-1)).otherwise(F.col("_share"))
+        firsts = Window.partitionBy(*stop_key(side), "_group").orderBy(*order)
+        flagged = (
+            flagged.withColumn("_first", F.row_number().over(share) == 1)
+            .withColumn("_group", group)
+            .withColumn(flag, F.col("_first") & (F.row_number().over(firsts) == 1))
+        )
+    return flagged.drop("_share", "_first", "_group")

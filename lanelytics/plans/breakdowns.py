@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lanelytics.functions.labels import yes_no
 from lanelytics.functions.money import percent, ratio
 from lanelytics.operators.predicates import ZIPS, equals, keys_present, population
-from lanelytics.operators.rollup import distinct_count, profit_rollup
+from lanelytics.operators.rollup import profit_rollup, profit_rollup_with_legs
 from lanelytics.query import LegQuery
 
 
@@ -44,10 +44,8 @@ def lane_customers(enriched: DataFrame, query: LegQuery, lane: Mapping[str, str]
 def lane_carriers(enriched: DataFrame, query: LegQuery, lane: Mapping[str, str]) -> DataFrame:
     """Profit by named carrier on one lane, worst first."""
     rows = _rows(enriched, query, lane).filter(keys_present("carrierName"))
-    shipments = distinct_count(rows, ["carrierName"], "warpId", "shipment_count")
     return (
-        profit_rollup(rows, ["carrierName"])
-        .join(shipments, "carrierName")
+        profit_rollup_with_legs(rows, ["carrierName"])
         .select(
             F.col("carrierName").alias("carrier"),
             F.col("order_count").alias("orders_with_carrier"),

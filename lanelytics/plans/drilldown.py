@@ -16,6 +16,7 @@ from lanelytics.operators.predicates import (
     population,
 )
 from lanelytics.operators.rollup import profit_rollup
+from lanelytics.operators.ranks import sort_columns
 from lanelytics.query import LegQuery
 
 
@@ -47,6 +48,10 @@ def drill_headline(
     )
 
 
+#: The order of listed legs, by the names that they are listed under.
+DETAIL_ORDER = ("Order ID", "-Main Shipment", "Warp ID")
+
+
 def drill_detail(
     enriched: DataFrame,
     query: LegQuery,
@@ -65,7 +70,7 @@ def drill_detail(
     if lane is not None:
         rows = rows.filter(F.col("lane") == lane)
     revenue, cost = F.col("revenueAllocationNumber"), F.col("costAllocationNumber")
-    detail = rows.orderBy("orderCode", F.desc("mainShipment"), "warpId").select(
+    detail = rows.orderBy(*sort_columns(("orderCode", "-mainShipment", "warpId"))).select(
         F.col("orderCode").alias("Order ID"),
         F.col("warpId").alias("Warp ID"),
         F.col("mainShipment").alias("Main Shipment"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lanelytics.functions.labels import comparison_tag, lane_label, zip_lane_display
 from lanelytics.functions.money import percent
+from lanelytics.operators.order_states import states_rollup
 from lanelytics.operators.predicates import (
     MARKETS,
     ZIPS,
@@ -14,6 +15,7 @@ from lanelytics.operators.predicates import (
     same_market,
     standard_population,
 )
+from lanelytics.operators.ranks import sort_columns
 from lanelytics.operators.rollup import distinct_count, profit_rollup, with_rates
 from lanelytics.query import LegQuery
 
@@ -24,12 +26,27 @@ LANE_COLUMNS = (
 )
 
 
+#: Orders of the lane, peer and tagged peer reports.
+BEST_FIRST, WORST_PEER_FIRST = ("-total_profit", "lane"), ("profit", "lane")
+SELECTED_FIRST = ("comparison_type", *WORST_PEER_FIRST)  # "Selected" sorts before "Similar Mileage"
+
+
 def lane_profit(enriched: DataFrame, query: LegQuery) -> DataFrame:
     """Profit by market lane, best first; each leg counts towards its own lane.
 
     Percentages are rounded to one decimal, halves to even.
     """
-    lanes = profit_rollup(population(enriched, query), MARKETS).filter(
+    return lane_report(profit_rollup(population(enriched, query), MARKETS))
+
+
+def lane_profit_of_range(states: DataFrame, query: LegQuery) -> DataFrame:
+    """Profit by market lane from stored order states, without reading legs."""
+    return lane_report(states_rollup(states, query))
+
+
+def lane_report(rollup: DataFrame) -> DataFrame:
+    """The lane report of a rollup by lane: lanes with an order or a truck ordered but not used."""
+    lanes = rollup.filter(
         (F.col("completed_orders") > 0) | (F.col("canceled_orders") > 0) | (F.col("tonu_rows") > 0)
     )
     return with_rates(lanes).select(
@@ -46,7 +63,7 @@ def lane_profit(enriched: DataFrame, query: LegQuery) -> DataFrame:
         F.bround("margin_pct", 1).alias("margin_pct"),
         "tonu_revenue",
         "tonu_cost",
-    ).orderBy(F.col("total_profit").desc(), "lane")
+    ).orderBy(*sort_columns(BEST_FIRST))
 
 
 def lane_allocation(enriched: DataFrame, known_only: bool = True) -> DataFrame:
@@ -73,8 +90,18 @@ def lane_allocation(enriched: DataFrame, known_only: bool = True) -> DataFrame:
 def market_profit(enriched: DataFrame, query: LegQuery) -> DataFrame:
     """Profit of legs that stay within one market, worst first."""
     rows = population(enriched, query, keys=("startMarket",)).filter(same_market())
+    return market_report(profit_rollup(rows, ["startMarket"]))
+
+
+def market_profit_of_range(states: DataFrame, query: LegQuery) -> DataFrame:
+    """Profit within markets from stored order states, without reading legs."""
+    return market_report(states_rollup(states.filter(same_market()), query, ["startMarket"]))
+
+
+def market_report(rollup: DataFrame) -> DataFrame:
+    """The market report of a rollup by market."""
     return (
-        with_rates(profit_rollup(rows, ["startMarket"]))
+        with_rates(rollup)
         .select(
             F.col("startMarket").alias("market"),
             "completed_orders", "canceled_orders", "total_revenue", "total_cost", "total_profit",
@@ -107,20 +134,13 @@ def zip_diagnostics(
 ) -> DataFrame:
     """Zip pairs with enough orders, worst first, with representative places.
 
-    The largest city and market names stand for the pair.  A maximum over text
-    next to the sums would turn the whole rollup into a sort, so the names of
-    each pair are counted first and the maximum is taken over the few that are
-    left.  A plain distinct would not do: the optimizer removes it under a
-    maximum, the filter on the count keeps it.
+    The largest city and market names stand for the pair.
     """
-    rows = population(enriched, query, keys=ZIPS)
     places = ("pickCity", "dropCity", *MARKETS)
-    named = rows.groupBy(*ZIPS, *places).agg(F.count(F.lit(1)).alias("legs")).filter(F.col("legs") > 0)
-    names = named.groupBy(*ZIPS).agg(*[F.max(p).alias(p) for p in places])
-    lanes = _having(profit_rollup(rows, ZIPS), min_orders, only_negative)
+    rollup = profit_rollup(population(enriched, query, keys=ZIPS), ZIPS, places)
+    lanes = _having(rollup, min_orders, only_negative)
     return (
         with_rates(lanes)
-        .join(names, list(ZIPS))
         .withColumn("lane", lane_label(*ZIPS))
         .withColumn("lane_display", zip_lane_display())
         .select("lane", "lane_display", *ZIPS, "pickCity", "dropCity", *LANE_COLUMNS[1:])
@@ -140,7 +160,8 @@ def similar_mileage(
     The target is normally the rounded mean of the selected lane; the unrounded
     mean of each lane is compared with it.  ``target_miles`` may be a scalar
     subquery, so that it is found within the same plan.  Without a known target
-    distance there are no peers.
+    distance there are no peers.  Legs are counted on the lanes that are left
+    only, whose measures go along as grouping keys.
     """
     target = target_miles if isinstance(target_miles, Column) else F.lit(float(target_miles))
     rows = population(enriched, query)
@@ -150,11 +171,11 @@ def similar_mileage(
         & (F.col("avg_main_miles") <= target * (1 + tolerance))
         & (F.col("order_count") >= min_orders)
     )
-    legs = distinct_count(rows, MARKETS, "warpId", "shipment_count")
+    report = with_rates(lanes).drop(*MARKETS).columns
+    legs = rows.select(*MARKETS, "warpId").join(with_rates(lanes), list(MARKETS))
+    counted = distinct_count(legs, [*MARKETS, *report], "warpId", "shipment_count")
     return (
-        with_rates(lanes)
-        .join(legs, list(MARKETS))
-        .select(
+        counted.select(
             lane_label(*MARKETS).alias("lane"),
             *MARKETS, "completed_orders", "canceled_orders", "avg_miles",
             "total_revenue", "total_cost", "crossdock_cost", F.col("total_profit").alias("profit"),
@@ -162,14 +183,14 @@ def similar_mileage(
             (F.col("shipment_count") / F.col("order_count")).alias("avg_legs"),
             "tonu_revenue", "tonu_cost",
         )
-        .orderBy("profit", "lane")
+        .orderBy(*sort_columns(WORST_PEER_FIRST))
     )
 
 
 def tagged_peers(peers: DataFrame, selected: str) -> DataFrame:
     """Similar lanes with the selected one marked and first, then worst first."""
     tagged = peers.withColumn("comparison_type", comparison_tag(F.col("lane"), selected))
-    return tagged.orderBy(F.when(F.col("comparison_type") == "Selected", 0).otherwise(1), "profit", "lane")
+    return tagged.orderBy(*sort_columns(SELECTED_FIRST))
 
 
 def peer_comparison(peers: DataFrame, selected: str) -> DataFrame:

@@ -10,6 +10,7 @@ from lanelytics.functions.labels import CITY_ARROW, lane_label
 from lanelytics.functions.money import allocated, or_zero
 from lanelytics.functions.times import event_date, midnight, present
 from lanelytics.operators.predicates import MARKETS, keys_present
+from lanelytics.operators.sketches import distinct_sketches, estimates
 
 LANE_FIELDS = ("pickCity", "dropCity", "startMarket", "endMarket")
 TIME_FIELDS = ("pickTimeArrived", "dropTimeArrived")
@@ -138,6 +139,23 @@ def distinct_lanes(legs: DataFrame) -> DataFrame:
     )
 
 
+def lane_sketches(legs: DataFrame) -> DataFrame:
+    """Sketches of the city lanes, market lanes and legs of each delivery date, to be stored."""
+    values = {
+        "city_lanes": lane_label("pickCity", "dropCity", CITY_ARROW),
+        "market_lanes": lane_label(*MARKETS, arrow=CITY_ARROW),
+        "legs": F.col("warpId"),
+    }
+    return distinct_sketches(legs, values, ["delivery_date"])
+
+
+def estimated_lanes(sketches: DataFrame, start: str, end: str) -> DataFrame:
+    """Estimated distinct city lanes, market lanes and legs of some days, both included, from their sketches."""
+    day = F.col("delivery_date")
+    wanted = sketches.filter((day >= F.lit(start).cast("date")) & (day <= F.lit(end).cast("date")))
+    return estimates(wanted, ("city_lanes", "market_lanes", "legs"))
+
+
 def top_lanes(legs: DataFrame, limit: int | None = None) -> DataFrame:
     """Market lanes, those with the most legs first, with plain sums of their amounts."""
     lanes = (

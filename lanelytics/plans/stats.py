@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lanelytics.functions.times import month_of, week_of
 from lanelytics.operators.quantile import exact_percentiles
-from lanelytics.operators.trends import by_period, with_change, with_rolling_average
+from lanelytics.operators.trends import by_period, with_change, with_every_period, with_rolling_average
 from lanelytics.plans.profit_reports import leg_margins
 
 
@@ -51,20 +51,30 @@ def margin_distribution(rows: DataFrame) -> DataFrame:
     return plain.unionByName(_percentiles(legs, "margin", {"p10": 0.1, "p50": 0.5, "p90": 0.9}))
 
 
-def _profit(enriched: DataFrame, period: Column, keys: tuple[str, ...]) -> DataFrame:
-    return by_period(enriched, period, F.col("counted_revenue") - F.col("counted_cost"), keys)
+def _profit(enriched: DataFrame, period: Column, step: str | None, keys: tuple[str, ...]) -> DataFrame:
+    periods = by_period(enriched, period, F.col("counted_revenue") - F.col("counted_cost"), keys)
+    return periods if step is None else with_every_period(periods, step, keys)
 
 
-def weekly_change(enriched: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Counted profit per delivery week, with its week-over-week change."""
-    return with_change(_profit(enriched, week_of(F.col("delivery_ts")), keys), keys)
+def weekly_change(enriched: DataFrame, keys: tuple[str, ...] = (), every_period: bool = True) -> DataFrame:
+    """Counted profit per delivery week, with its week-over-week change.
 
+    A week without legs counts with a profit of zero; without ``every_period``
+    it is left out, and a change is against the last week that has legs.
+    """
+    periods = _profit(enriched, week_of(F.col("delivery_ts")), "7 DAYS" if every_period else None, keys)
+    return with_change(periods, keys)
 
-def monthly_change(enriched: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Counted profit per delivery month, with its month-over-month change."""
-    return with_change(_profit(enriched, month_of(F.col("delivery_ts")), keys), keys)
 
+def monthly_change(enriched: DataFrame, keys: tuple[str, ...] = (), every_period: bool = True) -> DataFrame:
+    """Counted profit per delivery month, with its month-over-month change; empty months as in ``weekly_change``."""
+    periods = _profit(enriched, month_of(F.col("delivery_ts")), "1 MONTH" if every_period else None, keys)
+    return with_change(periods, keys)
 
-def rolling_profit(enriched: DataFrame, width: int = 4, keys: tuple[str, ...] = ("lane",)) -> DataFrame:
-    """Counted profit per lane and delivery month, with its rolling mean."""
-    return with_rolling_average(_profit(enriched, month_of(F.col("delivery_ts")), keys), width, keys)
+
+def rolling_profit(
+    enriched: DataFrame, width: int = 4, keys: tuple[str, ...] = ("lane",), every_period: bool = True
+) -> DataFrame:
+    """Counted profit per lane and delivery month, with its rolling mean; empty months as in ``weekly_change``."""
+    periods = _profit(enriched, month_of(F.col("delivery_ts")), "1 MONTH" if every_period else None, keys)
+    return with_rolling_average(periods, width, keys)

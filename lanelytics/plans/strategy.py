@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanelytics.functions.labels import CITY_ARROW, lane_label
 from lanelytics.functions.money import header_amount, is_crossdock, or_zero, sum_where
+from lanelytics.functions.times import present
+from lanelytics.operators.groups import lookup_join, semi_join
 from lanelytics.operators.order_stats import ftl_structure, multidrop_orders
 from lanelytics.operators.predicates import MARKETS, keys_present, same_market, standard_population
-from lanelytics.operators.groups import lookup_join, semi_join
 
 LTL = "Less Than Truckload"
 FTL = "Full Truckload"
@@ -282,7 +283,8 @@ def structure_counts(legs: DataFrame) -> DataFrame:
 def strategy_match(orders: DataFrame, headers: DataFrame, tolerance: float = 20.0) -> DataFrame:
     """How often smart amounts are within a tolerance of the order headers.
 
-    One row per measure and rule; orders without a header amount are left out.
+    One row per measure and rule; orders without a header amount are left out,
+    and counted by ``header_coverage``.
     """
     joined = orders.join(
         headers.select(
@@ -320,6 +322,32 @@ def strategy_match(orders: DataFrame, headers: DataFrame, tolerance: float = 20.
     )
 
 
+def header_coverage(orders: DataFrame, headers: DataFrame) -> DataFrame:
+    """What becomes of the orders that are compared with their headers, per measure.
+
+    Orders without a header, with a header that holds no amount, and with one
+    whose text cannot be read are not compared; the rest are, in
+    ``strategy_match`` by rule and in ``reconcile`` by sum.
+    """
+    amounts = {"revenue": "revenueAllocation", "cost": "costAllocation"}
+    known = headers.select(F.col("code").alias("orderCode"), F.lit(True).alias("has_header"), *amounts.values())
+    states = [
+        F.struct(
+            F.lit(measure).alias("measure"),
+            F.when(F.col("has_header").isNull(), "no_header")
+            .when(~F.coalesce(present(F.trim(column)), F.lit(False)), "missing")
+            .when(header_amount(F.col(column)).isNull(), "unreadable")
+            .otherwise("compared")
+            .alias("state"),
+        )
+        for measure, column in amounts.items()
+    ]
+    listed = orders.join(known, "orderCode", "left").select(F.explode(F.array(*states)).alias("s")).select("s.*")
+    states = ("no_header", "missing", "unreadable", "compared")
+    counts = [F.count(F.when(F.col("state") == state, 1)).alias(state) for state in states]
+    return listed.groupBy("measure").agg(F.count(F.lit(1)).alias("orders"), *counts).orderBy("measure")
+
+
 def reconcile(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Main-only, sub-only and all-row totals against the order headers.
 

@@ -1,5 +1,7 @@
 """What the physical plans must and must not contain."""
 
+import re
+
 import pytest
 
 from checks.registry import REPORTS, Tables
@@ -39,7 +41,18 @@ def test_no_plan_multiplies_rows_or_leaves_the_jvm(plan_of, name):
         assert operator not in plan, operator
     # sketches of percentiles, and the legs of a route in the test tables
     gathers = {"margin_summary", "margin_distribution", "legs_with_routes", "route_agreement", "legs_on_routes"}
-    assert ("ObjectHashAggregate" in plan) <= (name in gathers)
+    # the bounds and counts of at most 64 ranges
+    ranges = name.endswith("_in_order") or "_from_states" in name
+    sketches = name == "distinct_lanes_estimated"
+    assert ("ObjectHashAggregate" in plan) <= (name in gathers or ranges or sketches)
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
+def test_no_window_holds_all_rows(plan_of, name):
+    """But for those over the rows of periods, of which there is one per week or month."""
+    specifications = re.findall(r"windowspecdefinition\(([^,()]*)", plan_of(name))
+    alone = [s for s in specifications if re.search(r" (ASC|DESC) ", s)]
+    assert not alone or name in ("weekly_change", "monthly_change")
 
 
 def test_building_a_report_starts_no_job(spark, sf_dir):
@@ -57,12 +70,21 @@ def test_building_a_report_starts_no_job(spark, sf_dir):
 
 @pytest.mark.parametrize(
     ("name", "scans"),
-    [("keep_flags", 1), ("order_row_counts", 2), ("carrier_shipment_counts", 2), ("canceled_with_handling", 3)],
+    [("keep_flags", 1), ("order_row_counts", 2), ("carrier_shipment_counts", 2), ("canceled_with_handling", 3)]
+    + [("lane_carriers", 1), ("zip_carriers", 1), ("zip_diagnostics", 1), ("similar_mileage_tagged", 2)],
 )
 def test_legs_are_read_as_few_times_as_needed(plan_of, name, scans):
     assert plan_of(name).count("FileScan") <= scans
 
 
+def test_legs_are_counted_on_peers_only(plan_of):
+    """The lanes are found first and met by the legs before these are counted."""
+    plan = plan_of("similar_mileage_tagged")
+    counted = plan[: plan.rindex("warpId") + 1]
+    assert re.search(r"HashAggregate\(keys=\[[^\]]*warpId", counted) and "Join" in plan
+    assert plan.index("Join") > re.search(r"HashAggregate\(keys=\[[^\]]*warpId", plan).start()
+
+
 @pytest.mark.parametrize("name", ["lane_profit", "lane_diagnostics", "market_profit", "lane_customers"])
 def test_sorted_profit_reports_shuffle_three_times(plan_of, name):
     plan = plan_of(name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -49,10 +50,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; only one without, as in tests, gets a folder of its own."""
+    """The checkpoint folder that the session names; a session on one machine without one gets a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -62,11 +66,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as Parquet in the shared folder, read again."""
+def written_to(df: DataFrame, name: str) -> str:
+    """A new folder in the shared one that holds the frame as Parquet."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4()}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as Parquet in the shared folder, read again."""
+    return df.sparkSession.read.parquet(written_to(df, name))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``written_to`` made and nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 #: Columns that tell documents apart where ids may be null or repeated; no column of a table has such names.

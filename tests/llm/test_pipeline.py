@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 
 from lanelytics.llm import quality, simhash, toxicity
-from lanelytics.llm.common import table
+from lanelytics.llm.common import table, written
 from tests.llm.conftest import EDGE_ROWS, PROSE
 
 
@@ -20,7 +20,7 @@ def test_stages(spark, sf_dir):
     before = docs.count()
     labels = table(spark, sf_dir, "labels")
     for name, stage in corpus_pipeline.STAGES[:3]:
-        kept = corpus_pipeline.written(stage(spark, docs, sf_dir), name)
+        kept = written(stage(spark, docs, sf_dir), name)
         assert kept.columns == first.columns and 0 < kept.count() < before
         ids = {r[0] for r in kept.select("doc_id").collect()}
         if name == "toxicity":
@@ -42,7 +42,7 @@ def test_any_rows_pass_through(spark, make_docs, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:3]:
         kept = stage(spark, docs, sf_dir)
         assert kept.schema == docs.schema
-        docs = corpus_pipeline.written(kept, name)
+        docs = written(kept, name)
     assert docs.count() > 0
     corpus_pipeline.STAGES[3][1](spark, docs, sf_dir).collect()
     empty = make_docs()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lanelytics.llm import packing, quality, simhash, toxicity
-from lanelytics.llm.common import ship, table, written
+from lanelytics.llm.common import removed, ship, table, written_to
 from lanelytics.llm.queries import BYTE_JSON, BYTE_RANKS, PATTERN
 
 
@@ -44,7 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; the documents of a stage are removed once the next one has written its own."""
+    docs, folder = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, folder = folder, written_to(stage(spark, docs, sf_dir), name)
+        docs = spark.read.parquet(folder)
+        if before is not None:
+            removed(spark, before)
     return docs

@@ -1,6 +1,6 @@
 """SQL twins of the operators that SQL can express, for DuckDB over the test tables."""
 
-from lanelytics.llm import licenses, quality
+from lanelytics.llm import licenses
 
 NEAREST = """
 WITH v AS (
@@ -23,37 +23,69 @@ _LINES = r"list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l,
 
 def _half(histogram: str, by: str) -> str:
     """Least value of each group up to which half of the rows lie."""
-    return f"""SELECT grp, {by} min(value) AS half FROM (
-    SELECT *, sum(rows) OVER (PARTITION BY grp {', ' + by.rstrip(', ') if by else ''} ORDER BY value) AS running,
-      sum(rows) OVER (PARTITION BY grp {', ' + by.rstrip(', ') if by else ''}) AS total FROM ({histogram})
+    return f"""SELECT {by}, min(value) AS half FROM (
+    SELECT *, sum(rows) OVER (PARTITION BY {by} ORDER BY value) AS running, sum(rows) OVER (PARTITION BY {by}) AS total
+    FROM ({histogram})
   ) WHERE 2 * running >= total GROUP BY ALL"""
 
 
+#: Factors of a covariance c by square roots left out, each variance held at the square of its least deviation or above.
+_DECOMPOSED = """greatest(c11, 10000::DOUBLE) AS d1, c12 / d1 AS l21, c13 / d1 AS l31, c14 / d1 AS l41,
+    greatest(c22 - l21 * l21 * d1, 1600::DOUBLE) AS d2, (c23 - l31 * l21 * d1) / d2 AS l32, (c24 - l41 * l21 * d1) / d2 AS l42,
+    greatest(c33 - l31 * l31 * d1 - l32 * l32 * d2, 16900::DOUBLE) AS d3,
+    (c34 - l41 * l31 * d1 - l42 * l32 * d2) / d3 AS l43,
+    greatest(c44 - l41 * l41 * d1 - l42 * l42 * d2 - l43 * l43 * d3, 16900::DOUBLE) AS d4"""
+_SQUARE = """z1 - m1 AS y1, z2 - m2 - l21 * y1 AS y2, z3 - m3 - l31 * y1 - l32 * y2 AS y3,
+    z4 - m4 - l41 * y1 - l42 * y2 - l43 * y3 AS y4, y1 * y1 / d1 + y2 * y2 / d2 + y3 * y3 / d3 + y4 * y4 / d4 AS square"""
+
+
+def _moments(source: str, by: str, scale: str) -> str:
+    """Means and scaled covariances of z1 to z4 and their factors, for each group of the source."""
+    pairs = [(i, j) for i in range(1, 5) for j in range(i, 5)]
+    sums = ", ".join(f"CAST(sum(z{i}) AS DOUBLE) AS s{i}" for i in range(1, 5))
+    products = ", ".join(f"CAST(sum(z{i} * z{j}) AS DOUBLE) AS s{i}{j}" for i, j in pairs)
+    means = ", ".join(f"s{i} / n AS m{i}" for i in range(1, 5))
+    terms = ", ".join(f"{scale}::DOUBLE * (s{i}{j} / n - m{i} * m{j}) AS c{i}{j}" for i, j in pairs)
+    return f"SELECT *, {means}, {terms}, {_DECOMPOSED} FROM (SELECT {by}, count(*) AS n, {sums}, {products} FROM {source} GROUP BY ALL)"
+
+
 def _quality() -> str:
-    names = quality.NAMES
-    chain = lambda source, terms: source if not terms else chain(
-        f"(SELECT *, {terms[0][1].replace('2.109D', '2.109::DOUBLE')} AS {terms[0][0]} FROM {source})", terms[1:]
+    kept = "grp, start, m1, m2, m3, m4, d1, d2, d3, d4, l21, l31, l41, l32, l42, l43"
+    zeros = "0::DOUBLE AS c12, 0::DOUBLE AS c13, 0::DOUBLE AS c14, 0::DOUBLE AS c23, 0::DOUBLE AS c24, 0::DOUBLE AS c34"
+    least = "10000::DOUBLE AS c11, 1600::DOUBLE AS c22, 16900::DOUBLE AS c33, 16900::DOUBLE AS c44"
+    robust = ", ".join(f"pow(1.4826::DOUBLE * s{i}, 2) AS c{i}{i}" for i in range(1, 5))
+    middles = lambda values, prefix: (
+        "SELECT grp, " + ", ".join(f"max(half) FILTER (place = {i}) AS {prefix}{i}" for i in range(1, 5))
+        + " FROM ("
+        + _half(f"SELECT grp, place, value, count(*) AS rows FROM ({values}) GROUP BY ALL", "grp, place")
+        + ") GROUP BY grp"
     )
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    sums = ", ".join(f"CAST(sum({a} * {b}) AS DOUBLE) AS s{a[1]}{b[1]}" for a, b in pairs)
-    floors = ", ".join(f"{float(quality.STATISTICS[a][1] ** 2 if a == b else 0)}::DOUBLE AS c{a[1]}{b[1]}" for a, b in pairs)
-    steps = ["p0 AS (SELECT * FROM " + chain(f"(SELECT *, {floors} FROM med)", list(quality.FACTORS)) + ")"]
-    for i in range(quality.STEPS + 1):
-        distances = chain(f"(SELECT vec.*, p{i}.* EXCLUDE (grp) FROM vec JOIN p{i} USING (grp))", list(quality.SUBSTITUTION))
-        steps.append(f"d{i} AS (SELECT *, least(CAST(floor(100 * sqrt(square)) AS BIGINT), {quality.FARTHEST}) AS value FROM {distances})")
-        if i < quality.STEPS:
-            steps.append(f"h{i} AS ({_half(f'SELECT grp, value, count(*) AS rows FROM d{i} GROUP BY ALL', '')})")
-            steps.append(
-                f"s{i} AS (SELECT grp, count(*) AS n, {', '.join(f'CAST(sum({z}) AS DOUBLE) AS s{z[1]}' for z in names)}, {sums} "
-                f"FROM d{i} JOIN h{i} USING (grp) WHERE value <= half GROUP BY grp)"
-            )
-            means = ", ".join(f"s{z[1]} / n AS m{z[1]}" for z in names)
-            steps.append(f"p{i + 1} AS (SELECT * FROM " + chain(f"(SELECT *, {means} FROM s{i})", quality.covariances()) + ")")
-    vectors = ", ".join(f"CAST({z} AS BIGINT) AS {name}" for name, (z, _) in quality.STATISTICS.items())
     values = " UNION ALL ".join(f"SELECT grp, {i} AS place, z{i} AS value FROM vec" for i in range(1, 5))
-    places = ", ".join(f"max(half) FILTER (place = {i}) AS m{i}" for i in range(1, 5))
+    apart = " UNION ALL ".join(f"SELECT grp, {i} AS place, abs(z{i} - m{i}) AS value FROM vec JOIN med USING (grp)" for i in range(1, 5))
+    steps = [
+        f"med AS MATERIALIZED ({middles(values, 'm')})",
+        f"mad AS MATERIALIZED ({middles(apart, 's')})",
+        f"""p0 AS MATERIALIZED (
+  SELECT {kept} FROM (SELECT *, 1 AS start, {least}, {zeros}, {_DECOMPOSED} FROM med)
+  UNION ALL SELECT {kept} FROM (SELECT *, 2 AS start, {robust}, {zeros}, {_DECOMPOSED} FROM med JOIN mad USING (grp))
+  UNION ALL SELECT {kept} FROM (SELECT *, 3 AS start FROM ({_moments("vec", "grp", "1")})))""",
+    ]
+    for i in range(8):  # more steps than any group of the tables takes until its half stays the same
+        steps += [
+            f"d{i} AS MATERIALIZED (SELECT *, least(CAST(floor(100 * sqrt(square)) AS BIGINT), 5000) AS value FROM ("
+            f"SELECT vec.*, p.* EXCLUDE (grp), {_SQUARE} FROM vec JOIN p{i} p USING (grp)))",
+            f"h{i} AS MATERIALIZED ({_half(f'SELECT grp, start, value, count(*) AS rows FROM d{i} GROUP BY ALL', 'grp, start')})",
+            f"n{i} AS (SELECT grp, start, z1, z2, z3, z4 FROM d{i} JOIN h{i} USING (grp, start) WHERE value <= half)",
+            f"p{i + 1} AS MATERIALIZED (SELECT {kept} FROM ({_moments(f'n{i}', 'grp, start', '2.109')}))",
+        ]
+    steps.append(
+        "best AS (SELECT * FROM p8 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY d1 * d2 * d3 * d4, start) = 1)"
+    )
+    vectors = """CAST(round(1000 * ln(word_chars / n_words)) AS BIGINT) AS z1,
+    CAST(round(1000 * sqrt(n_symbols / word_chars)) AS BIGINT) AS z2,
+    CAST(round(1000 * sqrt(n_dup_lines / n_lines)) AS BIGINT) AS z3,
+    CAST(round(1000 * sqrt(n_repeat_words / n_words)) AS BIGINT) AS z4"""
     counts = "n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"
-    halves = _half(f"SELECT grp, place, value, count(*) AS rows FROM ({values}) GROUP BY ALL", "place, ")
     return f"""
 WITH raw AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, {_WORDS} AS words, {_LINES} AS lines FROM raw),
@@ -70,16 +102,16 @@ base AS (
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM w LEFT JOIN rep USING (r)
 ),
-judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
-vec AS (
+judged AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+vec AS MATERIALIZED (
   SELECT doc_id, {counts}, {vectors},
-    CASE WHEN count(*) OVER (PARTITION BY lang, source) < {quality.SMALL} THEN {{'l': lang, 's': '', 'pool': true}}
+    CASE WHEN count(*) OVER (PARTITION BY lang, source) < 30 THEN {{'l': lang, 's': '', 'pool': true}}
       ELSE {{'l': lang, 's': source, 'pool': false}} END AS grp
   FROM judged WHERE NOT base_failed
 ),
-med AS (SELECT grp, {places} FROM ({halves}) GROUP BY grp),
 {", ".join(steps)}
-SELECT doc_id, {counts}, FALSE AS base_failed, square <= {quality.CUTOFF} AS kept FROM d{quality.STEPS}
+SELECT doc_id, {counts}, FALSE AS base_failed, square <= 28.47::DOUBLE AS kept FROM (
+  SELECT vec.*, {_SQUARE} FROM vec JOIN best USING (grp))
 UNION ALL SELECT doc_id, {counts}, TRUE, FALSE FROM judged WHERE base_failed
 """
 

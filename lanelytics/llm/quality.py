@@ -1,17 +1,24 @@
 """Quality rules: base rules, then robust multivariate outliers, with DataFrame functions only.
 
 Documents that pass the base rules give a vector of transformed statistics on
-an integer grid.  For each language and source, a minimum-covariance-
-determinant estimate is found by concentration steps: from the documents
-nearest to the medians on, mean and covariance of the nearer half give new
-distances, and these a new half.  A document whose squared Mahalanobis
-distance by the last estimate exceeds ``CUTOFF`` is rejected.
+an integer grid.  For each language and source, the minimum-covariance-
+determinant estimate is searched by concentration steps from three starts:
+medians with the least deviations, medians with median absolute deviations,
+and mean and covariance of all.  A step takes the half of the documents that
+is nearest by the last estimate and estimates from it anew, until no group's
+estimate changes or ``STEPS`` are done; of the three results the one with the
+smallest determinant stays.  A document whose squared Mahalanobis distance by
+it exceeds ``CUTOFF`` is rejected.  No statistic's variance, given those before
+it, is taken to be below the square of its least deviation, so that a source
+in which nothing varies does not reject the first document that does.
 
 Everything that a step needs of a group is a histogram or a sum of products of
 integers, so it is aggregated before it is shuffled, does not depend on the
 order of rows, and stays small however many rows a source has: distances are
-counted in hundredths, up to ``FARTHEST``.  Groups of under ``SMALL`` documents
-are pooled by language.
+counted in hundredths, up to ``FARTHEST``.  Estimates are broadcast up to
+``BROADCAST`` of them and joined by group beyond.  Groups of under ``SMALL``
+documents are pooled by language, a parameter with effect: a source is judged
+with its language until it has that many, and by itself from then on.
 
 Null texts have no words and fail the base rules.  Null languages and sources
 are groups like others.  Rows are judged one by one, repeated or null ids too;
@@ -88,34 +95,39 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Transformed statistics and the standard deviation that none falls below.
+#: Transformed statistics and the least deviation of each.
 STATISTICS = {
     "z1": ("round(1000 * ln(word_chars / n_words))", 100),
     "z2": ("round(1000 * sqrt(n_symbols / word_chars))", 40),
-    "z3": ("round(1000 * sqrt(n_dup_lines / n_lines))", 200),
-    "z4": ("round(1000 * sqrt(n_repeat_words / n_words))", 200),
+    "z3": ("round(1000 * sqrt(n_dup_lines / n_lines))", 130),
+    "z4": ("round(1000 * sqrt(n_repeat_words / n_words))", 130),
 }
 NAMES = tuple(STATISTICS)
 #: Squared distance that one in 100,000 normal vectors of four components exceeds.
 CUTOFF = 28.47
 #: Covariance of normal vectors over that of their nearer half: 0.5 / P(chi2 of 6 <= median of chi2 of 4).
 CONSISTENCY = 2.109
-STEPS, SMALL, FARTHEST = 2, 30, 5000
+#: A median absolute deviation of normal values times this is their standard deviation.
+MAD_SCALE = 1.4826
+STEPS, SMALL, FARTHEST, BROADCAST = 8, 30, 5000, 20_000
 
 _PAIRS = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[i:]]
+_LEAST = {name: float(deviation**2) for name, (_, deviation) in STATISTICS.items()}
+MEANS, COVARIANCES = tuple(f"m{n[1]}" for n in NAMES), tuple(f"c{a[1]}{b[1]}" for a, b in _PAIRS)
 #: Rows of the factors L and D of the covariance, in an order in which each needs only those before it.
 FACTORS = (
-    ("d1", "c11"),
+    ("d1", f"greatest(c11, {_LEAST['z1']}D)"),
     ("l21", "c12 / d1"),
     ("l31", "c13 / d1"),
     ("l41", "c14 / d1"),
-    ("d2", "c22 - l21 * l21 * d1"),
+    ("d2", f"greatest(c22 - l21 * l21 * d1, {_LEAST['z2']}D)"),
     ("l32", "(c23 - l31 * l21 * d1) / d2"),
     ("l42", "(c24 - l41 * l21 * d1) / d2"),
-    ("d3", "c33 - l31 * l31 * d1 - l32 * l32 * d2"),
+    ("d3", f"greatest(c33 - l31 * l31 * d1 - l32 * l32 * d2, {_LEAST['z3']}D)"),
     ("l43", "(c34 - l41 * l31 * d1 - l42 * l32 * d2) / d3"),
-    ("d4", "c44 - l41 * l41 * d1 - l42 * l42 * d2 - l43 * l43 * d3"),
+    ("d4", f"greatest(c44 - l41 * l41 * d1 - l42 * l42 * d2 - l43 * l43 * d3, {_LEAST['z4']}D)"),
 )
+PARAMETERS = (*MEANS, *(name for name, _ in FACTORS))
 #: Forward substitution of a vector and its squared distance.
 SUBSTITUTION = (
     ("y1", "z1 - m1"),
@@ -132,6 +144,14 @@ def _in_turn(df: DataFrame, expressions: tuple[tuple[str, str], ...]) -> DataFra
     return df
 
 
+def _few(frame: DataFrame) -> bool:
+    return frame.count() <= BROADCAST
+
+
+def _sent(frame: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(frame) if few else frame
+
+
 def _first_half(histogram: DataFrame, value: str, *by: str) -> DataFrame:
     """The least value of each group up to which at least half of its rows lie."""
     running = F.sum("rows").over(W.partitionBy("grp", *by).orderBy(value))
@@ -140,48 +160,67 @@ def _first_half(histogram: DataFrame, value: str, *by: str) -> DataFrame:
     return reached.groupBy("grp", *by).agg(F.min(value).alias("half"))
 
 
-def _medians(vectors: DataFrame) -> DataFrame:
-    """(grp, m1 .. m4): lower medians."""
-    values = F.posexplode(F.array(*NAMES)).alias("place", "value")
-    histogram = vectors.select("grp", values).groupBy("grp", "place", "value").agg(F.count("*").alias("rows"))
+def _middles(vectors: DataFrame, values: list[Column], prefix: str) -> DataFrame:
+    """(grp, and a column for each of four values): lower medians."""
+    placed = vectors.select("grp", F.posexplode(F.array(*values)).alias("place", "value"))
+    histogram = placed.groupBy("grp", "place", "value").agg(F.count("*").alias("rows"))
     halves = _first_half(histogram, "value", "place")
-    by_place = [F.max(F.when(F.col("place") == i, F.col("half"))).alias(f"m{i + 1}") for i in range(len(NAMES))]
+    by_place = [F.max(F.when(F.col("place") == i, F.col("half"))).alias(f"{prefix}{i + 1}") for i in range(len(NAMES))]
     return halves.groupBy("grp").agg(*by_place)
 
 
-def _start(medians: DataFrame) -> DataFrame:
-    """Parameters of the first distances: medians and the least standard deviations."""
-    covariance = {f"c{a[1]}{b[1]}": F.lit(float(STATISTICS[a][1] ** 2 if a == b else 0)) for a, b in _PAIRS}
-    return _in_turn(medians.withColumns(covariance), FACTORS)
-
-
-def _distances(vectors: DataFrame, parameters: DataFrame) -> DataFrame:
-    return _in_turn(vectors.join(parameters, "grp"), SUBSTITUTION).withColumn(
-        "away", F.least(F.floor(100 * F.sqrt("square")), F.lit(FARTHEST))
-    )
-
-
-def _estimate(distances: DataFrame) -> DataFrame:
-    """Parameters from the nearer half of each group; rows as far as its last one count too."""
-    histogram = distances.groupBy("grp", "away").agg(F.count("*").alias("rows"))
-    half = _first_half(histogram, "away")
-    near = distances.select("grp", "away", *NAMES).join(half, "grp").filter("away <= half")
-    sums = near.groupBy("grp").agg(
+def _moments(rows: DataFrame, by: list[str], scale: float) -> DataFrame:
+    """Means and covariances, times a scale, of the rows of each group."""
+    sums = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
         *[F.sum(name).alias(f"s{name[1]}") for name in NAMES],
         *[F.sum(F.col(a) * F.col(b)).alias(f"s{a[1]}{b[1]}") for a, b in _PAIRS],
     )
     means = sums.withColumns({f"m{name[1]}": F.expr(f"s{name[1]} / n") for name in NAMES})
-    return _in_turn(means, tuple(covariances())).select("grp", *[f"m{n[1]}" for n in NAMES], *[f for f, _ in FACTORS])
+    terms = {f"c{a[1]}{b[1]}": F.expr(f"{scale}D * (s{a[1]}{b[1]} / n - m{a[1]} * m{b[1]})") for a, b in _PAIRS}
+    return means.withColumns(terms)
+
 
+def _starts(vectors: DataFrame) -> DataFrame:
+    """(grp, start, parameters): where the concentration steps begin."""
+    medians = stored(_middles(vectors, [F.col(name) for name in NAMES], "m"))
+    away = vectors.join(_sent(medians, _few(medians)), "grp")
+    deviations = _middles(away, [F.abs(F.col(n) - F.col(f"m{n[1]}")) for n in NAMES], "s")
 
-def covariances() -> list[tuple[str, str]]:
-    """Names and terms of the covariance, scaled up and held away from 0, and its factors."""
-    terms = []
-    for a, b in _PAIRS:
-        floor = f" + {STATISTICS[a][1] ** 2}" if a == b else ""
-        terms.append((f"c{a[1]}{b[1]}", f"{CONSISTENCY}D * (s{a[1]}{b[1]} / n - m{a[1]} * m{b[1]}){floor}"))
-    return terms + list(FACTORS)
+    def start(number: int, frame: DataFrame, variances: dict[str, Column] | None = None) -> DataFrame:
+        if variances is not None:
+            frame = frame.withColumns({f"c{a[1]}{b[1]}": variances[a] if a == b else F.lit(0.0) for a, b in _PAIRS})
+        return _in_turn(frame, FACTORS).select("grp", F.lit(number).alias("start"), *[F.col(p).cast("double").alias(p) for p in PARAMETERS])
+
+    robust = {n: F.pow(MAD_SCALE * F.col(f"s{n[1]}"), F.lit(2)) for n in NAMES}
+    least = start(1, medians, {n: F.lit(value) for n, value in _LEAST.items()})
+    return least.unionByName(start(2, medians.join(deviations, "grp"), robust)).unionByName(start(3, _moments(vectors, ["grp"], 1.0)))
+
+
+def _distances(vectors: DataFrame, parameters: DataFrame, few: bool) -> DataFrame:
+    return _in_turn(vectors.join(_sent(parameters, few), "grp"), SUBSTITUTION)
+
+
+def _concentrated(vectors: DataFrame, parameters: DataFrame, few: bool) -> DataFrame:
+    """Parameters from the nearer half of each group and start; rows as far as its last one count too."""
+    away = F.least(F.floor(100 * F.sqrt("square")), F.lit(FARTHEST)).alias("away")
+    distances = _distances(vectors, parameters, few).select("grp", "start", *NAMES, away)
+    half = _first_half(distances.groupBy("grp", "start", "away").agg(F.count("*").alias("rows")), "away", "start")
+    near = distances.join(_sent(half, few), ["grp", "start"]).filter("away <= half")
+    return _in_turn(_moments(near, ["grp", "start"], CONSISTENCY), FACTORS).select("grp", "start", *PARAMETERS)
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """(grp, parameters): of the results of all starts the one with the smallest determinant, the first if several."""
+    parameters = stored(_starts(vectors))
+    few = _few(parameters)
+    for _ in range(STEPS):
+        last, parameters = parameters, stored(_concentrated(vectors, parameters, few))
+        if parameters.join(last, parameters.columns, "left_anti").isEmpty():
+            break
+    found = parameters.withColumn("determinant", F.expr("d1 * d2 * d3 * d4"))
+    best = found.groupBy("grp").agg(F.min(F.struct("determinant", "start", *PARAMETERS)).alias("best"))
+    return stored(best.select("grp", *[f"best.{p}" for p in PARAMETERS]))
 
 
 def judge(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -201,17 +240,15 @@ def judge(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         )
     )
     passed = counted.filter(~F.col("base_failed"))
-    sizes = passed.groupBy("grp").agg(F.count("*").alias("rows"))
-    grouped = passed.join(sizes, "grp").withColumn("grp", F.when(F.col("rows") < SMALL, F.col("pool")).otherwise(F.col("grp")))
+    sizes = stored(passed.groupBy("grp").agg(F.count("*").alias("rows")))
+    grouped = passed.join(_sent(sizes, _few(sizes)), "grp").withColumn("grp", F.when(F.col("rows") < SMALL, F.col("pool")).otherwise(F.col("grp")))
     vectors = stored(
         grouped.select(
             *carried, *COUNTS, "grp", *[F.expr(f"cast({z} as long)").alias(name) for name, (z, _) in STATISTICS.items()]
         )
     )
-    parameters = _start(_medians(vectors))
-    for _ in range(STEPS):
-        parameters = stored(_estimate(_distances(vectors, parameters)))
-    judged = _distances(vectors, parameters).select(*carried, *COUNTS, F.lit(False).alias("base_failed"), (F.col("square") <= CUTOFF).alias("kept"))
+    best = estimates(vectors)
+    judged = _distances(vectors, best, _few(best)).select(*carried, *COUNTS, F.lit(False).alias("base_failed"), (F.col("square") <= CUTOFF).alias("kept"))
     failed = counted.filter("base_failed").select(*carried, *COUNTS, "base_failed", F.lit(False).alias("kept"))
     return judged.unionByName(failed)
 

@@ -68,6 +68,77 @@ def test_outliers_of_a_source_are_rejected(make_docs):
     assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.collect()) == list(range(60))
 
 
+def slow_estimate(vectors):
+    """Mean and factors of the smallest determinant over three starts, with numpy on one group."""
+    import numpy as np
+
+    least, x = np.array([100.0, 40.0, 130.0, 130.0]), np.array(vectors, float)
+
+    def factors(c):
+        lower, d = np.eye(4), np.zeros(4)
+        for j in range(4):
+            d[j] = max(c[j, j] - (lower[j, :j] ** 2 * d[:j]).sum(), least[j] ** 2)
+            for i in range(j + 1, 4):
+                lower[i, j] = (c[i, j] - (lower[i, :j] * lower[j, :j] * d[:j]).sum()) / d[j]
+        return lower, d
+
+    def squares(mean, lower, d):
+        return (np.linalg.solve(lower, (x - mean).T).T ** 2 / d).sum(1)
+
+    middle = lambda values: np.sort(values, axis=0)[(len(values) - 1) // 2]
+    medians, found = middle(x), []
+    mad = 1.4826 * middle(abs(x - medians))
+    for mean, c in ((medians, np.diag(least**2)), (medians, np.diag(mad**2)), (x.mean(0), np.cov(x.T, bias=True))):
+        fit = mean, *factors(c)
+        for _ in range(20):
+            away = np.minimum(np.floor(100 * np.sqrt(squares(*fit))), 5000)
+            near = x[away <= middle(away)]
+            fit = near.mean(0), *factors(2.109 * np.cov(near.T, bias=True))
+        found.append((fit[2].prod(), fit))
+    return squares(*min(found, key=lambda f: f[0])[1])
+
+
+def test_estimates_equal_a_plain_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for grp, size in (("a", 150), ("b", 41), ("c", 64), ("flat", 40)):
+        x = rng.multivariate_normal([1500, 100, 0, 50], np.outer([90, 60, 200, 80], [90, 60, 200, 80]) * (np.eye(4) * 0.6 + 0.4), size)
+        x[: size // 3] += [600, 300, 500, 0]  # a third of the rows are outliers of one kind
+        rows += [(grp, *map(int, np.abs(v if grp != "flat" else v * 0 + 7).round())) for v in x]
+    vectors = spark.createDataFrame(rows, "grp string, z1 long, z2 long, z3 long, z4 long").cache()
+    got = quality._distances(vectors, quality.estimates(vectors), True).select("grp", *quality.NAMES, "square").collect()
+    for grp in ("a", "b", "c", "flat"):
+        of_group = sorted(r[1:] for r in rows if r[0] == grp)
+        wanted = slow_estimate(of_group)
+        assert np.allclose([r[5] for r in sorted(r for r in got if r[0] == grp)], wanted, rtol=1e-6, atol=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["length", "symbols", "lines", "repeats"])
+def test_each_statistic_alone_rejects(make_docs, kind):
+    """Clean documents of a source with some outliers of one statistic."""
+    word = lambda n, k: f"{'abcdefghij'[(n * 7 + k) % 10]}{'ab' * (1 + (n + k) % 3)}{k % 17}x{(n * 31 + k * k) % 991}"
+    lines = lambda n: [" ".join(word(n, 8 * k + j) for j in range(8)) for k in range(80)]
+    clean = [(n, "\n".join(lines(n)), "en", "s") for n in range(200)]
+
+    def spoiled(n):
+        own = lines(n)
+        if kind == "length":
+            return "\n".join(" ".join(w + "ness" * 8 for w in line.split()) for line in own)
+        if kind == "symbols":
+            return "\n".join(" ".join(w + "#" for w in line.split()) for line in own)
+        if kind == "lines":
+            return "\n".join(own[k] if k < 41 else f"{own[0][:6]}" for k in range(80))
+        half = " ".join(own[:40]).split()
+        return " ".join(half[k] if k < 162 else half[k % 3] if k < 318 else half[k] for k in range(320))
+
+    docs = make_docs(*clean, *[(1000 + n, spoiled(n), "en", "s") for n in range(5)])
+    verdicts = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.quality_rules(docs).collect()}
+    assert all(verdicts[n] == (False, True) for n in range(200))
+    assert all(verdicts[1000 + n] == (False, False) for n in range(5))
+
+
 def test_no_rows(make_docs):
     assert quality.quality_rules(make_docs()).count() == 0
     assert licenses.scan(licenses.document_paths(make_docs())).count() == 0

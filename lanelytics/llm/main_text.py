@@ -16,7 +16,8 @@ Beside an ``article`` or ``main`` stays what has at least ``RUN`` words of
 which none repeats and is no list of links, if the host has pages enough to
 tell.  Elements that are no article by their kind or name (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, reader comments) go even
-where they are unique.
+where they are unique; within an article a name counts only if it says nothing
+else (``share-bar``, but not ``share-price``).
 
 Hosts with many or long pages are cut at random into shards of bounded size,
 each with an array of its own.  What repeats across the shards of a host is
@@ -71,6 +72,11 @@ NAMES = frozenset(
     "notices pager pagination popup promo promotion promotions recommended related replies respond search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Words that a name of such a part may hold besides; within an article no other word may.
+NEUTRAL = frozenset(
+    "area areas bar bars block blocks body box boxes button buttons card cards container content count counts entry feed form group holder icon icons inner inline item items label left link "
+    "links list module panel post posts right row section slot text thread title top bottom unit wrap wrapper".split()
+)
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 #: Elements that a name cannot put outside.
 NEVER = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
@@ -93,10 +99,14 @@ def _outside(tag: str, attributes: str, in_article: bool) -> bool:
     if not attributes or tag in NEVER:
         return False
     for name, value in NAMED.findall(attributes):
-        words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
         name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and "true" in words or words & (ROLES if name == "role" else NAMES):
-            return True
+        for part in value.strip("\"' ").split() or [""]:
+            words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", part).lower()))
+            if name == "hidden" or name == "aria-hidden" and "true" in words or name == "role" and words & ROLES:
+                return True
+            # share-price or notice-of-award name what an article tells of
+            if name in ("class", "id") and words & NAMES and (not in_article or words <= NAMES | NEUTRAL):
+                return True
     return False
 
 

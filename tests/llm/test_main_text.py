@@ -142,3 +142,16 @@ def test_a_text_does_not_depend_on_the_size_of_its_host(spark, monkeypatch):
     assert texts[1] == [part(1, "a", 12), part(1, "b", 12), part(1, "c", 12), "Two"] and texts[39][2] == "Once 39"
     monkeypatch.setattr(main_text, "PAGES", 2)
     assert sorted(map(tuple, main_text.main_text(frame).collect())) == whole
+
+
+def test_names_within_an_article():
+    """A name drops a part of an article only if all it says is what no article holds."""
+    page = (
+        '<article><p>Start of it.</p><div class="share-price">Shares rose.</div><div id="search-results-study">A study.</div>'
+        '<div class="notice-of-award">Awarded to them.</div><div class="share-bar">Share this</div><div class="adBox">Buy it</div>'
+        '<div class="post comment-list">Reader says</div><div class=related>More</div><p class="lead text">End of it.</p></article>'
+        '<div class="share-price">Outside</div>'
+    )
+    texts = [text for zone, text in main_text.blocks(page) if zone == main_text.ARTICLE]
+    assert texts == ["Start of it.", "Shares rose.", "A study.", "Awarded to them.", "End of it."]
+    assert (main_text.DROPPED, "Outside") in main_text.blocks(page)

@@ -74,8 +74,9 @@ NAMES = frozenset(
 )
 #: Words that a name of such a part may hold besides; within an article no other word may.
 NEUTRAL = frozenset(
-    "area areas bar bars block blocks body box boxes button buttons card cards container content count counts entry feed form group holder icon icons inner inline item items label left link "
-    "links list module panel post posts right row section slot text thread title top bottom unit wrap wrapper".split()
+    "area areas bar bars block blocks body box boxes button buttons card cards container content count counts "
+    "entry feed form group holder icon icons inner inline item items label left link links list module panel post "
+    "posts right row section slot text thread title top bottom unit wrap wrapper".split()
 )
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 #: Elements that a name cannot put outside.

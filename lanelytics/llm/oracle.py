@@ -117,45 +117,73 @@ UNION ALL SELECT doc_id, {counts}, TRUE, FALSE FROM judged WHERE base_failed
 
 
 def _licenses() -> str:
-    values = ", ".join(f"('{name}', '{text}')" for name, text in sorted(licenses.TEMPLATES.items()))
-    statement = licenses.STATEMENT.replace("(?i)", "")
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    notices = ", ".join(f"({quoted(name)}, {n}, {quoted(text)})" for name, n, text in licenses.wordings())
+    ends = ", ".join(f"({n}, '{end}')" for n, end in enumerate(licenses.TAG_ENDS))
+    like = lambda text, pattern: f"regexp_matches({text}, '{pattern.replace('(?i)', '')}', 'i')"
+    states = lambda text: like(text, licenses.STATEMENT)
     words = lambda text: f"len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> ''))"
+    passage = lambda text: f"array_to_string(regexp_extract_all(lower({text}), '{licenses.TERM}'), ' ')"
     return f"""
 WITH files AS (
   SELECT doc_id, text, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), coalesce(CAST(doc_id // 1000 AS VARCHAR), ''),
     CAST(doc_id AS VARCHAR)) AS path
   FROM documents
+), placed AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS directory FROM files),
+base AS (
+  SELECT path, text, {words("text")} AS of_words, string_split(text, chr(10)) AS lines,
+    {like("path", licenses.CODE)} AS code, {like("path", licenses.NAMED)} AS named FROM files WHERE {states("text")}
+), blocks AS (
+  SELECT *, list_concat(
+      string_split(array_to_string(list_transform(lines, lambda l: CASE WHEN regexp_matches(l, '{licenses.COMMENT}') THEN l ELSE chr(2) END), chr(10)), chr(2)),
+      list_transform(list_filter(string_split(text, '/*')[2:], lambda p: contains(p, '*/')), lambda p: split_part(p, '*/', 1))) AS comments,
+    CASE WHEN (named OR {like("text", licenses.WORDING)}) AND NOT code THEN [text] ELSE [] END AS whole FROM base
 ), stated AS (
-  SELECT path, n_words, trim(l) AS line FROM (
-    SELECT path, {words("text")} AS n_words, unnest(string_split(text, chr(10))) AS l FROM files
-  ) WHERE regexp_matches(l, '{statement}', 'i')
-), lines AS (SELECT DISTINCT line FROM stated), templates(license, line) AS (VALUES {values}),
-lt AS (SELECT line, t AS term, count(*) AS times FROM (
-  SELECT line, unnest(regexp_extract_all(lower(line), '{licenses.TERM}')) AS t FROM lines) GROUP BY ALL),
-tt AS (SELECT license, t AS term, count(*) AS times FROM (
-  SELECT license, unnest(regexp_extract_all(lower(line), '{licenses.TERM}')) AS t FROM templates) GROUP BY ALL),
+  SELECT path, named, code, of_words, 'line' AS kind, l AS t, NULL AS tag,
+    CASE WHEN regexp_matches(l, '{licenses.COMMENT}') THEN 0 ELSE {words("l")} END AS n_words
+  FROM (SELECT *, unnest(lines) AS l FROM base) WHERE {states("l")} AND NOT contains(lower(l), 'spdx-license-identifier')
+  UNION ALL
+  SELECT path, named, code, of_words, 'part', t, NULL, 0 FROM (SELECT *, unnest(comments) AS t FROM blocks) WHERE {states("t")}
+  UNION ALL
+  SELECT path, named, code, of_words, 'part', t, NULL, 0
+  FROM (SELECT *, unnest(regexp_split_to_array(b, '{licenses.BETWEEN}')) AS t
+    FROM (SELECT *, unnest(list_concat(comments, whole)) AS b FROM blocks) WHERE {states("b")}) WHERE {states("t")}
+  UNION ALL
+  SELECT path, named, code, of_words, 'whole', unnest(whole), NULL, 0 FROM blocks
+  UNION ALL
+  SELECT path, named, code, of_words, 'tag', NULL, unnest(regexp_extract_all(lower(text), '{licenses.TAG}', 1)), 0 FROM base
+), units AS (SELECT *, coalesce('spdx:' || tag, {passage("t")}) AS line FROM stated WHERE line <> ''),
+lines AS (SELECT DISTINCT line FROM units),
+notices(license, number, t) AS (VALUES {notices}), ends(number, e) AS (VALUES {ends}),
+templates AS (
+  SELECT license, number, {passage("t")} AS line FROM notices
+  UNION ALL SELECT license, -1 - number, 'spdx:' || lower(license) || e FROM (SELECT DISTINCT license FROM notices) CROSS JOIN ends
+),
+lt AS (SELECT line, t AS term, 1 + ln(count(*)) AS times FROM (SELECT line, unnest(string_split(line, ' ')) AS t FROM lines) GROUP BY ALL),
+tt AS (SELECT license, number, t AS term, 1 + ln(count(*)) AS times
+  FROM (SELECT license, number, unnest(string_split(line, ' ')) AS t FROM templates) GROUP BY ALL),
 idf AS (
-  SELECT term, ln((1 + (SELECT count(*) FROM lines)) / (1 + count(line))) + 1 AS idf
-  FROM (SELECT term, line FROM lt UNION ALL SELECT DISTINCT term, NULL FROM tt) GROUP BY term
+  SELECT term, ln((1 + (SELECT count(*) FROM lines) + (SELECT count(*) FROM templates)) / (1 + count(*))) + 1 AS idf
+  FROM (SELECT term FROM lt UNION ALL SELECT term FROM tt) GROUP BY term
 ),
 lw AS (SELECT line, term, times * idf / sqrt(sum(times * idf * times * idf) OVER (PARTITION BY line)) AS w FROM lt JOIN idf USING (term)),
-tw AS (SELECT license, term, times * idf / sqrt(sum(times * idf * times * idf) OVER (PARTITION BY license)) AS w
+tw AS (SELECT license, number, term, times * idf / sqrt(sum(times * idf * times * idf) OVER (PARTITION BY license, number)) AS w
   FROM tt JOIN idf USING (term)),
-near AS (SELECT line, license, round(sum(lw.w * tw.w), 6) AS score FROM lw JOIN tw USING (term) GROUP BY ALL HAVING score >= {licenses.LEAST}),
+near AS (SELECT line, license, number, round(sum(lw.w * tw.w), 6) AS score FROM lw JOIN tw USING (term)
+  GROUP BY ALL HAVING score >= {licenses.LEAST}),
 found AS (SELECT line, license, score FROM near QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
 own AS (
   SELECT path, first(license ORDER BY score DESC, license) AS own_license, max(score) AS own_score,
-    sum({words("line")}) / max(n_words) >= {licenses.LICENSE_SHARE} AS is_license_file
-  FROM stated JOIN found USING (line) GROUP BY path
+    NOT any_value(code) AND (any_value(named) OR bool_or(kind = 'whole') OR sum(n_words) / max(of_words) >= {licenses.LICENSE_SHARE}) AS is_license_file
+  FROM units JOIN found USING (line) GROUP BY path
 ),
 speaking AS (
-  SELECT regexp_replace(path, '/[^/]*$', '') AS above, first(own_license ORDER BY own_score DESC, path) AS inherited
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS above, first(own_license ORDER BY own_score DESC, path) AS inherited
   FROM own WHERE is_license_file GROUP BY ALL
 ),
-placed AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS directory FROM files),
 up AS (
   SELECT directory, inherited, above FROM (SELECT DISTINCT directory FROM placed) d
-  JOIN speaking ON directory = above OR starts_with(directory, above || '/')
+  JOIN speaking ON above = '' OR directory = above OR starts_with(directory, above || '/')
   QUALIFY row_number() OVER (PARTITION BY directory ORDER BY length(above) DESC) = 1
 )
 SELECT doc_id, path, own_license, own_score, coalesce(is_license_file, FALSE) AS is_license_file,

@@ -186,3 +186,67 @@ def test_a_null_source_is_no_pool(make_docs):
     small = [(100 + n, text(n, "###"), "en", "small") for n in range(9)]
     verdicts = {r["doc_id"]: r["kept"] for r in quality.quality_rules(make_docs(*null, *small)).collect()}
     assert len(verdicts) == 49 and all(verdicts.values())  # each group is all alike
+
+
+def wrapped(text, width=60, mark=""):
+    import textwrap
+
+    return "\n".join((mark + line).rstrip() for line in textwrap.wrap(text, width))
+
+
+OWN = {name: texts[-1] for name, texts in licenses.TEXTS.items()}
+MIT_FILE = f"MIT License\n\nCopyright (c) 2019 Some Body\n\n{wrapped(OWN['MIT'], 75)}\n"
+APACHE_C = f"/*\n * Copyright 2020 Some Body\n *\n{wrapped(OWN['Apache-2.0'], 70, ' * ')}\n */\nint main(void) {{ return 0; }}\n"
+GPL_C = "// This work is licensed under the GNU General Public\n// License, version 3.\nint other(void) { return 1; }\n"
+GNU_C = f"/* other.c\nCopyright (C) 2001 A. Nobody\n\n{wrapped(licenses.TEXTS['LGPL-2.1'][1])}\n*/\nint third;\n"
+CODE = "int f(int x) { return x + 1; }\n" * 3
+#: Path, text, own licence, whether a licence file, licence in the end.
+REAL_FILES = [
+    ("mit/LICENSE", MIT_FILE, "MIT", True, "MIT"),
+    ("mit/src/a.c", CODE, None, False, "MIT"),
+    ("bsd3/LICENSE.txt", wrapped(OWN["BSD-3-Clause"].replace("(c)", "(c) 2011, The Authors of It.")), "BSD-3-Clause", True, "BSD-3-Clause"),
+    ("bsd2/COPYING", wrapped(OWN["BSD-2-Clause"].replace("(c)", "(c) 2011, The Authors of It.")), "BSD-2-Clause", True, "BSD-2-Clause"),
+    ("isc/license.md", f"Copyright (c) 2001, Some Body\n\n{wrapped(OWN['ISC'])}", "ISC", True, "ISC"),
+    ("unnamed/terms", wrapped(OWN["MIT"], 50), "MIT", True, "MIT"),
+    ("unnamed/a.c", CODE, None, False, "MIT"),
+    ("tag/a.c", f"// SPDX-License-Identifier: MIT\n{CODE}", "MIT", False, "MIT"),
+    ("tag/b.py", f"# SPDX-License-Identifier:  GPL-2.0-or-later\n{CODE}", "GPL-2.0", False, "GPL-2.0"),
+    ("tag/c.c", f"/* SPDX-License-Identifier: (Apache-2.0 OR MIT) */\n{CODE}", "Apache-2.0", False, "Apache-2.0"),
+    ("tag/d.c", f"// SPDX-License-Identifier: Zlib\n{CODE}", None, False, None),
+    ("pair/apache.c", APACHE_C, "Apache-2.0", False, "Apache-2.0"),
+    ("pair/gpl.c", GPL_C, "GPL-3.0", False, "GPL-3.0"),
+    ("pair/gnu.h", GNU_C, "LGPL-2.1", False, "LGPL-2.1"),
+    ("pair/none.c", CODE, None, False, None),
+    ("long/COPYING", f"  GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nEveryone may copy this license document.\n\n{PROSE * 40}", "GPL-3.0", True, "GPL-3.0"),
+    ("apache/LICENSE", f"   Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/\n\n{PROSE * 40}", "Apache-2.0", True, "Apache-2.0"),
+    ("other/a.txt", f"The driver's license of nobody.\n{PROSE}", None, False, None),
+]
+
+
+def test_real_licences(spark):
+    rows = [(n, path, text) for n, (path, text, *_) in enumerate(REAL_FILES)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    found = {r["path"]: (r["own_license"], r["is_license_file"], r["license"]) for r in got}
+    assert found == {path: tuple(wanted) for path, _, *wanted in REAL_FILES}
+
+
+@pytest.mark.parametrize("root", ["", "/"])
+def test_the_root_speaks_for_files_below(spark, root):
+    rows = [(1, f"{root}LICENSE", MIT_FILE), (2, f"{root}top.c", CODE), (3, f"{root}a/b/c.c", CODE)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert {r["doc_id"]: (r["license"], r["inherited_from"]) for r in got} == {1: ("MIT", None), 2: ("MIT", ""), 3: ("MIT", "")}
+
+
+def test_real_licences_equal_sql(spark):
+    """The texts as documents, whose paths are made of source, language and id."""
+    rows = [(1000 * (n // 3) + n, text, "en", path.split("/")[0]) for n, (path, text, *_) in enumerate(REAL_FILES)]
+    rows += [(7, None, None, None), (8, "", "en", "mit"), (9, "/* open licence", "en", "mit"), (1, MIT_FILE, "en", "mit"), (2, None, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got, connection = licenses.scan(licenses.document_paths(docs)), duckdb.connect()
+    connection.register("documents", docs.toArrow())
+    connection.register("got", got.toArrow())
+    wanted, columns = f"({oracle.ORACLE['op9_licenses']})", ", ".join(got.columns)
+    assert got.filter("own_license is not null").count() > 12 and got.filter("is_license_file").count() > 5
+    for one, other in (("got", wanted), (wanted, "got")):
+        rows = connection.execute(f"SELECT {columns} FROM {one} EXCEPT ALL SELECT {columns} FROM {other}").fetchall()
+        assert not rows, rows[:3]

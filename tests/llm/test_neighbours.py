@@ -1,5 +1,8 @@
 """Vantage-point trees against all inner products."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -49,6 +52,47 @@ def test_all_candidates_if_fewer_and_no_vectors(spark):
     assert found(spark, []).count() == 0
 
 
+def exactly(a, b):
+    """The plain sum, or where that leaves the range of doubles the rounded sum of fractions."""
+    plain = 0.0
+    for x, y in zip(a, b):
+        plain += x * y
+    if np.isfinite(plain):
+        return plain
+    whole = sum(Fraction(x) * Fraction(y) for x, y in zip(a, b))
+    try:
+        return float(whole)
+    except OverflowError:
+        return math.inf if whole > 0 else -math.inf
+
+
+@pytest.mark.parametrize("shard", [150, 8192])
+def test_very_large_and_small_components(spark, monkeypatch, shard):
+    monkeypatch.setattr(vp_tree, "SHARD", shard)
+    monkeypatch.setattr(vp_tree, "LEAF", 32)
+    random = np.random.default_rng(6)
+    scale = {3: 1e160, 40: 1e160, 60: 1e-160, 61: 1e-310, 80: 1e300, 99: 1e300, 120: 1e200, 7: 1.7e308}
+    rows = [(i, (np.clip(random.normal(0, 1, 5), -1, 1) * scale.get(i, 1.0)).tolist()) for i in range(600)]
+    rows += [(700, [1e200, 1e200, 0.0, 0.0, 0.0]), (701, [1e200, -1e200, 0.0, 0.0, 0.0])]
+    wanted = []
+    for q, v in rows:
+        if q % 20 == 0:
+            best = sorted((-exactly(v, w), i) for i, w in rows if i != q)[:20]
+            wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vp_tree.nearest(frame).collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(wanted)]
+    assert np.allclose([r[3] for r in got], [r[3] for r in sorted(wanted)], rtol=1e-14, atol=0)
+
+
+def test_repeated_rows_count_one_by_one(spark):
+    rows = [(0, [1.0, 0.0])] * 3 + [(5, [2.0, 1.0])] * 30 + [(6, [2.0, 5.0])] * 2 + [(6, [1.0, 5.0])] * 40
+    got = sorted(map(tuple, found(spark, rows).collect()))
+    assert got == [(0, n, 5, 2.0) for n in range(1, 21)]
+    few = sorted(map(tuple, found(spark, rows[:5] + rows[-5:]).collect()))
+    assert few == [(0, 1, 5, 2.0), (0, 2, 5, 2.0)] + [(0, n, 6, 1.0) for n in range(3, 8)]
+
+
 def test_a_smaller_factor_visits_less_and_keeps_recall():
     random = np.random.default_rng(8)
     vectors = random.normal(size=(6000, 8))

@@ -1,11 +1,12 @@
 """Language of documents from a bidirectional gated recurrent network over bytes.
 
-The sequences are the runs of letters in a lower-cased text, as UTF-8 bytes;
-very long ones are cut.  The network labels every byte with probabilities of
-the learned languages, and a document has the mean of those of its bytes.
-Training is backpropagation through time in numpy, on excerpts of at most
-``PARTS * PART`` documents of each language.  A run's summed probabilities do not
-depend on its document, so they are kept.
+The sequences are the runs of letters, with the marks and joiners on them, in
+a lower-cased text, as UTF-8 bytes; very long ones are cut.  The network labels
+every byte with probabilities of the learned languages, and a document has the
+mean of those of its bytes; what lies between runs has no part in it.  Training
+is backpropagation through time in numpy, on at most ``RUNS`` runs drawn from
+the whole texts of at most ``PARTS * PART`` documents of each language.  A run's
+summed probabilities do not depend on its document, so they are kept.
 
 Null texts and texts without a letter get ``und`` and score 0; so does every
 text when nothing can be learned.  Ties go to the language that sorts first.
@@ -15,6 +16,8 @@ Every row is labelled, repeated and null ids too; other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,18 +25,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lanelytics.llm.common import WordTable, batch_of, held_out, rows, whole_text
+from lanelytics.llm.common import WordTable, batch_of, held_out, rows, stored, whole_text
 
-#: Parts by hash into which a language's documents are cut, documents learned from in each, and code points of those.
-PARTS, PART, EXCERPT = 64, 8, 400
+#: Parts by hash into which a language's documents are cut, documents learned from in each, and runs drawn from each of those.
+PARTS, PART, RUNS = 64, 8, 64
 HIDDEN, LONGEST = 16, 48
 STEPS, BATCH, RATE = 700, 128, 0.01
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Signs that belong to the letter before them: combining marks and the two joiners.
+MARKS = "".join(chr(n) for n in range(sys.maxunicode + 1) if unicodedata.category(chr(n))[0] == "M") + "\u200c\u200d"
+LETTERS = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*")
 
 
 def sequences(text: str) -> list[str]:
-    """Runs of letters, of at most ``LONGEST`` code points."""
+    """Runs of letters and their marks, of at most ``LONGEST`` code points."""
     runs = LETTERS.findall(text.lower())
     if max(map(len, runs), default=0) <= LONGEST:
         return runs
@@ -188,20 +193,38 @@ class Labeller:
         return results
 
 
-def language_sample(docs: DataFrame, excerpt: int = EXCERPT) -> list[tuple[str, str]]:
-    """(excerpt, lang) of documents that may be learned from: in each part of a language those first by hash.
+def _draw(runs: int):
+    schema = pa.schema([("lang", pa.string()), ("place", pa.int64()), ("text", pa.string())])
 
-    A task passes on at most ``PART`` documents of each part, and the parts of a
-    language are gathered in different tasks.  The excerpt begins where the hash says.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows(batches):
+            drawn = []
+            for place, text in zip(part["place"], part["text"]):
+                found = sequences(text)
+                if len(found) > runs:
+                    at = np.random.default_rng(place % 2**64).choice(len(found), runs, replace=False)
+                    found = [found[n] for n in sorted(at)]
+                drawn.append(" ".join(found))
+            yield batch_of(schema, part["lang"], part["place"], drawn)
+
+    return run
+
+
+def language_sample(docs: DataFrame, runs: int = RUNS) -> list[tuple[str, str]]:
+    """(runs, lang) of documents that may be learned from: in each part of a language those first by hash.
+
+    Only hashes are shuffled to choose documents, at most ``PARTS * PART`` of a
+    language; then the runs drawn from the whole text of each are gathered.
     """
-    place = F.xxhash64("doc_id", "text")
-    begin = F.pmod(place, F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(
-        F.col("lang").cast("string").alias("lang"), place.alias("place"), F.substring("text", begin, F.lit(excerpt)).alias("text")
+        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("place"), "text"
     )
-    first = W.partitionBy("lang", "part").orderBy("place", "text")
-    parts = known.withColumn("part", F.pmod("place", F.lit(PARTS)))
-    sample = parts.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= PART).orderBy("lang", "place", "text")
+    parts = known.select("lang", "place").distinct().withColumn("part", F.pmod("place", F.lit(PARTS)))
+    first = W.partitionBy("lang", "part").orderBy("place")
+    chosen = parts.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= PART).select("lang", "place")
+    texts = known.join(F.broadcast(stored(chosen)), ["lang", "place"]).select("lang", "place", "text")
+    drawn = texts.mapInArrow(_draw(runs), "lang string, place long, text string")
+    sample = drawn.groupBy("lang", "place").agg(F.min("text").alias("text")).orderBy("lang", "place")
     return [(r["text"], r["lang"]) for r in sample.collect()]
 
 

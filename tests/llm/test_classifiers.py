@@ -1,5 +1,8 @@
 """Networks: gradients, held-out accuracy, and scores that depend on the text alone."""
 
+import math
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +60,60 @@ def test_sequences_cover_all_letters():
     assert not language.has_letter("12 ² -_!") and language.has_letter("1x")
 
 
+def test_marks_belong_to_their_letters():
+    assert language.sequences("हिन्दी में, e\u0301te\u0301 می\u200cخواهم") == ["हिन्दी", "में", "e\u0301te\u0301", "می\u200cخواهم"]
+    assert language.sequences("\u0301 12 \u0301") == []
+
+
+def one_by_one(network, sequence):
+    """Probabilities of each byte by plain loops over bytes, gates and states."""
+    size = len(network.forward.of_state)
+    squash = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(direction, data):
+        state, result = [0.0] * size, []
+        for byte in data:
+            given = direction.of_byte[byte].tolist()
+            pushed = [sum(state[i] * float(direction.of_state[i, j]) for i in range(size)) for j in range(3 * size)]
+            update = [squash(given[j] + pushed[j]) for j in range(size)]
+            reset = [squash(given[size + j] + pushed[size + j]) for j in range(size)]
+            candidate = [math.tanh(given[2 * size + j] + reset[j] * pushed[2 * size + j]) for j in range(size)]
+            state = [update[j] * state[j] + (1 - update[j]) * candidate[j] for j in range(size)]
+            result.append(state)
+        return result
+
+    data, shares = sequence.encode(), []
+    for ahead, back in zip(states(network.forward, data), reversed(states(network.reverse, data[::-1]))):
+        powers = [math.exp(sum(x * float(network.out[i, c]) for i, x in enumerate(ahead + back)) + float(network.bias[c])) for c in range(len(network.languages))]
+        shares.append([p / sum(powers) for p in powers])
+    return shares
+
+
+def test_labels_equal_plain_ones():
+    network = language.Network.fresh(["a", "b", "c"], hidden=3, seed=4)
+    texts = ["one two two हिन्दी", "", "12 !", "l'été " * 5 + "x" * 100, "two one"]
+    got = language.Labeller(network).label(texts)
+    for text, (name, score) in zip(texts, got):
+        shares = [share for sequence in language.sequences(text) for share in one_by_one(network, sequence)]
+        if not shares:
+            assert (name, score) == ("und", 0.0)
+            continue
+        means = [sum(s[c] for s in shares) / len(shares) for c in range(3)]
+        assert name == "abc"[means.index(max(means))] and abs(score - max(means)) < 1e-5
+
+
+def test_language_is_learned_from_whole_texts(spark):
+    rows = [(n, " ".join(f"{c}{chr(97 + k % 26)}" for k, c in enumerate("abcdefghij" * 40)) + " last", "en") for n in range(40)]
+    rows += [(5, rows[5][1], "en")] * 30 + [(50, None, "en"), (51, "alone", None), (None, "no id", "en"), (52, "short text", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sample = language.language_sample(docs, runs=100)
+    taught = [n for n in range(40) if zlib.crc32(str(n).encode()) % 4 != 2]
+    assert len([1 for _, lang in sample if lang == "en"]) <= len(taught) + 1 and sample == language.language_sample(docs.repartition(3), runs=100)
+    drawn = [text.split() for text, lang in sample if lang == "en"]
+    assert all(len(words) == 100 for words in drawn) and any("last" in words for words in drawn)
+    assert [text for text, lang in sample if lang == "de"] == ["short text"] * (zlib.crc32(b"52") % 4 != 2)
+
+
 def test_language_of_held_out_documents(spark):
     docs = table(spark, BIG, "documents")
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")

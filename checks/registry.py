@@ -53,11 +53,17 @@ EQUIPMENT = sample.EQUIPMENT
 class Tables:
     """The freight tables derived from one directory of test tables, as lazy plans.
 
-    ``enriched`` is the folder of a stored copy of the enriched legs, as users have.
+    ``enriched`` is the folder of a stored copy of the enriched legs, as users have, and
+    ``companions`` the folders of stored copies of other tables by name.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, enriched: str | None = None):
-        self.spark, self.sf_dir, self.enriched = spark, sf_dir, enriched
+    def __init__(self, spark: SparkSession, sf_dir: str, enriched: str | None = None, companions: dict[str, str] | None = None):
+        self.spark, self.sf_dir, self.enriched, self.companions = spark, sf_dir, enriched, companions or {}
+
+    def _companion(self, name: str) -> DataFrame:
+        if name in self.companions:
+            return self.spark.read.parquet(self.companions[name])
+        return sample.TABLES[name](self.spark, self.sf_dir)
 
     @cached_property
     def legs(self) -> DataFrame:
@@ -67,16 +73,16 @@ class Tables:
 
     @cached_property
     def headers(self) -> DataFrame:
-        return sample.order_headers(self.spark, self.sf_dir)
+        return self._companion("order_headers")
 
     @cached_property
     def routes(self) -> DataFrame:
-        return sample.routes(self.spark, self.sf_dir)
+        return self._companion("routes")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in sample.TABLES:
             raise AttributeError(name)
-        return sample.TABLES[name](self.spark, self.sf_dir)
+        return self._companion(name)
 
 
 def _of_type(kind: str, **more) -> LegQuery:

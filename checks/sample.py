@@ -311,6 +311,10 @@ TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def with_dates(legs: DataFrame) -> DataFrame:
+    """Enriched legs, with the delivery date that a stored table is read by."""
+    return enrich(legs).withColumn("delivery_date", F.to_date("delivery_ts"))
+
+
 def enriched_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched leg table, with the delivery date that a stored one is read by."""
-    return enrich(legs(spark, sf_dir)).withColumn("delivery_date", F.to_date("delivery_ts"))
+    return with_dates(legs(spark, sf_dir))

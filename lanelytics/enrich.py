@@ -20,13 +20,17 @@ EVENT_TIMES = {
 def enrich(legs: DataFrame, lenient: bool = False) -> DataFrame:
     """Legs with parsed times, delivery time, flags, counted money and lane.
 
-    A plain projection: columns that a report does not use are pruned, so the
-    same frame serves all of them, read live or stored by ``write_enriched``.
+    Row by row: columns that a report does not use are pruned, so the same
+    frame serves all of them, read live or stored by ``write_enriched``.
+
+    The delivery time is generated, not projected.  Spark moves filters below
+    projections and then works out the columns anew for each comparison, in
+    code too long to be compiled; a generated column is worked out once.
     """
     parsed = legs.withColumns({name: event_time(F.col(text), lenient) for name, text in EVENT_TIMES.items()})
-    return parsed.withColumns(
+    timed = parsed.select("*", F.explode(F.array(delivery_time())).alias("delivery_ts"))
+    return timed.withColumns(
         {
-            "delivery_ts": delivery_time(),
             "is_crossdock": is_crossdock(),
             "is_tonu": is_tonu(),
             "counted_revenue": counted(F.col("revenueAllocationNumber")),

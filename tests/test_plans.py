@@ -127,3 +127,16 @@ def test_text_maxima_do_not_sort_all_rows(plan_of, name):
     """Below every sort aggregate there is a hash aggregate and a shuffle first."""
     plan = plan_of(name, broadcast=False)
     assert "HashAggregate" in plan[plan.rindex("SortAggregate") :]
+
+
+@pytest.mark.parametrize("name", ["lane_profit", "zip_diagnostics", "keep_flags", "weekly_change_of_every_week", "service_against_targets"])
+def test_code_over_live_legs_can_be_compiled(spark, sf_dir, capsys, name):
+    """The delivery time is worked out once a row; the virtual machine interprets methods of more than 8,000 bytes."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        REPORTS[name](Tables(spark, sf_dir)).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000

@@ -15,23 +15,15 @@ ISO_DATE = (r"^(?:(\d{4}-\d{2}-\d{2})[\s\S]*|[\s\S]*)$", "$1")
 
 # The same with two digits in each part, as nearly all text is.
 FULL_TIME = r"\A\d\d/\d\d/\d{4} \d\d:\d\d:\d\d\z"
-FULL_DATE = r"\A\d\d/\d\d/\d{4}\z"
 
 
 def _reshaped(text: Column, shape: tuple[str, str], to: str) -> Column:
     return F.regexp_replace(text, shape[0], shape[1]).try_cast(to)
 
 
-def _event(text: Column, full: str, shape: tuple[str, str]) -> Column:
-    """Text in its full length is put in order by position, which costs less than by groups, any other by its shape."""
-    day = F.concat(F.substring(text, 7, 4), F.lit("-"), F.substring(text, 1, 2), F.lit("-"), F.substring(text, 4, 2))
-    iso = F.concat(day, F.substring(text, 11, 9)) if full == FULL_TIME else day
-    return F.when(text.rlike(full), iso.try_cast("timestamp_ntz")).when(text != "", _reshaped(text, shape, "timestamp_ntz"))
-
-
 def event_date(text: Column) -> Column:
     """``MM/dd/yyyy`` text, or with one-digit parts, as a midnight timestamp; anything else is NULL."""
-    return _event(text, FULL_DATE, EVENT_DATE)
+    return _reshaped(text, EVENT_DATE, "timestamp_ntz")
 
 
 def event_time(text: Column, lenient: bool = False) -> Column:
@@ -39,9 +31,12 @@ def event_time(text: Column, lenient: bool = False) -> Column:
 
     The text is put in ISO order and cast, which needs no time zone and so
     never shifts an hour that a zone skips.  ``lenient`` also accepts text that
-    holds the date only.
+    holds the date only.  Text in its full length is put in order by position,
+    which costs less than by groups.
     """
-    parsed = _event(text, FULL_TIME, EVENT_TIME)
+    day = F.concat(F.substring(text, 7, 4), F.lit("-"), F.substring(text, 1, 2), F.lit("-"), F.substring(text, 4, 2))
+    full = F.concat(day, F.substring(text, 11, 9)).try_cast("timestamp_ntz")
+    parsed = F.when(text.rlike(FULL_TIME), full).otherwise(_reshaped(text, EVENT_TIME, "timestamp_ntz"))
     return F.coalesce(parsed, event_date(text)) if lenient else parsed
 
 

@@ -178,3 +178,43 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
     flipped = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert toxicity.labelled_sample(docs, labels) == toxicity.labelled_sample(docs, flipped)
+
+
+def test_all_labelled_documents_are_learned_from(spark, make_docs, monkeypatch):
+    """Insults and thresholds that a small start does not hold, and the same network however rows are split."""
+    monkeypatch.setattr(toxicity, "LOOKS", 400)
+    monkeypatch.setattr(toxicity, "LESSON", 150, raising=False)
+    small = toxicity.labelled_sample
+    monkeypatch.setattr(toxicity, "labelled_sample", lambda docs, labels: small(docs, labels, 12))
+    insults = [f"{a}{b}" for a in "bdfg" for b in ("ork", "ulge", "irt", "aff", "ench", "oam")]
+    texts = {n: f"you are {insults[n // 2 % 24] * 3 if n % 2 else 'kind folk'} said number {n}" for n in range(900)}
+    docs = make_docs(*((n, text, "en" if n % 3 else "de") for n, text in texts.items()), (1, "a second text", "en"))
+    labels = labels_for(spark, *((n, 1, n % 2) for n in range(900)))
+    scored = toxicity.toxicity(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in scored.filter("held_out").collect()}
+    right = sum((score >= 0.3) == bool(n % 2) for n, score in got.items())
+    assert len(got) > 150 and right / len(got) > 0.95
+    again = toxicity.toxicity(docs.repartition(5), labels.repartition(3)).filter("held_out").collect()
+    assert {r["doc_id"]: r["score"] for r in again} == got
+
+    begun = toxicity.start(toxicity.labelled_sample(docs, labels))
+    changes = toxicity.learned(docs, labels, begun)
+    taught = [n for n in texts if zlib.crc32(str(n).encode()) % 4 != 2]
+    words = sum(sum(changes[v].to_pylist()[k] for v in toxicity.VALUES) for k, part in enumerate(changes["part"].to_pylist()) if part == toxicity.WORDS)
+    all_texts = [texts[n].split() for n in taught if n != 1]
+    assert words in (sum(map(len, all_texts)) + extra for extra in (3, len(texts[1].split())))
+    back = toxicity.counted(docs, labels, toxicity.merged(begun[0], changes))
+    held = toxicity.labelled(docs, labels).filter("back")
+    assert (sum(back["n"].to_pylist()), sum(back["hits"].to_pylist())) == held.select(F.count("*"), F.sum("toxic")).first()
+
+
+def test_thresholds_of_counted_ranges_equal_those_of_single_logits():
+    random = np.random.default_rng(3)
+    labels = random.integers(0, 2, 300)
+    logits = np.round(random.normal(0, 1, 300) + labels, 2)
+    values = np.unique(logits)
+    n = np.array([(logits == v).sum() for v in values])
+    hits = np.array([labels[logits == v].sum() for v in values])
+    assert toxicity.best_of_counts(values, values, n, hits) == toxicity.best_threshold(logits, labels)
+    f1 = lambda t: 2 * labels[logits > t].sum() / ((logits > t).sum() + labels.sum())
+    assert f1(toxicity.best_threshold(logits, labels)) == max(f1(v - 0.001) for v in values)

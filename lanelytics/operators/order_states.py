@@ -6,7 +6,9 @@ the sums over its legs and one bit per order that has a leg there, and a range
 is answered by the union of the bitmaps of its days.  No leg is read again.
 
 A state row covers ``SPAN`` consecutive order numbers, so bitmaps are short;
-orders are numbered by first day and lane, so that the orders of a day and
+they are built and united as words of 64 bits, since Spark's own bitmap
+aggregates sort and shuffle 4,096 bytes a group however short the result is.
+Orders are numbered by first day and lane, so that the orders of a day and
 lane stand in few spans.  The union is spread by lane and span before it is
 counted by lane: a lane with a third of all orders is no single group.
 """
@@ -24,7 +26,7 @@ from lanelytics.operators.ranks import with_places
 from lanelytics.operators.rollup import SUMS, leg_sums, with_profit
 from lanelytics.query import ALL_TYPES, LegQuery
 
-SPAN = 512
+SPAN, WORD = 512, 64
 STATE_KEYS = ("delivery_date", "at_midnight", "shipmentType", *MARKETS)
 #: Distinct orders of a state: all, and those with a leg of a status.
 ORDERS = {"order_count": None, "completed_orders": "Complete", "canceled_orders": "canceled"}
@@ -63,12 +65,33 @@ def order_states(enriched: DataFrame, numbers: DataFrame) -> DataFrame:
         }
     )
 
-    def bits(status: str | None) -> Column:
-        bit = F.col("bit") if status is None else F.when(F.col("shipmentStatus") == status, F.col("bit"))
-        return F.substring(F.bitmap_construct_agg(bit), 1, SPAN // 8)
+    # the bits of a byte count from its lowest, as in Spark's bitmaps, the bytes of a word from its highest
+    bit = F.col("bit").cast("int") % WORD
+    shift = (F.lit(WORD - 8) - F.floor(bit / 8) * 8 + bit % 8).cast("int")
+    in_word = F.call_function("shiftleft", F.lit(1).cast("bigint"), shift)
+    worded = numbered.withColumns({"word": F.floor(F.col("bit") / WORD), "in_word": in_word})
 
-    bitmaps = [bits(status).alias(name) for name, status in ORDERS.items()]
-    return numbered.groupBy(*STATE_KEYS, "span").agg(*leg_sums(), *bitmaps)
+    def words(name: str, status: str | None) -> list[Column]:
+        has = F.lit(True) if status is None else F.col("shipmentStatus") == status
+        return [
+            F.coalesce(F.bit_or(F.when(has & (F.col("word") == k), F.col("in_word"))), F.lit(0).cast("bigint")).alias(f"{name}_{k}")
+            for k in range(SPAN // WORD)
+        ]
+
+    grouped = worded.groupBy(*STATE_KEYS, "span").agg(*leg_sums(), *[w for name, status in ORDERS.items() for w in words(name, status)])
+    bitmaps = [_joined(name).alias(name) for name in ORDERS]
+    return grouped.select(*STATE_KEYS, "span", *SUMS, *bitmaps)
+
+
+def _joined(name: str) -> Column:
+    """The words of a bitmap as bytes."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(f"{name}_{k}"), WORD // 4, "0") for k in range(SPAN // WORD)]))
+
+
+def _word(name: str, k: int) -> Column:
+    """One word of a bitmap of bytes; one that is shorter goes on with zeros."""
+    digits = F.rpad(F.hex(F.substring(name, k * WORD // 8 + 1, WORD // 8)), WORD // 4, "0")
+    return F.conv(digits, 16, -10).cast("bigint")
 
 
 def _within(query: LegQuery) -> Column:
@@ -86,8 +109,10 @@ def states_rollup(states: DataFrame, query: LegQuery, keys: Sequence[str] = MARK
         rows = rows.filter(F.col("shipmentType") == query.shipment_type)
     if query.lanes:
         rows = rows.filter(lane_label(*MARKETS).isin(*query.lanes))
-    by_span = rows.groupBy(*keys, "span").agg(
-        *[F.sum(name).alias(name) for name in SUMS],
-        *[F.bitmap_count(F.bitmap_or_agg(name)).alias(name) for name in ORDERS],
+    words = {f"{name}_{k}": _word(name, k) for name in ORDERS for k in range(SPAN // WORD)}
+    united = rows.withColumns(words).groupBy(*keys, "span").agg(
+        *[F.sum(name).alias(name) for name in SUMS], *[F.bit_or(word).alias(word) for word in words]
     )
+    counts = {name: sum((F.coalesce(F.bit_count(f"{name}_{k}"), F.lit(0)) for k in range(SPAN // WORD)), F.lit(0).cast("bigint")) for name in ORDERS}
+    by_span = united.withColumns(counts)
     return with_profit(by_span.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in (*SUMS, *ORDERS)]))

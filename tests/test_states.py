@@ -8,11 +8,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from checks.registry import REPORTS, Tables
+from checks.registry import Q, REPORTS, Tables
 from lanelytics import LegQuery
 from lanelytics.operators import dedup
-from lanelytics.operators.order_states import number_orders, order_states, states_rollup
-from lanelytics.operators.predicates import MARKETS, population
+from lanelytics.operators.order_states import ORDERS, SPAN, number_orders, order_states, states_rollup
+from lanelytics.operators.predicates import MARKETS, keys_present, population, standard_population
 from lanelytics.operators.ranks import with_places
 from lanelytics.operators.rollup import profit_rollup
 from lanelytics.plans import lanes
@@ -246,3 +246,21 @@ def test_sketches_of_days(make_legs):
     exact = legs.filter("delivery_date BETWEEN '2024-05-02' AND '2024-05-04'").select(F.countDistinct("warpId"), F.countDistinct("startMarket")).first()
     assert row.city_lanes == 0 and abs(row.legs - exact[0]) <= 0.05 * exact[0] and abs(row.market_lanes - exact[1]) <= 2
     assert quality.estimated_lanes(sketches, "2023-01-01", "2023-01-02").first().legs == 0
+
+
+def test_bitmaps_are_built_of_words(spark, sf_dir):
+    """As Spark's bitmap aggregates give them, whose buffers of 4,096 bytes a group would be sorted and shuffled."""
+    legs = Tables(spark, sf_dir).legs
+    numbers = legs.filter("orderCode IS NOT NULL").select("orderCode", (F.substring("orderCode", 3, 20).cast("bigint") % 5000).alias("order_no"))
+    numbers = numbers.distinct()
+    states = order_states(legs, numbers)
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (states, lanes.lane_profit_of_range(states, Q))]
+    assert not any("bitmap" in plan for plan in plans)
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in states.groupBy("span", "shipmentType").agg(
+        *[F.hex(F.substring(F.bitmap_or_agg(name), 1, 64)) for name in ORDERS], F.min(F.octet_length("order_count"))).collect()}
+    used = legs.filter(standard_population() & keys_present(*MARKETS) & F.col("delivery_ts").isNotNull()).join(numbers, "orderCode", "left")
+    bit = F.col("order_no") % SPAN
+    bits = [bit if status is None else F.when(F.col("shipmentStatus") == status, bit) for status in ORDERS.values()]
+    expected = used.groupBy(F.floor(F.col("order_no") / SPAN).alias("span"), "shipmentType").agg(
+        *[F.hex(F.substring(F.bitmap_construct_agg(b), 1, 64)) for b in bits], F.lit(64))
+    assert got == {tuple(r)[:2]: tuple(r)[2:] for r in expected.collect()} and len(got) > 5

@@ -187,13 +187,14 @@ def test_all_labelled_documents_are_learned_from(spark, make_docs, monkeypatch):
     small = toxicity.labelled_sample
     monkeypatch.setattr(toxicity, "labelled_sample", lambda docs, labels: small(docs, labels, 12))
     insults = [f"{a}{b}" for a in "bdfg" for b in ("ork", "ulge", "irt", "aff", "ench", "oam")]
-    texts = {n: f"you are {insults[n // 2 % 24] * 3 if n % 2 else 'kind folk'} said number {n}" for n in range(900)}
+    praise = [f"{a}{b}" for a in "klmn" for b in ("ind", "air", "oft", "ice", "eat", "ure")]
+    texts = {n: f"you are {(insults if n % 2 else praise)[n // 2 % 24] * 3} said number {n}" for n in range(900)}
     docs = make_docs(*((n, text, "en" if n % 3 else "de") for n, text in texts.items()), (1, "a second text", "en"))
     labels = labels_for(spark, *((n, 1, n % 2) for n in range(900)))
     scored = toxicity.toxicity(docs, labels)
     got = {r["doc_id"]: r["score"] for r in scored.filter("held_out").collect()}
     right = sum((score >= 0.3) == bool(n % 2) for n, score in got.items())
-    assert len(got) > 150 and right / len(got) > 0.95
+    assert len(got) > 150 and right / len(got) > 0.75  # 0.62 from the start alone, 0.85 from all
     again = toxicity.toxicity(docs.repartition(5), labels.repartition(3)).filter("held_out").collect()
     assert {r["doc_id"]: r["score"] for r in again} == got
 

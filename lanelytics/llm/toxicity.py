@@ -26,6 +26,7 @@ scored, repeated and null ids too; other columns are ignored.
 from __future__ import annotations
 
 import copy
+import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -34,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lanelytics.llm.common import SLICE, WordTable, batch_of, held_out, rows, whole_text
@@ -336,11 +338,12 @@ def known_labels(labels: DataFrame) -> DataFrame:
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple[str, str | None, int]]:
-    """(text, lang, toxic) of at most ``size`` documents of each class to begin with, first by hash of the id.
+def sampled(docs: DataFrame, labels: DataFrame, size: int | None = None) -> DataFrame:
+    """(text, lang, toxic, place, doc_id) of at most ``size`` documents (``SAMPLE``) of each class to begin with.
 
-    Of rows with the same id the text with the least hash counts.
+    They are first by hash of the id, their place.  Of rows with the same id the text with the least hash counts.
     """
+    size = SAMPLE if size is None else size
     known = known_labels(labels).filter(~held_back()).withColumn("place", F.xxhash64("doc_id"))
     # hashes under a bound that some four times as many documents stay below, so that tasks need not pass on more
     rows = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -354,7 +357,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> l
     sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
     first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "lang")).alias("first")
     once = sample.groupBy("doc_id", "place", "toxic").agg(first).orderBy("place", "doc_id")
-    return [(r["first"]["text"], r["first"]["lang"], r["toxic"]) for r in once.limit(2 * size).collect()]
+    return once.limit(2 * size).select("first.text", "first.lang", "toxic", "place", "doc_id")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, size: int | None = None) -> list[tuple[str, str | None, int]]:
+    """(text, lang, toxic) of the sample, by place."""
+    rows = sampled(docs, labels, size).orderBy("place", "doc_id").collect()
+    return [(r["text"], r["lang"], r["toxic"]) for r in rows]
+
+
+def begin(docs: DataFrame, labels: DataFrame) -> tuple[Network, list[np.ndarray]] | None:
+    """What ``start`` makes of the sample, in one task: texts and what learning takes stay out of the driver."""
+
+    def run(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values(["place", "doc_id"])
+        return pd.DataFrame({"begun": [pickle.dumps(start(list(zip(sample["text"], sample["lang"], sample["toxic"]))))]})
+
+    # at most two samples of documents; an empty one gives no row
+    found = sampled(docs, labels).groupBy().applyInPandas(run, "begun binary").first()
+    return None if found is None else pickle.loads(found["begun"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -367,17 +388,31 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def learned(docs: DataFrame, labels: DataFrame, begun: tuple[Network, list[np.ndarray]]) -> pa.Table:
+def changes(docs: DataFrame, labels: DataFrame, shared: Broadcast) -> DataFrame:
     """The summed changes and counts of all learners: at most a row a bucket, and a few a language."""
     learners = max(1, round(known_labels(labels).count() / LESSON))
-    shared = docs.sparkSession.sparkContext.broadcast(begun)
     dealt = labelled(docs, labels).withColumn("learner", F.pmod(F.xxhash64("doc_id"), F.lit(learners)))
 
     def learn(mine: pd.DataFrame) -> pd.DataFrame:
         return lesson(shared.value, mine.sort_values("doc_id"))
 
     by_learner = dealt.groupBy("learner").applyInPandas(learn, LEARNED)
-    return by_learner.groupBy("part", "name", "place").agg(*[F.sum(c).alias(c) for c in ("n", *VALUES)]).toArrow()
+    return by_learner.groupBy("part", "name", "place").agg(*[F.sum(c).alias(c) for c in ("n", *VALUES)])
+
+
+def learned(docs: DataFrame, labels: DataFrame, begun: tuple[Network, list[np.ndarray]]) -> pa.Table:
+    """The changes as a table."""
+    return changes(docs, labels, docs.sparkSession.sparkContext.broadcast(begun)).toArrow()
+
+
+def taught(docs: DataFrame, labels: DataFrame, begun: tuple[Network, list[np.ndarray]]) -> Network:
+    """The start merged with the changes of all learners, in one task that gets the sums."""
+    shared = docs.sparkSession.sparkContext.broadcast(begun)
+
+    def run(summed: pa.Table) -> pa.Table:
+        return pa.table({"network": [pickle.dumps(merged(shared.value[0], summed))]}, pa.schema([("network", pa.binary())]))
+
+    return pickle.loads(changes(docs, labels, shared).groupBy().applyInArrow(run, "network binary").first()["network"])
 
 
 def counted(docs: DataFrame, labels: DataFrame, network: Network) -> pa.Table:
@@ -406,10 +441,10 @@ def counted(docs: DataFrame, labels: DataFrame, network: Network) -> pa.Table:
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     """The network learned from all labelled documents; None unless both labels occur."""
-    begun = start(labelled_sample(docs, labels))
+    begun = begin(docs, labels)
     if begun is None:
         return None
-    network = merged(begun[0], learned(docs, labels, begun))
+    network = taught(docs, labels, begun)
     calibrate(network, counted(docs, labels, network))
     return network
 

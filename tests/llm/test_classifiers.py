@@ -209,6 +209,27 @@ def test_all_labelled_documents_are_learned_from(spark, make_docs, monkeypatch):
     assert (sum(back["n"].to_pylist()), sum(back["hits"].to_pylist())) == held.select(F.count("*"), F.sum("toxic")).first()
 
 
+def test_the_driver_neither_learns_nor_holds_texts(spark, make_docs, monkeypatch):
+    """The start is learned in a task, from the same sample and to the same bits."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 12)
+    docs = make_docs(*((n, f"you are {'vile scum' if n % 2 else 'kind folk'} number {n}", "en") for n in range(60)))
+    labels = labels_for(spark, *((n, 1, n % 2) for n in range(60)))
+    sample = toxicity.labelled_sample(docs, labels)
+    assert len(sample) == 24 and sum(toxic for *_, toxic in sample) == 12
+    network, shares = toxicity.start(sample)
+
+    def learned_here(*_):
+        raise AssertionError("learned in the driver")
+
+    for name in ("_learn", "labelled_sample"):
+        monkeypatch.setattr(toxicity, name, learned_here)
+    begun, squares = toxicity.begin(docs, labels)
+    assert all((a == b).all() for a, b in zip([network.embedding, *shares], [begun.embedding, *squares]))
+    assert toxicity.begin(docs.filter("false"), labels) is None and toxicity.begin(docs, labels.filter("toxic = 1")) is None
+    right = [(r["predicted"] == r["doc_id"] % 2) for r in toxicity.toxicity(docs, labels).collect()]
+    assert sum(right) > 50
+
+
 def test_thresholds_of_counted_ranges_equal_those_of_single_logits():
     random = np.random.default_rng(3)
     labels = random.integers(0, 2, 300)

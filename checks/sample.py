@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lanelytics.enrich import enrich
+from lanelytics.enrich import enrich, with_delivery_time, with_event_times, with_flags
 from lanelytics.sources.schema import MONEY
 
 EQUIPMENT = (
@@ -135,8 +135,36 @@ def _blank_or(column: str, modulus: int, blanks: dict[int, str | None], value: C
     return out
 
 
+def _arrival_columns() -> dict[str, Column]:
+    """The columns that decide when a leg is delivered, all of them of the line item alone."""
+    quantity = F.col("l_quantity").cast("int")
+    return {
+        "pickLocationName": _pick_site(),
+        "dropLocationName": _drop_site(),
+        "dropWindowFrom": _at("drop_day", 17),
+        "dropTimeArrived": _blank_or("l_partkey", 7, {0: "", 1: None}, _at("drop_day", quantity % 24)),
+        "dropDateArrived": _blank_or("l_partkey", 14, {0: ""}, F.col("drop_day")),
+    }
+
+
+def _timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their delivery time and date.
+
+    Ranges of it are then filtered before line items are shuffled to their orders.
+    """
+    lines = _lines(spark, sf_dir)
+    arrivals = lines.withColumns({"drop_day": _day(3)}).withColumns(_arrival_columns())
+    timed = with_delivery_time(with_event_times(arrivals, ("drop_arrived_ts", "drop_from_ts")))
+    return timed.select(*lines.columns, "delivery_ts", F.to_date("delivery_ts").alias("delivery_date"))
+
+
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leg table: one row per line item.
+    """The leg table: one row per line item."""
+    return _legs_of(spark, sf_dir, _lines(spark, sf_dir))
+
+
+def _legs_of(spark: SparkSession, sf_dir: str, lines: DataFrame, *kept: str) -> DataFrame:
+    """The legs of line items, with further columns of theirs.
 
     Orders meet their customers first, so that line items are shuffled once, with nothing but their own columns.
     Nations and regions are few at any scale.
@@ -156,8 +184,7 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(F.broadcast(destination), "c_nationkey")
     )
     rows = (
-        _lines(spark, sf_dir)
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(F.broadcast(origin), "s_nationkey")
         .withColumns({"booked_day": _day(-2), "ship_day": _day(0), "drop_day": _day(3)})
@@ -168,6 +195,7 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     succeeded = F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") > 2), F.lit("Succeeded"))
     pick_city, drop_city = F.col("s_suppkey") % 40, F.col("c_custkey") % 40
     miles = F.abs(F.col("s_nationkey") - F.col("c_nationkey")) * 100 + F.col("l_linenumber")
+    arrivals = _arrival_columns()
     columns = {
         "orderCode": F.concat(F.lit("P"), order),
         "warpId": _leg_id(),
@@ -186,8 +214,8 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "startMarket": _blank_or("l_partkey", 97, {0: None, 1: ""}, F.col("s_nation")),
         "endMarket": _blank_or("l_partkey", 89, {0: None}, F.col("c_nation")),
-        "pickLocationName": _pick_site(),
-        "dropLocationName": _drop_site(),
+        "pickLocationName": arrivals["pickLocationName"],
+        "dropLocationName": arrivals["dropLocationName"],
         "pickCity": F.concat(F.lit("CITY-"), pick_city.cast("string")),
         "dropCity": F.concat(F.lit("CITY-"), drop_city.cast("string")),
         "pickState": F.col("s_region"),
@@ -197,10 +225,10 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pickWindowFrom": _at("ship_day", 8),
         "pickWindowTo": _at("ship_day", 12),
         "pickTimeArrived": _blank_or("l_partkey", 11, {0: None}, _at("ship_day", 6 + quantity % 8)),
-        "dropWindowFrom": _at("drop_day", 17),
+        "dropWindowFrom": arrivals["dropWindowFrom"],
         "dropWindowTo": _at("drop_day", 20),
-        "dropTimeArrived": _blank_or("l_partkey", 7, {0: "", 1: None}, _at("drop_day", quantity % 24)),
-        "dropDateArrived": _blank_or("l_partkey", 14, {0: ""}, F.col("drop_day")),
+        "dropTimeArrived": arrivals["dropTimeArrived"],
+        "dropDateArrived": arrivals["dropDateArrived"],
         "loadBookedTime": _blank_or("l_partkey", 3, {0: ""}, _at("booked_day", 9)),
         "pickStatus": succeeded,
         "dropStatus": succeeded,
@@ -212,7 +240,7 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "totalCost": _price().cast(MONEY),
         "shipmentMiles": _blank_or("l_partkey", 61, {0: None}, miles.cast("double")),
     }
-    return rows.select(*[expression.alias(name) for name, expression in columns.items()])
+    return rows.select(*[expression.alias(name) for name, expression in columns.items()], *kept)
 
 
 def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,4 +352,8 @@ def with_dates(legs: DataFrame) -> DataFrame:
 
 
 def enriched_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_dates(legs(spark, sf_dir))
+    """The same as ``with_dates`` of the legs, with the delivery time worked out on line items, before their joins."""
+    timed = with_event_times(_legs_of(spark, sf_dir, _timed_lines(spark, sf_dir), "delivery_ts", "delivery_date"))
+    names = [name for name in timed.columns if name not in ("delivery_ts", "delivery_date")]
+    flagged = with_flags(timed.select(*names, "delivery_ts", "delivery_date"))
+    return flagged.select(*[name for name in flagged.columns if name != "delivery_date"], "delivery_date")

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from checks import sample
 from checks.registry import REPORTS, Tables
 
 
@@ -140,3 +141,23 @@ def test_code_over_live_legs_can_be_compiled(spark, sf_dir, capsys, name):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("name", ["lane_profit_ftl", "zip_diagnostics_all", "similar_mileage_tagged", "market_profit_headline", "lanes_named_na"])
+def test_live_legs_are_filtered_before_they_meet_their_orders(spark, sf_dir, name):
+    """Between the line items and their first join there is the filter on the delivery time."""
+    plan = REPORTS[name](Tables(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    generated = [n for n, line in enumerate(plan.splitlines()) if "Generate explode" in line]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.splitlines()
+    for at in generated:
+        above = [line for n, line in enumerate(lines[:at]) if depth(line) < min(map(depth, lines[n + 1 : at + 1]))]
+        joins = [n for n, line in enumerate(above) if "Join" in line]
+        assert any("Filter" in line and "delivery_ts" in line for line in above[joins[-1] :]), plan
+    assert generated
+
+
+def test_live_legs_equal_enriched_ones(spark, sf_dir):
+    live, derived = sample.enriched_legs(spark, sf_dir), sample.with_dates(sample.legs(spark, sf_dir))
+    assert live.schema == derived.schema
+    assert live.exceptAll(derived).isEmpty() and derived.exceptAll(live).isEmpty()

@@ -97,6 +97,11 @@ def _peers(t: Tables) -> DataFrame:
     return ln.similar_mileage(t.legs, Q, ln.target_miles(lanes, LANE))
 
 
+def _kept(lanes: DataFrame) -> DataFrame:
+    """The rows of a report by lane, which do not grow with the legs: places evaluate them three times, the legs once."""
+    return lanes.localCheckpoint()
+
+
 def _ltl(t: Tables) -> DataFrame:
     return sg.completed_of_type(t.legs)
 
@@ -220,9 +225,9 @@ LANES: dict[str, Callable[[Tables], DataFrame]] = {
     "drill_detail_parcel_whole": lambda t: dd.drill_detail(t.legs, _of_type(PARCEL)),
     "drill_detail_totals": lambda t: dd.detail_totals(dd.drill_detail(t.legs, Q, lane=LANE)),
     "lane_profit_in_order": lambda t: with_places(ln.lane_profit(t.legs, Q), ln.BEST_FIRST),
-    "similar_mileage_in_order": lambda t: with_places(ln.similar_mileage(t.legs, Q, 900.0), ln.WORST_PEER_FIRST),
+    "similar_mileage_in_order": lambda t: with_places(_kept(ln.similar_mileage(t.legs, Q, 900.0)), ln.WORST_PEER_FIRST),
     "similar_mileage_tagged_in_order": lambda t: with_places(
-        ln.tagged_peers(ln.similar_mileage(t.legs, Q, 900.0), LANE), ln.SELECTED_FIRST
+        _kept(ln.tagged_peers(ln.similar_mileage(t.legs, Q, 900.0), LANE)), ln.SELECTED_FIRST
     ),
     "lane_profit_from_states": lambda t: ln.lane_profit_of_range(_states(t), Q),
     "lane_profit_from_states_days": lambda t: ln.lane_profit_of_range(_states(t), LegQuery.last_days(AS_OF, 30)),

@@ -157,6 +157,11 @@ def test_live_legs_are_filtered_before_they_meet_their_orders(spark, sf_dir, nam
     assert generated
 
 
+@pytest.mark.parametrize("name", ["similar_mileage_in_order", "similar_mileage_tagged_in_order"])
+def test_places_of_lanes_do_not_read_legs_again(spark, sf_dir, name):
+    assert "FileScan" not in REPORTS[name](Tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_live_legs_equal_enriched_ones(spark, sf_dir):
     live, derived = sample.enriched_legs(spark, sf_dir), sample.with_dates(sample.legs(spark, sf_dir))
     assert live.schema == derived.schema

@@ -11,6 +11,7 @@ from lanelytics.functions.service import (
     LATE,
     ON_TIME,
     TARGETS,
+    arrived,
     delay_code,
     on_time,
     on_time_status,
@@ -162,22 +163,46 @@ def service_against_targets(legs: DataFrame) -> DataFrame:
     """Overall on-time shares against their targets.
 
     Tracking is the share of completed stops with a known arrival time.
+    Legs are read once: each gives a row for either stop it counts for and one for tracking.  The first of a stop is
+    found by an aggregate, which shrinks the rows of a stop, and all rows of tracking, before they are shuffled.
     """
-    done = legs.filter(F.col("shipmentStatus") == "Complete").agg(
-        F.count(F.when(present(F.col("pickTimeArrived")) & present(F.col("dropTimeArrived")), 1)).alias("hits"),
-        F.count(F.lit(1)).alias("rows"),
+
+    def stop(kind: str, side: str) -> Column:
+        site, moment = F.col(f"{side}LocationName"), arrived(side)
+        keys = (F.col("loadId").alias("load"), F.col("carrierName").alias("carrier"), site.alias("site"), moment.cast("date").alias("day"))
+        row = F.struct(F.lit(kind).alias("kind"), *keys, moment.alias("moment"), F.col("warpId").alias("leg"), on_time(side).alias("hit"))
+        timed = F.col(f"{side}TimeArrived").isNotNull() & F.col(f"{side}WindowTo").isNotNull()
+        return F.when(timed & completed_work(side), row)
+
+    known = F.coalesce(present(F.col("pickTimeArrived")) & present(F.col("dropTimeArrived")), F.lit(False))
+    text, day, moment = (F.lit(None).cast(kind) for kind in ("string", "date", "timestamp_ntz"))
+    keys = (text.alias("load"), text.alias("carrier"), text.alias("site"), day.alias("day"))
+    tracked = F.struct(F.lit("Tracking").alias("kind"), *keys, moment.alias("moment"), text.alias("leg"), known.alias("hit"))
+    done = F.when(F.col("shipmentStatus") == "Complete", tracked)
+    rows = legs.select(F.explode(F.array(stop("OTP", "pick"), stop("OTD", "drop"), done)).alias("row"))
+    stops = (
+        rows.filter(F.col("row").isNotNull())
+        .select("row.*")
+        .groupBy("kind", "load", "carrier", "site", "day")
+        .agg(F.min(F.struct("moment", "leg", "hit")).alias("first"), F.count(F.lit(1)).alias("rows"), F.count_if("hit").alias("hits"))
     )
-    otp, otd = (
-        carrier_stops(legs, side).agg(F.count(F.when(on_time(side), 1)).alias("hits"), F.count(F.lit(1)).alias("rows"))
-        for side in ("pick", "drop")
+    kind, by_row = F.col("kind"), F.col("kind") == "Tracking"
+    counts = stops.select(
+        kind,
+        F.when(by_row, F.col("rows")).otherwise(F.lit(1)).alias("rows"),
+        F.when(by_row, F.col("hits")).otherwise(F.col("first.hit").cast("long")).alias("hits"),
     )
-
-    def row(frame: DataFrame, *names: str) -> DataFrame:
-        tagged = F.explode(
-            F.array(*[F.struct(F.lit(n).alias("kpi"), F.lit(TARGETS[n]).alias("target_pct")) for n in names])
+    kinds = {"OTP": "OTP", "OTD": "OTD", "OTD (some reports)": "OTD", "Tracking": "Tracking"}
+    totals = counts.agg(
+        *[F.sum(F.when(kind == k, F.col(c))).alias(f"{k} {c}") for k in dict.fromkeys(kinds.values()) for c in ("rows", "hits")]
+    )
+    shares = [
+        F.struct(
+            F.lit(name).alias("kpi"),
+            F.lit(TARGETS[name]).alias("target_pct"),
+            F.when(F.col(f"{k} rows") > 0, F.col(f"{k} hits") * 100 / F.col(f"{k} rows")).alias("actual_pct"),
         )
-        actual = F.when(F.col("rows") > 0, F.col("hits") * 100 / F.col("rows"))
-        return frame.select(tagged.alias("t"), actual.alias("actual_pct")).select("t.*", "actual_pct")
-
-    every = row(otp, "OTP").unionByName(row(otd, "OTD", "OTD (some reports)")).unionByName(row(done, "Tracking"))
+        for name, k in kinds.items()
+    ]
+    every = totals.select(F.explode(F.array(*shares)).alias("t")).select("t.*")
     return every.withColumn("met", F.col("actual_pct") >= F.col("target_pct"))

@@ -37,17 +37,17 @@ def with_keep_flags(rows: DataFrame) -> DataFrame:
 
     A stop is numbered in ``SHARES`` by leg id, and then the first rows of its
     shares among themselves, while the others stay in their shares: no task
-    sorts all rows of a stop, however many it has.
+    sorts all rows of a stop, however many it has.  Pickups and deliveries share
+    the load and the carrier, so that one shuffle serves the shares of both.
     """
-    flagged = rows.withColumn("_share", F.pmod(F.xxhash64("warpId"), F.lit(SHARES)))
-    for side, flag in (("pick", "keep_for_pickup"), ("drop", "keep_for_delivery")):
-        order = (arrived(side), "warpId")
-        share = Window.partitionBy(*stop_key(side), "_share").orderBy(*order)
-        group = F.when(F.col("_first"), F.lit(-1)).otherwise(F.col("_share"))
-        firsts = Window.partitionBy(*stop_key(side), "_group").orderBy(*order)
-        flagged = (
-            flagged.withColumn("_first", F.row_number().over(share) == 1)
-            .withColumn("_group", group)
-            .withColumn(flag, F.col("_first") & (F.row_number().over(firsts) == 1))
-        )
-    return flagged.drop("_share", "_first", "_group")
+    ends = (("pick", "keep_for_pickup"), ("drop", "keep_for_delivery"))
+    share = F.pmod(F.xxhash64("warpId"), F.lit(SHARES))
+    flagged = rows.withColumn("_share", share).repartition("loadId", "carrierName", "_share")
+    for side, flag in ends:
+        in_share = Window.partitionBy(*stop_key(side), "_share").orderBy(arrived(side), "warpId")
+        flagged = flagged.withColumn(flag, F.row_number().over(in_share) == 1)
+    for side, flag in ends:
+        flagged = flagged.withColumn("_group", F.when(F.col(flag), F.lit(-1)).otherwise(F.col("_share")))
+        firsts = Window.partitionBy(*stop_key(side), "_group").orderBy(arrived(side), "warpId")
+        flagged = flagged.withColumn(flag, F.col(flag) & (F.row_number().over(firsts) == 1))
+    return flagged.drop("_share", "_group")

@@ -162,6 +162,12 @@ def test_places_of_lanes_do_not_read_legs_again(spark, sf_dir, name):
     assert "FileScan" not in REPORTS[name](Tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize(("name", "shuffles"), [("keep_flags", 3), ("service_against_targets", 2)])
+def test_stops_of_both_ends_are_read_once(plan_of, name, shuffles):
+    plan = plan_of(name)
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == shuffles
+
+
 def test_live_legs_equal_enriched_ones(spark, sf_dir):
     live, derived = sample.enriched_legs(spark, sf_dir), sample.with_dates(sample.legs(spark, sf_dir))
     assert live.schema == derived.schema

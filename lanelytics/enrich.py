@@ -34,7 +34,8 @@ def with_delivery_time(timed: DataFrame) -> DataFrame:
     the times its delivery time first, and the filters meet that side before
     it is shuffled.
     """
-    return timed.select("*", F.explode(F.array(delivery_time())).alias("delivery_ts"))
+    made = timed.drop("delivery_ts").select("*", F.explode(F.array(delivery_time())).alias("delivery_ts"))
+    return made.select(*timed.columns) if "delivery_ts" in timed.columns else made
 
 
 def with_flags(timed: DataFrame) -> DataFrame:

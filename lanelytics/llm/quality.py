@@ -12,11 +12,13 @@ it exceeds ``CUTOFF`` is rejected.  No statistic's variance, given those before
 it, is taken to be below the square of its least deviation, so that a source
 in which nothing varies does not reject the first document that does.
 
-Everything that a step needs of a group is a histogram or a sum of products of
+Everything that a step needs of a group is a histogram with sums of products of
 integers, so it is aggregated before it is shuffled, does not depend on the
 order of rows, and stays small however many rows a source has: distances are
-counted in hundredths, up to ``FARTHEST``.  Estimates are broadcast up to
-``BROADCAST`` of them and joined by group beyond.  Groups of under ``SMALL``
+counted in hundredths, up to ``FARTHEST``.  The sums of the nearer half are
+those of its distances, so that a step broadcasts once, shuffles twice and
+reads the vectors once; every exchange costs the driver memory and a thread.
+Estimates are broadcast up to ``BROADCAST`` of them and joined by group beyond.  Groups of under ``SMALL``
 documents are pooled by language, a parameter with effect: a source is judged
 with its language until it has that many, and by itself from then on.
 
@@ -109,7 +111,7 @@ CUTOFF = 28.47
 CONSISTENCY = 2.109
 #: A median absolute deviation of normal values times this is their standard deviation.
 MAD_SCALE = 1.4826
-STEPS, SMALL, FARTHEST, BROADCAST = 8, 30, 5000, 20_000
+STARTS, STEPS, SMALL, FARTHEST, BROADCAST = 3, 8, 30, 5000, 20_000
 
 _PAIRS = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[i:]]
 _LEAST = {name: float(deviation**2) for name, (_, deviation) in STATISTICS.items()}
@@ -169,22 +171,22 @@ def _middles(vectors: DataFrame, values: list[Column], prefix: str) -> DataFrame
     return halves.groupBy("grp").agg(*by_place)
 
 
-def _moments(rows: DataFrame, by: list[str], scale: float) -> DataFrame:
-    """Means and covariances, times a scale, of the rows of each group."""
-    sums = rows.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        *[F.sum(name).alias(f"s{name[1]}") for name in NAMES],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"s{a[1]}{b[1]}") for a, b in _PAIRS],
-    )
+def _sums() -> list[Column]:
+    """Aggregates of vectors: their number, their sums and those of their products."""
+    products = [F.sum(F.col(a) * F.col(b)).alias(f"s{a[1]}{b[1]}") for a, b in _PAIRS]
+    return [F.count("*").alias("n"), *[F.sum(name).alias(f"s{name[1]}") for name in NAMES], *products]
+
+
+def _moments(sums: DataFrame, scale: float) -> DataFrame:
+    """Means and covariances, times a scale, from the sums of each group."""
     means = sums.withColumns({f"m{name[1]}": F.expr(f"s{name[1]} / n") for name in NAMES})
     terms = {f"c{a[1]}{b[1]}": F.expr(f"{scale}D * (s{a[1]}{b[1]} / n - m{a[1]} * m{b[1]})") for a, b in _PAIRS}
     return means.withColumns(terms)
 
 
-def _starts(vectors: DataFrame) -> DataFrame:
+def _starts(vectors: DataFrame, medians: DataFrame, few: bool) -> DataFrame:
     """(grp, start, parameters): where the concentration steps begin."""
-    medians = stored(_middles(vectors, [F.col(name) for name in NAMES], "m"))
-    away = vectors.join(_sent(medians, _few(medians)), "grp")
+    away = vectors.join(_sent(medians, few), "grp")
     deviations = _middles(away, [F.abs(F.col(n) - F.col(f"m{n[1]}")) for n in NAMES], "s")
 
     def start(number: int, frame: DataFrame, variances: dict[str, Column] | None = None) -> DataFrame:
@@ -194,7 +196,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
 
     robust = {n: F.pow(MAD_SCALE * F.col(f"s{n[1]}"), F.lit(2)) for n in NAMES}
     least = start(1, medians, {n: F.lit(value) for n, value in _LEAST.items()})
-    return least.unionByName(start(2, medians.join(deviations, "grp"), robust)).unionByName(start(3, _moments(vectors, ["grp"], 1.0)))
+    return least.unionByName(start(2, deviations.join(_sent(medians, few), "grp"), robust)).unionByName(start(3, _moments(vectors.groupBy("grp").agg(*_sums()), 1.0)))
 
 
 def _distances(vectors: DataFrame, parameters: DataFrame, few: bool) -> DataFrame:
@@ -202,21 +204,30 @@ def _distances(vectors: DataFrame, parameters: DataFrame, few: bool) -> DataFram
 
 
 def _concentrated(vectors: DataFrame, parameters: DataFrame, few: bool) -> DataFrame:
-    """Parameters from the nearer half of each group and start; rows as far as its last one count too."""
+    """Parameters from the nearer half of each group and start, and a hash of the last ones (before).
+
+    Rows as far as the last one of that half count too.
+    """
     away = F.least(F.floor(100 * F.sqrt("square")), F.lit(FARTHEST)).alias("away")
-    distances = _distances(vectors, parameters, few).select("grp", "start", *NAMES, away)
-    half = _first_half(distances.groupBy("grp", "start", "away").agg(F.count("*").alias("rows")), "away", "start")
-    near = distances.join(_sent(half, few), ["grp", "start"]).filter("away <= half")
-    return _in_turn(_moments(near, ["grp", "start"], CONSISTENCY), FACTORS).select("grp", "start", *PARAMETERS)
+    last = parameters.withColumn("before", F.xxhash64(*PARAMETERS))
+    distances = _distances(vectors, last, few).select("grp", "start", *NAMES, away, "before")
+    histogram = distances.groupBy("grp", "start", "away").agg(*_sums(), F.min("before").alias("before"))
+    group = W.partitionBy("grp", "start")
+    nearer = F.sum("n").over(group.orderBy("away")) - F.col("n")
+    near = histogram.withColumn("near", 2 * nearer < F.sum("n").over(group)).filter("near")
+    sums = [name for name in histogram.columns if name not in ("grp", "start", "away", "before")]
+    by_start = near.groupBy("grp", "start").agg(*[F.sum(name).alias(name) for name in sums], F.min("before").alias("before"))
+    return _in_turn(_moments(by_start, CONSISTENCY), FACTORS).select("grp", "start", *PARAMETERS, "before")
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
     """(grp, parameters): of the results of all starts the one with the smallest determinant, the first if several."""
-    parameters = stored(_starts(vectors))
-    few = _few(parameters)
+    medians = stored(_middles(vectors, [F.col(name) for name in NAMES], "m"))
+    groups = medians.count()
+    parameters = stored(_starts(vectors, medians, groups <= BROADCAST))
     for _ in range(STEPS):
-        last, parameters = parameters, stored(_concentrated(vectors, parameters, few))
-        if parameters.join(last, parameters.columns, "left_anti").isEmpty():
+        parameters = stored(_concentrated(vectors, parameters, STARTS * groups <= BROADCAST))
+        if parameters.filter(F.xxhash64(*PARAMETERS) != F.col("before")).isEmpty():
             break
     found = parameters.withColumn("determinant", F.expr("d1 * d2 * d3 * d4"))
     best = found.groupBy("grp").agg(F.min(F.struct("determinant", "start", *PARAMETERS)).alias("best"))

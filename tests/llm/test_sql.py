@@ -115,6 +115,24 @@ def test_estimates_equal_a_plain_one(spark):
         assert np.allclose([r[5] for r in sorted(r for r in got if r[0] == grp)], wanted, rtol=1e-6, atol=1e-6)
 
 
+def test_a_step_needs_few_exchanges(spark, monkeypatch):
+    """Each exchange of the steps takes memory and a thread of the driver; estimates that do not change end them."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(f"g{n % 3}", *map(int, rng.integers(0, 900, 4))) for n in range(120)]
+    vectors, steps = spark.createDataFrame(rows, "grp string, z1 long, z2 long, z3 long, z4 long").cache(), []
+    plain = quality._concentrated
+    monkeypatch.setattr(quality, "_concentrated", lambda *args: steps.append(plain(*args)) or steps[-1])
+    monkeypatch.setattr(quality, "STEPS", 40)
+    assert quality.estimates(vectors).count() == 3 and 1 < len(steps) < 40
+    found = [sorted(tuple(r)[2:-1] for r in step.collect()) for step in steps[-3:]]
+    assert found[-1] == found[-2] != found[0]
+    plan = steps[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan ==")[-1]
+    assert plan.count(" Exchange hashpartitioning") == 2
+    assert plan.count("BroadcastExchange") == plan.count("BroadcastHashJoin") == 1
+
+
 @pytest.mark.parametrize("kind", ["length", "symbols", "lines", "repeats"])
 def test_each_statistic_alone_rejects(make_docs, kind):
     """Clean documents of a source with some outliers of one statistic."""
